@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import media, quality, url_filter
+from meridia.llm import bpe, media, quality, secrets, url_filter
 from meridia.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_url_filters": lambda spark, sf: url_filter.op2_url_filters(table(spark, sf, "pages")),
+        "op4_secret_scans": lambda spark, sf: secrets.op4_secret_scans(documents(spark, sf, "doc_id", "text")),
+        "op6_byte_bpe": lambda spark, sf: bpe.op6_byte_bpe(documents(spark, sf, "doc_id", "text")),
         "op9_quality_rules": lambda spark, sf: quality.op9_quality_rules(documents(spark, sf, "doc_id", "text")),
         "op10_media_columns": lambda spark, sf: media.op10_media_columns(documents(spark, sf, "doc_id", "text")),
     }
