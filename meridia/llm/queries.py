@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import bpe, langid, media, quality, secrets, toxicity, url_filter
+from meridia.llm import bpe, langid, media, minhash, quality, secrets, toxicity, url_filter
 from meridia.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": lambda spark, sf: toxicity.op1_toxicity(documents(spark, sf, "doc_id", "text"), table(spark, sf, "labels")),
         "op2_url_filters": lambda spark, sf: url_filter.op2_url_filters(table(spark, sf, "pages")),
+        "op3_near_dedup": lambda spark, sf: minhash.op3_near_dedup(documents(spark, sf, "doc_id", "text")),
         "op4_secret_scans": lambda spark, sf: secrets.op4_secret_scans(documents(spark, sf, "doc_id", "text")),
         "op5_language_id": lambda spark, sf: langid.op5_language_id(documents(spark, sf, "doc_id", "text", "lang")),
         "op6_byte_bpe": lambda spark, sf: bpe.op6_byte_bpe(documents(spark, sf, "doc_id", "text")),
