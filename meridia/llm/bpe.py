@@ -213,26 +213,27 @@ def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", pat
     return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(work, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """Number and digest of each text's ids and the digest of the bytes that they decode to."""
+def round_trip(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
+    """Number and digest of each text's ids and the digest of the bytes that they decode to; with ``ids``, these too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for keys, texts in _batches(batches):
             encoded = bpe.encode_packed(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    keys,
-                    pa.array([len(x) // 4 for x in encoded], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode_bytes(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in encoded], pa.string()),
-                ],
-                names=["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            counts = [len(x) // 4 for x in encoded]
+            columns = [
+                pa.array(counts, pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode_bytes(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in encoded], pa.string()),
+            ]
+            if ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(encoded), "<i4"))))
+            yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 1 + len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("key", key)
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, schema).withColumnRenamed("key", key)
 
 
 def op6_byte_bpe(docs: DataFrame) -> DataFrame:

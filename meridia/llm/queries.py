@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import bpe, langid, media, minhash, quality, secrets, toxicity, url_filter
+from meridia.llm import bpe, langid, media, minhash, mixing, pii, quality, secrets, toxicity, url_filter
 from meridia.llm.common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "op4_secret_scans": lambda spark, sf: secrets.op4_secret_scans(documents(spark, sf, "doc_id", "text")),
         "op5_language_id": lambda spark, sf: langid.op5_language_id(documents(spark, sf, "doc_id", "text", "lang")),
         "op6_byte_bpe": lambda spark, sf: bpe.op6_byte_bpe(documents(spark, sf, "doc_id", "text")),
+        "op7_source_mix": lambda spark, sf: mixing.op7_source_mix(documents(spark, sf, "doc_id", "text", "lang", "source")),
+        "op8_pii": lambda spark, sf: pii.op8_pii(documents(spark, sf, "doc_id", "text")),
         "op9_quality_rules": lambda spark, sf: quality.op9_quality_rules(documents(spark, sf, "doc_id", "text")),
         "op10_media_columns": lambda spark, sf: media.op10_media_columns(documents(spark, sf, "doc_id", "text")),
     }
