@@ -90,8 +90,9 @@ class LexiconAutomaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], term.edits)
             self.ends[node].append(i)
-        self.start = self._closed({(0, 0)})
-        self.moves: dict[frozenset, dict[str, frozenset]] = {}
+        self.first = self._closed({(0, 0)})
+        self.moves: dict[frozenset, dict] = {}
+        self.members: dict[int, frozenset] = {}
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With characters of the term left out, an edit each; the fewest edits of a node are kept."""
@@ -121,23 +122,29 @@ class LexiconAutomaton:
             out.update((x, e + 1) for x in self.children[node].values())
         return self._closed(out)
 
+    def _state(self, members: frozenset) -> dict:
+        """A state as the table of its moves so far: character to table; the dead one is empty for good."""
+        table = self.moves.get(members)
+        if table is None:
+            table = self.moves[members] = {}
+            self.members[id(table)] = members
+        return table
+
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the best term for a word: fewest edits, then most weight."""
-        state = self.start
+        if len(self.moves) > self.most_states:
+            self.moves.clear()
+            self.members.clear()
+        state = self._state(self.first)
         for c in word:
-            moves = self.moves.get(state)
-            if moves is None:
-                if len(self.moves) > self.most_states:
-                    self.moves.clear()
-                moves = self.moves[state] = {}
-            to = moves.get(c)
+            to = state.get(c)
             if to is None:
-                to = moves[c] = self._step(state, c)
+                if not self.members[id(state)]:
+                    return None
+                to = state[c] = self._state(self._step(self.members[id(state)], c))
             state = to
-            if not state:
-                return None
         hits = []
-        for node, e in state:
+        for node, e in self.members[id(state)]:
             for i in [-1 - node] if node < 0 else self.ends[node]:
                 if e <= self.terms[i].edits:
                     hits.append((e, -self.terms[i].weight, i))
@@ -154,14 +161,21 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.automaton = model, LexiconAutomaton(list(model.terms))
-        self.known: dict[str, tuple[int, int] | None] = {}
-
-    def hit(self, word: str) -> tuple[int, int] | None:
-        if word not in self.known:
-            if len(self.known) >= self.model.limits.remembered:
-                self.known.clear()
-            self.known[word] = self.automaton.match(word)
-        return self.known[word]
+        self.seen: set[str] = set()
+        self.hits: dict[str, tuple[int, int]] = {}
+
+    def found(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that match a term; each distinct word walks the automaton once."""
+        new = words - self.seen
+        if len(self.seen) + len(new) > self.model.limits.remembered:
+            self.seen.clear()
+            self.hits.clear()
+            new = words
+        for word in new:
+            if hit := self.automaton.match(word):
+                self.hits[word] = hit
+        self.seen |= new
+        return words & self.hits.keys()
 
     def context(self, text: str, words: list[re.Match], at: int) -> float:
         """Times a hit's weight: less in quotation or report, more at the second person."""
@@ -176,8 +190,7 @@ class Scorer:
     def features(self, text: str) -> list[float]:
         """Constant, weight of exact hits, of misspelled ones, of the heaviest, share of distanced hits."""
         lowered = text.lower()
-        hit = self.hit
-        distinct = {w for w in set(WORD.findall(lowered)) if hit(w)}
+        distinct = self.found(set(WORD.findall(lowered)))
         if not distinct:
             return [1.0, 0.0, 0.0, 0.0, 0.0]
         words = list(WORD.finditer(text if len(lowered) == len(text) else lowered))
@@ -185,7 +198,7 @@ class Scorer:
         n = distanced = 0
         for i, m in enumerate(words):
             if (w := m[0].lower()) in distinct:
-                term, edits = self.hit(w)
+                term, edits = self.hits[w]
                 factor = self.context(m.string, words, i)
                 value = self.model.terms[term].weight * factor * 0.5**edits
                 exact, fuzzy = (exact + value, fuzzy) if edits == 0 else (exact, fuzzy + value)
