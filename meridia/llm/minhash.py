@@ -15,7 +15,8 @@ has one almost surely; a text for which one is missing is given more time.
 
 *Candidates.* Equal texts are one representative. 160 components make 32 bands of 5:
 a pair at 0.8 shares no band with a probability of 3 in a million. Each bucket is
-first compared to its smallest id, and components of verified links are built. What is
+first compared to its most central member, the one that meets most others over all
+buckets, so that a group of near copies has few leaders. Components of verified links are built. What is
 left are pairs in one bucket and in different components. Small buckets give all such
 pairs. Large ones join to families, dealt to blocks; each pair of blocks is one bounded
 task, which compares signatures, verifies what may be linked and is not connected yet,
@@ -305,10 +306,13 @@ def classes(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc
 def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): verified links that connect every class of different texts."""
     rows = bucket_rows(reps, settings)
-    stats = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
-    rows = written(rows.join(stats, "bucket").select("bucket", "id", "n", "size", "first"), "buckets")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = written(rows.join(sizes, "bucket").select("bucket", "id", "n", "size"), "buckets")
+    central = rows.groupBy("id").agg(F.sum("size").alias("met"))
+    leaders = rows.select("bucket", "id").join(central, "id").groupBy("bucket").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("first"))
+    rows = written(rows.join(leaders, "bucket"), "buckets")
     likely = F.least("n", "m") >= settings.similarity * F.greatest("n", "m")
-    stars = rows.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = rows.filter("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     involved = rows.select("id").distinct()
     texts = written(whole.select(F.col("doc_id").alias("id"), "text").join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
     first = written(verified(stars, texts, settings), "links")
@@ -330,7 +334,7 @@ def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
         ).alias("pair")
     )
     pairs = pairs.select("pair.*").filter(likely).select("a", "b").distinct()
-    pairs = pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    pairs = pairs.join(stars, ["a", "b"], "left_anti")
     second = written(verified(pairs, texts, settings), "links")
     large = rows.filter(F.col("size") > settings.small_bucket)
     links = first.unionByName(second)
