@@ -98,6 +98,6 @@ def factor_table(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", ",")
     number = lambda i: F.when(~F.trim(cells[i]).isin("-99.99", "-999", "-999.00"), F.trim(cells[i]).try_cast("double") / 100)
     key = F.trim(cells[0])
-    date = F.coalesce(F.try_to_date(key, F.lit("yyyyMMdd")), F.try_to_date(F.concat(key, F.lit("01")), F.lit("yyyyMMdd")))
+    date = F.coalesce(F.try_to_date(key, "yyyyMMdd"), F.try_to_date(F.concat(key, F.lit("01")), "yyyyMMdd"))
     rows = lines.filter(F.col("value").rlike(r"^\s*\d{6}(\d\d)?\s*,")).select(date.alias("date"), *(number(i + 1).alias(n) for i, n in enumerate(names)))
     return rows.na.drop()
