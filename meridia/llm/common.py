@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,26 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(frame: DataFrame, name: str = "table") -> DataFrame:
     """``frame`` written as Parquet in the shared folder and read back.
 
-    This cuts the lineage: an executor lost later costs a reread, no recomputation.
+    This cuts the lineage: an executor lost later costs a reread, no recomputation. The
+    table is deleted when the driver ends.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    table_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    table_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(table_path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def map_batches(
-    frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    return frame.mapInArrow(work, schema)
-
-
-def strings(column: pa.Array) -> list[str]:
-    """Python strings of an Arrow column; null counts as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
-def drop_local(path: str) -> None:
-    """Remove a temporary folder of a test."""
-    if os.path.isdir(path):
-        shutil.rmtree(path)
