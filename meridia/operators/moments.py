@@ -35,21 +35,20 @@ def shrunk_covariance(returns: DataFrame, *, value: str = "ret", periods: int =
     rows = complete(returns, value)
     centred = rows.select("date", "symbol", (F.col("x") - F.avg("x").over(Window.partitionBy("symbol"))).alias("x"))
     x, y = F.col("x"), F.col("y")
-    m = pairs(centred).groupBy("i", "j").agg(F.avg(x * y).alias("s"), F.avg(x * x * y * y).alias("q"), F.avg(x * x * x * y).alias("c"), F.count(F.lit(1)).alias("t"))
-    own = m.filter("i = j")
-    m = m.join(own.select("i", F.col("s").alias("si")), "i").join(own.select("j", F.col("s").alias("sj")), "j")
-    m = m.join(m.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("c").alias("c2")), ["i", "j"])
-    r = F.col("s") / F.sqrt(F.col("si") * F.col("sj"))
-    mean_r = m.filter("i <> j").agg(F.avg(r).alias("rbar"))
-    m = m.join(F.broadcast(mean_r), F.lit(True))  # one row
-    target = F.when(F.col("i") == F.col("j"), F.col("s")).otherwise(F.col("rbar") * F.sqrt(F.col("si") * F.col("sj")))
-    theta = (F.sqrt(F.col("sj") / F.col("si")) * (F.col("c") - F.col("si") * F.col("s")) + F.sqrt(F.col("si") / F.col("sj")) * (F.col("c2") - F.col("sj") * F.col("s"))) * F.col("rbar") / 2
-    pi = F.col("q") - F.col("s") * F.col("s")
-    m = m.select("*", target.alias("f"), pi.alias("pi"), F.when(F.col("i") == F.col("j"), pi).otherwise(theta).alias("rho"))
-    total = m.agg(F.sum("pi").alias("p"), F.sum("rho").alias("r"), F.sum(F.pow(F.col("f") - F.col("s"), F.lit(2))).alias("g"), F.max("t").alias("n"))
-    delta = F.when(F.col("g") > 0, F.least(F.greatest((F.col("p") - F.col("r")) / F.when(F.col("g") > 0, F.col("g")) / F.col("n"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    m = m.join(F.broadcast(total.select(delta.alias("delta"))), F.lit(True))
-    return m.select("i", "j", (periods * (F.col("delta") * F.col("f") + (1 - F.col("delta")) * F.col("s"))).alias("cov"), "delta")
+    m = pairs(centred).groupBy("i", "j").agg(
+        F.avg(x * y).alias("s"), F.avg(x * x * y * y).alias("q"), F.avg(x * x * x * y).alias("c"), F.avg(x * y * y * y).alias("c2"), F.avg(x * x).alias("si"), F.avg(y * y).alias("sj"), F.count(F.lit(1)).alias("t")
+    )
+    every = Window.partitionBy(F.lit(0))  # a row a pair of symbols
+    same, s, si, sj = F.col("i") == F.col("j"), F.col("s"), F.col("si"), F.col("sj")
+    m = m.select("*", F.avg(F.when(~same, s / F.sqrt(si * sj))).over(every).alias("rbar"))
+    target = F.when(same, s).otherwise(F.col("rbar") * F.sqrt(si * sj))
+    theta = (F.sqrt(sj / si) * (F.col("c") - si * s) + F.sqrt(si / sj) * (F.col("c2") - sj * s)) * F.col("rbar") / 2
+    pi = F.col("q") - s * s
+    m = m.select("*", target.alias("f"), pi.alias("pi"), F.when(same, pi).otherwise(theta).alias("rho"))
+    gap = F.sum(F.pow(F.col("f") - s, F.lit(2))).over(every)
+    share = (F.sum("pi").over(every) - F.sum("rho").over(every)) / F.when(gap > 0, gap) / F.max("t").over(every)
+    m = m.select("*", F.when(gap > 0, F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("delta"))
+    return m.select("i", "j", (periods * (F.col("delta") * F.col("f") + (1 - F.col("delta")) * s)).alias("cov"), "delta")
 
 
 def forecast_vol(weights: DataFrame, cov: DataFrame) -> DataFrame:
