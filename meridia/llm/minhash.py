@@ -178,19 +178,27 @@ def sign(hashed: DataFrame, settings: Settings) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every node of edges (a, b): the smallest id that it is connected to.
 
-    Each round takes the smallest label among neighbours and then the label of that
-    label, so distances to it about halve; rounds end when no label changes.
+    Each round maps a node to that of itself and its neighbours whose hash is least, and
+    contracts the graph to these; the random order shrinks any graph, chains too, by a
+    constant factor a round, until no edge is left. A star is gone after one round.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("least"))
-        nearer = labels.join(near, "id").select("id", F.col("label").alias("before"), F.least("label", "least").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = written(nearer.join(jump, "label", "left").select("id", "before", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if new.filter("label <> before").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    labels = left.select(F.col("a").alias("id"), F.col("b").alias("label")).limit(0)
+    first = True
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        best = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("label"))).alias("best"))
+        own = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("label"))
+        step = written(best.select("id", F.least(own, "best")["label"].alias("label")), "step")
+        if first:
+            labels, first = step, False
+        else:
+            further = step.select(F.col("id").alias("label"), F.col("label").alias("further"))
+            labels = written(labels.join(further, "label", "left").select("id", F.coalesce("further", "label").alias("label")), "labels")
+        moved = left.join(step.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(step.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+        left = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
+    smallest = labels.groupBy("label").agg(F.min("id").alias("smallest"))
+    return written(labels.join(smallest, "label").select("id", F.col("smallest").alias("label")), "labels")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -337,7 +345,8 @@ def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
     pairs = pairs.join(stars, ["a", "b"], "left_anti")
     second = written(verified(pairs, texts, settings), "links")
     large = rows.filter(F.col("size") > settings.small_bucket)
-    links = first.unionByName(second)
+    # a node and its label say what the first links connect
+    links = labels.select(F.col("label").alias("a"), F.col("id").alias("b")).unionByName(second)
     if not large.isEmpty():
         third = _family_links(large, reps, texts, settings)
         links = links.unionByName(third)
