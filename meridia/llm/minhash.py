@@ -59,6 +59,7 @@ class Settings:
     small_bucket: int = 16  # members up to which a bucket gives pairs
     block: int = 512  # members of a block, about
     least_agreement: float = 0.66  # of signatures, 4.4 standard errors below 0.8
+    bitmaps: int = 1024  # of 4 kB and 32,768 bits each, to keep texts without candidates out of a shuffle
 
     @property
     def components(self) -> int:
@@ -292,6 +293,21 @@ def bucket_rows(reps: DataFrame, settings: Settings) -> DataFrame:
     return reps.filter("sig IS NOT NULL").select("id", "n", F.explode(bands).alias("bucket"))
 
 
+def likely_in(rows: DataFrame, ids: DataFrame, bitmaps: int, column: str = "id") -> DataFrame:
+    """Rows whose ``column`` may be in ``ids``: all that are, and some others.
+
+    One bit an id, in so many bitmaps of 4 kB: what is broadcast has this size at most,
+    however many ids there are. With as many ids as bits most rows are kept.
+    """
+    h = F.xxhash64(column)
+    number = F.pmod(h, F.lit(bitmaps)).alias("_bitmap")
+    position = F.pmod(F.shiftrightunsigned(h, 20), F.lit(32768))
+    maps = ids.select(number, position.alias("p")).groupBy("_bitmap").agg(F.bitmap_construct_agg("p").alias("_bits"))
+    byte = F.conv(F.hex(F.col("_bits").substr(F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_bitmap", number).join(F.broadcast(maps), "_bitmap")
+    return held.filter(F.getbit(byte, (position % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def classes(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id): the smallest id of each document's class."""
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -322,7 +338,8 @@ def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
     likely = F.least("n", "m") >= settings.similarity * F.greatest("n", "m")
     stars = rows.filter("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     involved = rows.select("id").distinct()
-    texts = written(whole.select(F.col("doc_id").alias("id"), "text").join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = likely_in(whole.select(F.col("doc_id").alias("id"), "text"), involved, settings.bitmaps)
+    texts = written(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
     first = written(verified(stars, texts, settings), "links")
     labels = components(first)
     rows = rows.join(labels, "id", "left").select("bucket", "id", "n", "size", "first", F.coalesce("label", "id").alias("label"))
