@@ -339,7 +339,8 @@ def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
     stars = rows.filter("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     involved = rows.select("id").distinct()
     texts = likely_in(whole.select(F.col("doc_id").alias("id"), "text"), involved, settings.bitmaps)
-    texts = written(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # an inner join, ids being distinct: a semi join would be pushed below the bitmaps
+    texts = written(texts.join(involved, "id").dropDuplicates(["id"]), "texts")
     first = written(verified(stars, texts, settings), "links")
     labels = components(first)
     rows = rows.join(labels, "id", "left").select("bucket", "id", "n", "size", "first", F.coalesce("label", "id").alias("label"))
