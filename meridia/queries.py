@@ -546,10 +546,10 @@ def simulated_paths(spark, sf):
 
 
 def _paths(spark, sf):
-    """A path a user: the running mean of the events' values of each, in order."""
-    rows = P.read(spark, sf, "events").select(F.pmod("user_id", F.lit(40)).alias("sim_id"), "event_id", "value")
+    """A path a user: 1000 and a tenth of the running sum of (value - 50) of all of its events, in order."""
+    rows = P.read(spark, sf, "events").select(F.col("user_id").alias("sim_id"), "event_id", "value")
     order = Window.partitionBy("sim_id").orderBy("event_id")
-    return rows.select("sim_id", (F.row_number().over(order) - 1).alias("day"), (1000 + F.sum(F.col("value") - 50).over(order.rowsBetween(Window.unboundedPreceding, 0)) / 10).alias("value")).filter("day <= 20")
+    return rows.select("sim_id", (F.row_number().over(order) - 1).alias("day"), (1000 + F.sum(F.col("value") - 50).over(order.rowsBetween(Window.unboundedPreceding, 0)) / 10).alias("value"))
 
 
 _PATHS = """pa AS (SELECT user_id % 40 AS sim_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 AS day, 1000 + sum(value - 50) OVER (PARTITION BY user_id % 40 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 10 AS value FROM events),
