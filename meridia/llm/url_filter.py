@@ -3,8 +3,9 @@
 A rule (host, path) fits a url whose host is the rule's or a subdomain of it and
 whose path starts with the rule's; of those that fit the longest wins. Hosts that
 rules allow seed personalised PageRank along the links, hosts that they block seed
-it against the links (who links to a blocked host is distrusted). A url without a
-rule is blocked if its host's distrust passes a threshold and its trust.
+it against the links (who links to a blocked host is distrusted), each with the share
+of its urls that are ruled so. A url without a rule is blocked if its host's distrust
+passes a threshold and its trust.
 
 All is DataFrame operations. What grows with the web (edges, ranks) is only
 joined and aggregated; nothing of it is collected or broadcast by hand.
@@ -116,16 +117,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     return scores
 
 
-def host_scores(judged: DataFrame, edges: DataFrame, *, seed_share: float = 0.5, **options: float) -> DataFrame:
+def host_scores(judged: DataFrame, edges: DataFrame, **options: float) -> DataFrame:
     """(host, trust, distrust) of every host that either reaches.
 
-    ``judged``: host, verdict (of a rule, or null). A host whose urls are allowed by
-    rules to ``seed_share`` at least is a trusted seed, one whose urls are blocked by
-    rules to that share a blocked one; a few ruled paths make no seed of a host.
+    ``judged``: host, verdict (of a rule, or null). The share of a host's urls that rules
+    allow is its mass as a seed of trust, the share that they block that of distrust.
     """
     share = lambda verdict: F.avg((F.coalesce("verdict", F.lit("")) == verdict).cast("double"))
     hosts = judged.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    seeds = hosts.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) AS (kind, mass)").filter(F.col("mass") >= seed_share)
+    seeds = hosts.selectExpr("host", "stack(2, 'trust', trust, 'distrust', distrust) AS (kind, mass)").filter("mass > 0")
     seeds = seeds.select("kind", "host", "mass")
     ways = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
