@@ -94,12 +94,12 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
 def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
     """Personalised PageRank: (kind, host, score), for all kinds of seed at once.
 
-    ``edges``: kind, src, dst, weight. ``seeds``: kind, host, mass. Seeds and edges
-    are normalised per kind; what reaches a host without edges goes back to the seeds'
-    share only in that it is not passed on. The sum of a kind is 1 at most.
+    ``edges``: kind, src, dst, weight. ``seeds``: kind, host, mass. Edges are shared out
+    per host; masses count as they are, so a host's score depends on the seeds that reach
+    it and not on how many others there are, and the scores of two kinds compare. What
+    reaches a host without edges is not passed on. The sum of a kind is its mass at most.
     """
-    sums = seeds.groupBy("kind").agg(F.sum("mass").alias("all_mass"))
-    start = seeds.join(sums, "kind").select("kind", "host", (F.col("mass") / F.col("all_mass")).alias("score"))
+    start = seeds.select("kind", "host", F.col("mass").alias("score"))
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
     share = written(
         edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")), "edge-share"
@@ -149,7 +149,8 @@ def judge_urls(
     """key, host, path, rule, verdict, trust, distrust of every page.
 
     Without a rule a url is blocked if its host's distrust is ``least_distrust`` or
-    more and over ``ratio`` times its trust.
+    more and over ``ratio`` times its trust. Both are in units of a host all of whose
+    urls are ruled alike.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.select(F.col(key).alias(key), host.alias("host"), path.alias("path"))

@@ -15,3 +15,12 @@ def test_few_blocked_urls_are_distrust(spark):
     pages = [("http://a.net/fr/1", None), ("http://a.net/x", None), ("http://a.net/y", None), ("http://b.org/", '<a href="http://a.net/x">'), ("http://c.org/", None)]
     got = verdicts(spark, pages)
     assert got == {"http://a.net/fr/1": "block", "http://a.net/x": "block", "http://a.net/y": "block", "http://b.org/": "block", "http://c.org/": "allow"}
+
+
+def test_verdicts_do_not_depend_on_the_number_of_seeds(spark):
+    """Further blocked hosts leave the verdicts of others as they are."""
+    pages = [("http://bad.net/fr/1", None), ("http://spam.org/", '<a href="http://bad.net/">'), ("http://far.org/", '<a href="http://spam.org/">')]
+    more = [(f"http://h{i}.net/fr/1", None) for i in range(40)]
+    for all_pages in (pages, pages + more):
+        got = verdicts(spark, all_pages, least_distrust=0.1)
+        assert got["http://spam.org/"] == got["http://far.org/"] == "block"
