@@ -4,7 +4,8 @@ Kinds: e-mail, IPv4, phone, card (13 to 19 digits), US social security number, I
 and names (a listed first name and a surname, or a title and a surname). A surrogate
 is a keyed permutation of the entities of its form: a Feistel network on the two halves
 of its characters that moves each character within its own alphabet (digits, vowels,
-consonants, accented letters, Cyrillic, Greek, by case) and leaves the others. So it
+consonants, accented letters, Cyrillic, Greek, by case; any other letter among its
+neighbours in Unicode of its case) and leaves what is no letter or digit. So it
 keeps length, script, case and punctuation, and two entities never share one. On top of
 that: phones keep the country code, cards the first digit and whether Luhn's check
 holds, addresses stay four bytes, IBANs keep the country (check digits are permuted, not
@@ -14,7 +15,10 @@ parts: coreference holds.
 
 A surrogate could be an entity that the corpus has itself. ``assign`` joins surrogates
 to entities, and gives those that collide (or share a surrogate, which a permutation
-rules out) further attempts under another key, until none is left.
+rules out) further attempts under another key. What still collides after these, as
+where a short form has as many entities as surrogates, gets a longer surrogate: a number
+of its own is added, in letters for names, at the start of e-mails and else at the end.
+Such a one keeps its kind's format only as far as that can grow.
 
 All is built-in expressions: matches are found once, transformed as an array, and put
 between the pieces that the same expression splits off. No row leaves the JVM.
@@ -28,9 +32,13 @@ alone. An empty table gives an empty result; only the named columns are read, an
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.llm.common import written
@@ -68,6 +76,32 @@ ALPHABETS = (
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
 
+#: Letters that ALPHABETS leaves out and that belong together.
+FURTHER = ("йёъь", "ЙЁЪЫЬ", "άέήίόύώϊϋΐΰς", "ΆΈΉΊΌΎΏΪΫ")
+
+
+def _other_letters() -> tuple[list[str], list[tuple[int, int]]]:
+    """All letters that ALPHABETS leaves out: groups of one script, case and row of 128 code points, and ranges of rows full of one kind."""
+    listed, rows = set("".join(ALPHABETS + FURTHER)), defaultdict(list)
+    for code in range(128, 0x110000):
+        if (case := unicodedata.category(chr(code)))[0] == "L" and chr(code) not in listed:
+            rows[case, unicodedata.name(chr(code), "").split(" ")[0], code >> 7].append(chr(code))
+    groups, few, ranges = list(FURTHER), defaultdict(list), []
+    for (case, _, row), letters in rows.items():
+        if len(letters) == 128:
+            if ranges and ranges[-1][1] == row << 7:
+                ranges[-1] = (ranges[-1][0], (row + 1) << 7)
+            else:
+                ranges.append((row << 7, (row + 1) << 7))
+        elif len(letters) < 5:
+            few[case] += letters
+        else:
+            groups.append("".join(letters))
+    return groups + ["".join(x) for x in few.values()], ranges
+
+
+OTHER_GROUPS, OTHER_RANGES = _other_letters()
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SURNAME = r"\p{Lu}[\p{L}'-]{1,40}"
 _FIRST = "|".join(sorted((x for names in FIRST_NAMES.values() for x in names), key=lambda x: (-len(x), x)))
@@ -107,13 +141,28 @@ def _in_list(at: Column, sizes: list[int], by: Callable[[Column, Column], Column
     return start + F.pmod(at - 1 - start + by(of(range(len(sizes))), size), size) + 1
 
 
+def _other(c: Column, by: Column) -> Column:
+    """A character outside ASCII and ALPHABETS: a letter moves on in its group or row, others stay."""
+    code = F.ascii(c)
+    letter = F.decode(F.unhex(F.lpad(F.hex(code - code % 128 + (code + by) % 128), 8, "0")), "UTF-32")
+    groups = F.split(F.lit("|".join(OTHER_GROUPS)), r"\|")
+    return F.when(reduce(or_, (code.between(a, z - 1) for a, z in OTHER_RANGES)), letter).otherwise(
+        let(
+            F.get(F.filter(groups, lambda g: F.instr(g, c) > 0), F.lit(0)),
+            lambda g: F.when(g.isNotNull(), F.substring(g, F.pmod(F.instr(g, c) - 1 + by, F.length(g)) + 1, F.lit(1))).otherwise(c),
+        )
+    )
+
+
 def _shifted(text: Column, seed: Column) -> Column:
     """Each character moved on in its alphabet, by what a hash of ``seed`` says for its place."""
     characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     every = F.lit("".join(ALPHABETS))
     moved = lambda c, by: let(
         F.instr(every, c),
-        lambda at: F.when(at > 0, F.substring(every, _in_list(at, [len(x) for x in ALPHABETS], lambda _, size: by), F.lit(1))).otherwise(c),
+        lambda at: F.when(at > 0, F.substring(every, _in_list(at, [len(x) for x in ALPHABETS], lambda _, size: by), F.lit(1)))
+        .when(F.ascii(c) > 127, _other(c, by))
+        .otherwise(c),
     )
     return let(F.sha2(seed, 256), lambda h: F.array_join(F.transform(characters, lambda c, i: moved(c, _number(h, i % 16))), ""))
 
@@ -228,64 +277,101 @@ def _keyed(key: str, attempt: Column | int) -> Column:
     return F.concat(F.lit(f"{key}|"), (F.lit(attempt) if isinstance(attempt, int) else attempt).cast("string"))
 
 
+def _colliding(given: DataFrame) -> DataFrame:
+    """Entities whose surrogate is an entity or, but for one of them, shared."""
+    taken = given.join(given.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
+    shared = given.groupBy("surrogate").agg(F.count(F.lit(1)).alias("n"), F.max("entity").alias("entity")).filter("n > 1").select("entity")
+    return written(taken.unionByName(shared).distinct(), "collisions")
+
+
+def _lengthened(base: Column, number: Column) -> Column:
+    """``base`` with the digits of ``number``, as letters for a name."""
+    letters = lambda x: F.translate(number, "0123456789", x)
+    name = F.concat(base, F.when(base.rlike(r"\p{IsCyrillic}$"), letters("бвгджзклмн")).when(base.rlike(r"\p{IsGreek}$"), letters("βγδζθκλμνπ")).otherwise(letters("bcdfghjklm")))
+    return F.when(base.contains("@"), F.concat(number, base)).when(kind_of(base) == "name", name).otherwise(F.concat(base, number))
+
+
+def _given_longer(given: DataFrame, bad: DataFrame) -> DataFrame:
+    """``given`` with longer surrogates for the entities of ``bad``, none of which collides.
+
+    Each entity has a number of its own, and all numbers have so many digits, so no two of a
+    round are the same. Those that meet an entity or a surrogate given before get a digit
+    more; as these are so many and so long only, that ends.
+    """
+    every = given.select(F.col("entity").alias("surrogate"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("entity"))
+    left = given.join(bad, "entity", "left_semi").select("*", F.pmod(F.xxhash64("entity"), F.lit(PARTS)).alias("part"))
+    left = written(left.select("entity", "attempt", F.col("surrogate").alias("base"), ((own - 1) * PARTS + F.col("part")).cast("long").alias("number")), "collisions")
+    kept = given.join(bad, "entity", "left_anti").select("entity", "attempt", "surrogate")
+    digits = len(str(left.agg(F.max("number")).first()[0]))
+    while not left.isEmpty():
+        number = F.lpad(F.col("number").cast("string"), digits, "0")
+        tried = written(left.select("entity", (F.col("attempt") + 1).alias("attempt"), _lengthened(F.col("base"), number).alias("surrogate")), "surrogates")
+        met = written(tried.join(every.unionByName(kept.select("surrogate")), "surrogate", "left_semi").select("entity"), "collisions")
+        kept = written(kept.unionByName(tried.join(met, "entity", "left_anti")), "surrogates")
+        left, digits = written(left.join(met, "entity", "left_semi"), "collisions"), digits + 1
+    return kept
+
+
 def assign(found: DataFrame, key: str, *, attempts: int = 8) -> DataFrame:
     """(entity, surrogate, attempt): surrogates that are no entity themselves and that none share.
 
-    Each round looks at what still collides; usually the first finds nothing.
+    Each round looks at what still collides; usually the first finds nothing. What
+    collides after ``attempts`` gets longer surrogates.
     """
     given = written(found.select("entity", F.lit(0).alias("attempt")).select("*", surrogate(F.col("entity"), _keyed(key, 0)).alias("surrogate")), "surrogates")
-    for _ in range(1, attempts):
-        taken = given.join(given.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
-        shared = given.groupBy("surrogate").agg(F.count(F.lit(1)).alias("n"), F.max("entity").alias("entity")).filter("n > 1").select("entity")
-        bad = written(taken.unionByName(shared).distinct(), "collisions")
+    for attempt in range(attempts):
+        bad = _colliding(given)
         if bad.isEmpty():
             return given
+        if attempt == attempts - 1:
+            break
         again = given.join(bad, "entity", "left_semi").select("entity", (F.col("attempt") + 1).alias("attempt"))
         again = again.select("*", surrogate(F.col("entity"), _keyed(key, F.col("attempt"))).alias("surrogate"))
         given = written(given.join(bad, "entity", "left_anti").select("entity", "attempt", "surrogate").unionByName(again), "surrogates")
-    raise ValueError(f"surrogates still collide after {attempts} attempts")
+    return _given_longer(given, bad)
 
 
-#: Columns that are added on the way.
-FOUND, ATTEMPTS = "_pii_found", "_pii_attempts"
+#: Columns that are added on the way, and parts in which what collides is numbered.
+FOUND, MOVED, PARTS = "_pii_found", "_pii_moved", 256
 
 
-def _replaced(text: Column, attempt: Callable[[Column], Column | int], key: str) -> Column:
-    """``text`` with surrogates for what FOUND lists."""
-    news = F.transform(FOUND, lambda e: surrogate(e, _keyed(key, attempt(e))))
+def _replaced(text: Column, key: str, moved: bool = False) -> Column:
+    """``text`` with surrogates for what FOUND lists, those of MOVED first."""
+    first = lambda e: surrogate(e, _keyed(key, 0))
+    news = F.transform(FOUND, lambda e: F.coalesce(F.element_at(MOVED, e), first(e)) if moved else first(e))
     joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.concat(news, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
     return F.when(F.size(FOUND) > 0, joined).otherwise(text)
 
 
 def _detected(docs: DataFrame, text: str) -> DataFrame:
-    if {FOUND, ATTEMPTS} & set(docs.columns):
-        raise ValueError(f"columns {FOUND} and {ATTEMPTS} are used inside")
+    if {FOUND, MOVED} & set(docs.columns):
+        raise ValueError(f"columns {FOUND} and {MOVED} are used inside")
     return docs.select("*", entities(text).alias(FOUND))
 
 
-def _attempts(docs: DataFrame, key: str, doc_id: str, text: str) -> DataFrame | None:
-    """(id, ATTEMPTS) of documents with entities that collide, or None if there are none."""
+def _moved(docs: DataFrame, key: str, doc_id: str, text: str) -> DataFrame | None:
+    """(id, MOVED) of documents with entities that collide, or None if there are none."""
     found = written(docs.select(F.col(doc_id).alias("_id"), F.explode(F.array_distinct(entities(text))).alias("entity")), "entities")
-    moved = assign(found.select("entity").distinct(), key).filter("attempt > 0").select("entity", "attempt")
+    moved = assign(found.select("entity").distinct(), key).filter("attempt > 0").select("entity", "surrogate")
     if moved.isEmpty():
         return None
-    return found.join(moved, "entity").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(ATTEMPTS))
+    return found.join(moved, "entity").groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct("entity", "surrogate"))).alias(MOVED))
 
 
 def replace(docs: DataFrame, key: str, *, doc_id: str = "doc_id", text: str = "text", check: bool = True, found: bool = False) -> DataFrame:
     """``docs`` with surrogates in ``text``; all other columns as they are, ``found`` adds what was found.
 
     With ``check``, a first pass over the corpus looks for collisions. If there are any,
-    the attempts of the documents that hold such entities are joined to them.
+    the new surrogates of the entities that collide are joined to the documents that hold them.
     """
     more = [FOUND] if found else []
-    attempts = _attempts(docs, key, doc_id, text) if check else None
+    moved = _moved(docs, key, doc_id, text) if check else None
     rows = _detected(docs, text)
-    if attempts is None:
-        return rows.withColumn(text, _replaced(F.col(text), lambda _: 0, key)).select(*docs.columns, *more)
-    both = rows.join(attempts, rows[doc_id].eqNullSafe(attempts["_id"]), "left")
-    of = lambda e: F.coalesce(F.element_at(ATTEMPTS, e), F.lit(0))
-    return both.withColumn(text, _replaced(F.col(text), of, key)).select(*docs.columns, *more)
+    if moved is None:
+        return rows.withColumn(text, _replaced(F.col(text), key)).select(*docs.columns, *more)
+    both = rows.join(moved, rows[doc_id].eqNullSafe(moved["_id"]), "left")
+    return both.withColumn(text, _replaced(F.col(text), key, moved=True)).select(*docs.columns, *more)
 
 
 def op8_pii(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
