@@ -27,8 +27,9 @@ with pairs.
 
 Edge cases: a document without words (null, empty or white space) is only equal to the
 same text, null to null and to empty. A null id has a null class and is never a
-partner. Rows that repeat an id are one document; if their texts differ, its class is
-the smallest of theirs. The smallest id of a class names it. An empty table gives an
+partner. Rows that repeat an id are one document; if their texts differ, it joins their
+classes. The smallest id of a class names it. ``keep_one`` keeps a text of each class of
+texts, so what such a document joins stays. An empty table gives an
 empty result. Very long texts are one row like others. Only the named columns are read.
 """
 
@@ -71,6 +72,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(text), SPACE), ""), lambda w: F.xxhash64(w))
 
 
+def content_of(text: Column) -> Column:
+    """A digest that only equal texts share."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of ``x``."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -308,27 +314,42 @@ def likely_in(rows: DataFrame, ids: DataFrame, bitmaps: int, column: str = "id")
     return held.filter(F.getbit(byte, (position % 8).cast("int")) == 1).select(*rows.columns)
 
 
-def classes(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id): the smallest id of each document's class."""
+def _linked(docs: DataFrame, settings: Settings, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents, their signatures, their distinct texts and the links of these."""
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    hashed = whole.filter("doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2("text", 256)).alias("content"), word_hashes(F.col("text")).alias("words"))
+    hashed = whole.filter("doc_id IS NOT NULL").select("doc_id", content_of(F.col("text")).alias("content"), word_hashes(F.col("text")).alias("words"))
     signed = written(sign(hashed, settings), "signatures")
-    # equal texts: the smallest id stands for all
-    copies = signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    copies = written(copies, "representatives")
-    reps = copies.select("id", "n", "sig")
-    links = written(_links(reps, whole, settings), "links")
-    labels = components(links)
-    own = signed.select("doc_id", "content").join(copies.filter("copies > 1").select("content", F.col("id").alias("copy_of")), "content", "left")
-    own = own.select("doc_id", F.coalesce("copy_of", "doc_id").alias("id"))
-    out = own.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("class_id"))
+    # equal texts are one representative, with a number of its own: an id may have several texts
+    copies = signed.groupBy("content").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    copies = written(copies.withColumn("id", F.monotonically_increasing_id()), "representatives")
+    return whole, signed, copies, written(_links(copies, whole, settings), "links")
+
+
+def _labels(copies: DataFrame, links: DataFrame) -> DataFrame:
+    """(content, doc, label) of each text that has copies or links, labels being those of classes."""
+    both = copies.join(components(links), "id", "left").filter("copies > 1 OR label IS NOT NULL")
+    return both.select("content", "doc", F.coalesce("label", "id").alias("label"))
+
+
+def classes(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id): the smallest id of each document's class."""
+    whole, signed, copies, links = _linked(docs, settings, key, text)
+    # an id with several texts links them
+    again = signed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    again = signed.select("doc_id", "content").join(again, "doc_id").distinct().join(copies.select("content", "id"), "content").groupBy("doc_id")
+    again = again.agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).filter(F.size("ids") > 1).select("a", F.explode("ids").alias("b"))
+    known = written(_labels(copies, links.unionByName(again.filter("a <> b"))), "labels")
+    names = known.groupBy("label").agg(F.min("doc").alias("class_id"))
+    named = known.join(names, "label").select("content", "class_id")
+    out = signed.select("doc_id", "content").join(named, "content", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     missing = whole.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
     return out.unionByName(missing)
 
 
-def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
+def _links(copies: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): verified links that connect every class of different texts."""
+    reps = copies.select("id", "n", "sig")
     rows = bucket_rows(reps, settings)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     rows = written(rows.join(sizes, "bucket").select("bucket", "id", "n", "size"), "buckets")
@@ -337,10 +358,11 @@ def _links(reps: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
     rows = written(rows.join(leaders, "bucket"), "buckets")
     likely = F.least("n", "m") >= settings.similarity * F.greatest("n", "m")
     stars = rows.filter("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
-    involved = rows.select("id").distinct()
-    texts = likely_in(whole.select(F.col("doc_id").alias("id"), "text"), involved, settings.bitmaps)
+    involved = written(rows.select("id").distinct().join(copies.select("id", "doc", "content"), "id"), "involved")
+    texts = likely_in(whole.select(F.col("doc_id").alias("doc"), "text"), involved.select("doc"), settings.bitmaps, "doc")
     # an inner join, ids being distinct: a semi join would be pushed below the bitmaps
-    texts = written(texts.join(involved, "id").dropDuplicates(["id"]), "texts")
+    texts = texts.join(involved, "doc").filter(content_of(F.col("text")) == F.col("content")).select("id", "text")
+    texts = written(texts.dropDuplicates(["id"]), "texts")
     first = written(verified(stars, texts, settings), "links")
     labels = components(first)
     rows = rows.join(labels, "id", "left").select("bucket", "id", "n", "size", "first", F.coalesce("label", "id").alias("label"))
@@ -395,10 +417,16 @@ def op3_near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFram
 
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), *, key: str = "doc_id") -> DataFrame:
-    """``docs`` without the near copies of others: the smallest id of each class stays, null ids too.
+    """``docs`` without the near copies of others: of each class of texts that of the smallest id stays, null ids too.
 
-    Rows that repeat an id and what they hold become one.
+    Rows that repeat an id and its text become one.
     """
-    kept = classes(docs, settings, key=key).filter("doc_id = class_id").select(F.col("doc_id").alias(key))
-    rows = docs.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
+    _, signed, copies, links = _linked(docs, settings, key, "text")
+    known = written(_labels(copies, links), "labels")
+    first = known.groupBy("label").agg(F.min(F.struct("doc", "content")).alias("first"))
+    first = known.join(first, "label").select("content", F.col("first.doc").alias("first_doc"), F.col("first.content").alias("first_content"))
+    kept = signed.select("doc_id", "content").join(first, "content", "left").filter("first_doc IS NULL OR (doc_id = first_doc AND content = first_content)")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("content").alias("_content"))
+    rows = docs.filter(F.col(key).isNotNull()).withColumn("_content", content_of(text_or_empty("text")))
+    rows = rows.join(kept, [key, "_content"], "left_semi").dropDuplicates([key, "_content"])
     return rows.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
