@@ -213,7 +213,7 @@ class Scorer:
 def learn_lexicon(rows: DataFrame, limits: Limits = Limits()) -> list[Term]:
     """Terms from rows (t, toxic): words and stems, most toxic rows first, bounded by ``most_terms``.
 
-    Counts are of rows. Those of a stem add up over its words, and a term is left out
+    Words of any length count, stems have ``limits.stem`` characters. Counts are of rows. Those of a stem add up over its words, and a term is left out
     where a shorter stem says the same.
     """
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -230,7 +230,7 @@ def learn_lexicon(rows: DataFrame, limits: Limits = Limits()) -> list[Term]:
     share = n[1] / (n[0] + n[1])
     # at even rates of toxic and other rows, so that a rare class doesn't hide its terms
     odds = F.col("bad") * (1 - share) / (F.col("bad") * (1 - share) + (F.col("all") - F.col("bad") + 0.5) * share)
-    chosen = both.filter((F.col("bad") >= limits.least_rows) & (F.length("word") >= low) & (F.col("bad") >= limits.least_share * F.col("all")) & (odds >= limits.least_share))
+    chosen = both.filter((F.col("bad") >= limits.least_rows) & (F.col("bad") >= limits.least_share * F.col("all")) & (odds >= limits.least_share))
     found = chosen.orderBy(F.desc("bad"), F.length("word"), "word", F.desc("stem")).limit(limits.most_terms).collect()
     terms: list[Term] = []
     taken: dict[str, int] = {}
