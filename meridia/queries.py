@@ -542,7 +542,7 @@ def overfitting_probability(spark, sf):
 
 @query("simulated_paths")
 def simulated_paths(spark, sf):
-    return simulate.bands(simulate.paths(spark, 0.08, 0.16, sims=500, days=60))
+    return simulate.bands(simulate.paths(spark, 0.08, 0.16))
 
 
 def _paths(spark, sf):
@@ -611,7 +611,7 @@ def walk_forward_weights(spark, sf):
     """Weights of every method on each training window."""
     returns = _returns(spark, sf)
     inside = planning.in_windows(returns, planning.walk_forward_windows(returns.select("date")), part="train")
-    return optimize.optimized(inside, "window_id", ["equal_weight", "min_variance", "risk_parity", "hrp"])
+    return optimize.optimized(inside, "window_id")
 
 
 @query("optimized_portfolios")
@@ -621,7 +621,7 @@ def optimized_portfolios(spark, sf):
 
 @query("bootstrapped_weights")
 def bootstrapped_weights(spark, sf):
-    return optimize.bootstrapped(_returns(spark, sf), samples=20)
+    return optimize.bootstrapped(_returns(spark, sf))
 
 
 @query("event_windows", "date symbol n", "price", "SELECT CAST(ts AS DATE) AS date, event_type AS symbol, count(value) AS n, avg(value) AS price FROM events GROUP BY 1, 2")
