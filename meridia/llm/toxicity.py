@@ -45,8 +45,7 @@ SECOND = frozenset("you your youre ur du dein ihr euch tu te toi vous votre uste
 class Limits:
     """What bounds the model, whatever the size of the tables."""
 
-    sample_rows: int = 40_000  # labelled rows that are learned from, about
-    most_terms: int = 2_000
+    sample_rows: int = 40_000  # labelled rows that are learned from, about; all terms that they show are kept
     least_rows: int = 4  # toxic rows that have a term, at least
     least_share: float = 0.8  # of a term's rows that are toxic
     stem: tuple[int, int] = (4, 8)  # characters of stems
@@ -211,7 +210,7 @@ class Scorer:
 
 
 def learn_lexicon(rows: DataFrame, limits: Limits = Limits()) -> list[Term]:
-    """Terms from rows (t, toxic): words and stems, most toxic rows first, bounded by ``most_terms``.
+    """All terms that rows (t, toxic) show: words and stems. Their number is bounded by that of the rows.
 
     Words of any length count, stems have ``limits.stem`` characters. Counts are of rows. Those of a stem add up over its words, and a term is left out
     where a shorter stem says the same.
@@ -231,7 +230,7 @@ def learn_lexicon(rows: DataFrame, limits: Limits = Limits()) -> list[Term]:
     # at even rates of toxic and other rows, so that a rare class doesn't hide its terms
     odds = F.col("bad") * (1 - share) / (F.col("bad") * (1 - share) + (F.col("all") - F.col("bad") + 0.5) * share)
     chosen = both.filter((F.col("bad") >= limits.least_rows) & (F.col("bad") >= limits.least_share * F.col("all")) & (odds >= limits.least_share))
-    found = chosen.orderBy(F.desc("bad"), F.length("word"), "word", F.desc("stem")).limit(limits.most_terms).collect()
+    found = chosen.collect()
     terms: list[Term] = []
     taken: dict[str, int] = {}
     for r in sorted(found, key=lambda r: (len(r.word), not r.stem, r.word)):
@@ -261,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
     """Model from labelled rows that are not held out.
 
     A bounded sample of labels is joined, so it is broadcast: ``sample_rows`` pairs of
-    numbers. To the driver come ``most_terms`` terms and a few numbers a sampled row.
+    numbers. To the driver come the terms of the sample and a few numbers a sampled row.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     sample = F.broadcast(bounded_sample(known.filter(~held_out()), F.col("doc_id"), limits.sample_rows))
