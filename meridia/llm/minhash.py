@@ -13,15 +13,18 @@ earliest point, so two bags agree there with the probability of their weighted J
 similarity, exactly. Points are made in rounds up to a time by which every component
 has one almost surely; a text for which one is missing is given more time.
 
-*Candidates.* Equal texts are one representative. 160 components make 32 bands of 5:
-a pair at 0.8 shares no band with a probability of 3 in a million. Each bucket is
+*Candidates.* Equal texts are one representative. 160 components make 32 bands of 5.
+A pair is a candidate if it shares a band and agrees on ``least_agreement`` of all
+components, in small buckets and large ones alike. A pair at 0.8 fails the first with a
+probability of 3, the second of 6 in a million. Each bucket is
 first compared to its most central member, the one that meets most others over all
 buckets, so that a group of near copies has few leaders. Components of verified links are built. What is
 left are pairs in one bucket and in different components. Small buckets give all such
-pairs. Large ones join to families, dealt to blocks; each pair of blocks is one bounded
-task, which compares signatures, verifies what may be linked and is not connected yet,
-and returns a spanning forest. So no link is lost, and rows grow with documents, not
-with pairs.
+pairs. Large ones join to families, whose signatures are dealt to blocks; each pair of
+blocks is one bounded task, which finds the members that have a candidate in another
+component. Their texts follow, and one more task a pair of blocks verifies what is not
+connected yet and returns a spanning forest. So no candidate is passed over unless its
+class is whole without it, and rows grow with documents, not with pairs.
 
 *Exactness.* Similarities are computed from whole texts, with 64-bit shingle hashes.
 
@@ -30,7 +33,8 @@ same text, null to null and to empty. A null id has a null class and is never a
 partner. Rows that repeat an id are one document; if their texts differ, it joins their
 classes. The smallest id of a class names it. ``keep_one`` keeps a text of each class of
 texts, so what such a document joins stays. An empty table gives an
-empty result. Very long texts are one row like others. Only the named columns are read.
+empty result. Very long texts are one row like others. Only the named columns are read;
+``keep_one`` passes all others on, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import text_or_empty, written
+from meridia.llm.common import fresh, text_or_empty, written
 
 SPACE = "[ \\x09-\\x0D]+"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -60,12 +64,16 @@ class Settings:
     small_bucket: int = 16  # members up to which a bucket gives pairs
     block: int = 512  # members of a block, about
     least_agreement: float = 0.66  # of signatures, 4.4 standard errors below 0.8
-    bitmaps: int = 1024  # of 4 kB and 32,768 bits each, to keep texts without candidates out of a shuffle
+    most_bitmaps: int = 16_384  # of 4 kB and 32,768 bits each, to keep texts without candidates out of a shuffle
 
     @property
     def components(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_equal(self) -> int:
+        return math.floor(self.least_agreement * self.components)
+
 
 def word_hashes(text: Column) -> Column:
     """A 64-bit hash of each lower-cased word, in order."""
@@ -225,19 +233,30 @@ def bag(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return item, count
 
 
+def candidates(one: np.ndarray, two: np.ndarray, settings: Settings) -> np.ndarray:
+    """For signatures in rows (``one`` may be a single one): who agrees on enough components and on a whole band."""
+    same = one == two
+    out = same.sum(axis=-1) >= settings.least_equal
+    out[out] = same[out].reshape(-1, settings.bands, settings.rows).all(axis=2).any(axis=1)
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Those of pairs (a, b) whose similarity is enough. ``texts``: id, text."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    both = both.select("a", "b", word_hashes(F.col("left")).alias("left"), word_hashes(F.col("right")).alias("right"))
+    """Those of pairs (a, b) that are candidates and whose similarity is enough. ``texts``: id, text, sig."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left"), F.col("sig").alias("s")), "a")
+    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right"), F.col("sig").alias("t")), "b")
+    both = both.select("a", "b", word_hashes(F.col("left")).alias("left"), word_hashes(F.col("right")).alias("right"), "s", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
+            if not batch.num_rows:
+                continue
+            sigs = [np.stack([np.frombuffer(x.as_py(), np.uint16) for x in batch.column(k)]) for k in (4, 5)]
+            kept = candidates(*sigs, settings)
             columns = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in (batch.column(2), batch.column(3))]
-            for i in range(batch.num_rows):
+            for i in np.flatnonzero(kept):
                 one, two = (bag(v[o[i] : o[i + 1]], settings.shingle) for o, v in columns)
-                kept.append(similarity(one, two) >= settings.similarity)
+                kept[i] = similarity(one, two) >= settings.similarity
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     return both.mapInArrow(work, "a long, b long")
@@ -260,6 +279,24 @@ class Forest:
         return x != y
 
 
+def block_candidates(group: pd.DataFrame, settings: Settings) -> list[tuple[int, int, int]]:
+    """(components in disagreement, row, row) of candidates within a block, or between two, in different components."""
+    if not len(group):
+        return []
+    sig = np.stack([np.frombuffer(x, np.uint16) for x in group["sig"]])
+    block, n, label = group["block"].to_numpy(), group["n"].to_numpy(), group["label"].to_numpy()
+    two_blocks = group["p"].iloc[0] != group["q"].iloc[0]
+    found: list[tuple[int, int, int]] = []
+    for i in range(len(group) - 1):
+        rest = np.arange(i + 1, len(group))
+        rest = rest[(label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= settings.similarity * np.maximum(n[rest], n[i]))]
+        if two_blocks:
+            rest = rest[block[rest] != block[i]]
+        rest = rest[candidates(sig[rest], sig[i], settings)]
+        found += [(settings.components - int(k), i, int(j)) for k, j in zip((sig[rest] == sig[i]).sum(axis=1), rest, strict=True)]
+    return found
+
+
 def block_links(group: pd.DataFrame, settings: Settings) -> list[tuple[int, int]]:
     """Links within a block, or between two, that connect what ``label`` doesn't: a spanning forest."""
     group = group.sort_values("id", ignore_index=True)
@@ -267,21 +304,10 @@ def block_links(group: pd.DataFrame, settings: Settings) -> list[tuple[int, int]
     for same in group.groupby("label").indices.values():
         for i in same[1:]:
             forest.join(int(same[0]), int(i))
-    sig = np.stack([np.frombuffer(x, np.uint16) for x in group["sig"]])
-    block, n, ids = group["block"].to_numpy(), group["n"].to_numpy(), group["id"].to_numpy()
-    two_blocks = block.min() != block.max() or group["p"].iloc[0] != group["q"].iloc[0]
-    found: list[tuple[int, int, int]] = []
-    least = math.floor(settings.least_agreement * settings.components)
-    for i in range(len(group) - 1):
-        rest = np.arange(i + 1, len(group))
-        if two_blocks:
-            rest = rest[block[rest] != block[i]]
-        rest = rest[np.minimum(n[rest], n[i]) >= settings.similarity * np.maximum(n[rest], n[i])]
-        agree = (sig[rest] == sig[i]).sum(axis=1)
-        found += [(-int(k), i, int(j)) for k, j in zip(agree[agree >= least], rest[agree >= least], strict=True)]
+    ids = group["id"].to_numpy()
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     out = []
-    for _, i, j in sorted(found):
+    for _, i, j in sorted(block_candidates(group, settings)):
         if forest.root(i) != forest.root(j):
             for k in (i, j):
                 if k not in known:
@@ -358,10 +384,13 @@ def _links(copies: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame
     rows = written(rows.join(leaders, "bucket"), "buckets")
     likely = F.least("n", "m") >= settings.similarity * F.greatest("n", "m")
     stars = rows.filter("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
-    involved = written(rows.select("id").distinct().join(copies.select("id", "doc", "content"), "id"), "involved")
-    texts = likely_in(whole.select(F.col("doc_id").alias("doc"), "text"), involved.select("doc"), settings.bitmaps, "doc")
+    involved = written(rows.select("id").distinct().join(copies.select("id", "doc", "content", "sig"), "id"), "involved")
+    texts = whole.select(F.col("doc_id").alias("doc"), "text")
+    bitmaps = max(1, math.ceil(involved.count() / 4096))  # eight bits an id
+    if bitmaps <= settings.most_bitmaps:
+        texts = likely_in(texts, involved.select("doc"), bitmaps, "doc")
     # an inner join, ids being distinct: a semi join would be pushed below the bitmaps
-    texts = texts.join(involved, "doc").filter(content_of(F.col("text")) == F.col("content")).select("id", "text")
+    texts = texts.join(involved, "doc").filter(content_of(F.col("text")) == F.col("content")).select("id", "text", "sig")
     texts = written(texts.dropDuplicates(["id"]), "texts")
     first = written(verified(stars, texts, settings), "links")
     labels = components(first)
@@ -400,16 +429,21 @@ def _family_links(large: DataFrame, reps: DataFrame, texts: DataFrame, settings:
     label = large.groupBy("id").agg(F.first("label").alias("label"))
     member = family.join(sizes, "family").join(label, "id").join(reps, "id")
     member = member.select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
-    member = member.join(texts.select("id", word_hashes(F.col("text")).alias("words")), "id")
-    # each block meets itself and every other one once
+    # each block meets itself and every other one once; only signatures travel to all of them
     dealt = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "n", "sig", "words"
+        "family", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "label", "n", "sig"
     )
+    kinds = "family long, p int, q int, block int, id long, label long, n long, sig binary"
+
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        return group.iloc[sorted({x for _, i, j in block_candidates(group, settings) for x in (i, j)})]
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
+    def link(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(block_links(group, settings), columns=["a", "b"], dtype="int64")
 
-    return written(dealt.groupBy("family", "p", "q").applyInPandas(work, "a long, b long"), "links")
+    found = written(dealt.groupBy("family", "p", "q").applyInPandas(find, kinds), "candidates")
+    found = found.join(texts.select("id", word_hashes(F.col("text")).alias("words")), "id")
+    return written(found.groupBy("family", "p", "q").applyInPandas(link, "a long, b long"), "links")
 
 
 def op3_near_dedup(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -426,7 +460,8 @@ def keep_one(docs: DataFrame, settings: Settings = Settings(), *, key: str = "do
     first = known.groupBy("label").agg(F.min(F.struct("doc", "content")).alias("first"))
     first = known.join(first, "label").select("content", F.col("first.doc").alias("first_doc"), F.col("first.content").alias("first_content"))
     kept = signed.select("doc_id", "content").join(first, "content", "left").filter("first_doc IS NULL OR (doc_id = first_doc AND content = first_content)")
-    kept = kept.select(F.col("doc_id").alias(key), F.col("content").alias("_content"))
-    rows = docs.filter(F.col(key).isNotNull()).withColumn("_content", content_of(text_or_empty("text")))
-    rows = rows.join(kept, [key, "_content"], "left_semi").dropDuplicates([key, "_content"])
+    name = fresh(docs, "_content")
+    kept = kept.select(F.col("doc_id").alias(key), F.col("content").alias(name))
+    rows = docs.filter(F.col(key).isNotNull()).withColumn(name, content_of(text_or_empty("text")))
+    rows = rows.join(kept, [key, name], "left_semi").dropDuplicates([key, name])
     return rows.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
