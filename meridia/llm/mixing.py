@@ -5,7 +5,8 @@ that can't use its share (its tokens, times the epochs allowed, are fewer) leave
 rest to its siblings by their weights, and only what all children of a node can't use
 goes back to its own siblings. This water-filling has a closed form: with children in
 the order of capacity per weight, the level is the largest of
-(budget - capacities before) / (weights from here on), so it is one window a level.
+(budget - capacities before) / (weights from here on), so it is one window a level over
+the distinct values of capacity per weight among a node's children.
 
 Each leaf reads its documents in seeded epochs, each in an order of its own by a hash
 of seed, epoch and id. The budget takes whole epochs and then a prefix of the next: all
@@ -16,22 +17,27 @@ threshold, and applying it is a filter with a join of the few leaves: texts aren
 shuffled, and a leaf with a third of all rows is as parallel as the table.
 
 Edge cases: null or missing domain, language and source count as empty names, with the
-default weight. A weight of 0 gives no tokens, a negative one is an error. A null or
-empty text has no tokens and comes along if the prefix reaches it. Rows that share an
+default weight. A weight of 0 gives no tokens to all that is below, and what is there
+counts nowhere as capacity; a negative one is an error. A null or
+empty text has no tokens and comes along if the prefix reaches it. Very long texts are
+rows like others: the one that reaches the budget is taken whole. Rows that share an
 id share their fate; null ids count as the smallest id. A target above what there is
 selects everything, for all epochs allowed. An empty table gives an empty result.
-Columns that ``select_mix`` isn't told of are passed on.
+Columns that ``select_mix`` isn't told of are passed on, whatever their names, but
+``copies``, which takes the place of a column of that name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import text_or_empty, written
+from meridia.llm.common import fresh, text_or_empty, written
 
 LEVELS = ("domain", "language", "source")
 SPACE = "[ \\x09-\\x0D]+"
@@ -75,24 +81,27 @@ def position(epoch: Column, seed: int, doc_id: Column) -> Column:
 
 
 def allocate(leaves: DataFrame, target: float, weights: Weights) -> DataFrame:
-    """``leaves`` (domain, language, source, capacity) with their ``budget``."""
-    nodes = {3: leaves}
+    """``leaves`` (domain, language, source, capacity) with their ``budget``.
+
+    Siblings of equal capacity per weight are one row of the window that fills a node.
+    """
+    reached = reduce(and_, (weights.column(depth) > 0 for depth in (1, 2, 3)))
+    useful = F.when(reached, F.col("capacity")).otherwise(0.0).alias("useful")
+    nodes = {3: leaves.select(*LEVELS, useful)}
     for depth in (2, 1):
-        nodes[depth] = leaves.groupBy(*LEVELS[:depth]).agg(F.sum("capacity").alias("capacity"))
-    above = leaves.agg(F.least(F.lit(float(target)), F.coalesce(F.sum("capacity"), F.lit(0.0))).alias("given"))
+        nodes[depth] = nodes[3].groupBy(*LEVELS[:depth]).agg(F.sum("useful").alias("useful"))
+    above = nodes[3].agg(F.least(F.lit(float(target)), F.coalesce(F.sum("useful"), F.lit(0.0))).alias("given"), F.lit(0).alias("root"))
     for depth in (1, 2, 3):
-        parents = list(LEVELS[: depth - 1])
-        level = nodes[depth].select("*", weights.column(depth).alias("weight"))
-        level = level.join(above, parents) if parents else level.crossJoin(F.broadcast(above))  # one row
-        useful = F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0.0)
-        level = level.select(*LEVELS[:depth], "capacity", "weight", "given", useful.alias("useful"), F.try_divide("capacity", "weight").alias("per_weight"))
-        order = Window.partitionBy(*(parents or [F.lit(0)])).orderBy(F.asc_nulls_last("per_weight"), *LEVELS[:depth])
-        whole = Window.partitionBy(*(parents or [F.lit(0)]))
+        parents = list(LEVELS[: depth - 1]) or ["root"]
+        level = nodes[depth].select("*", weights.column(depth).alias("weight"), F.lit(0).alias("root"))
+        equal = level.filter("weight > 0").groupBy(*parents, (F.col("useful") / F.col("weight")).alias("per_weight")).agg(F.sum("useful").alias("useful"), F.sum("weight").alias("weight"))
+        order = Window.partitionBy(*parents).orderBy("per_weight")
         before = F.coalesce(F.sum("useful").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
         behind = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-        level = level.select("*", F.try_divide(F.col("given") - before, behind).alias("here"))
-        level = level.select("*", F.greatest(F.coalesce(F.max("here").over(whole), F.lit(0.0)), F.lit(0.0)).alias("fill"))
-        above = level.select(*LEVELS[:depth], F.least("useful", F.col("weight") * F.col("fill")).alias("given"))
+        steps = equal.select(*parents, before.alias("before"), behind.alias("behind")).join(above, parents)
+        fill = steps.groupBy(*parents).agg(F.greatest(F.max((F.col("given") - F.col("before")) / F.col("behind")), F.lit(0.0)).alias("fill"))
+        level = level.join(fill, parents, "left")
+        above = level.select(*LEVELS[:depth], F.coalesce(F.least("useful", F.col("weight") * F.col("fill")), F.lit(0.0)).alias("given"))
     return leaves.join(above.withColumnRenamed("given", "budget"), list(LEVELS))
 
 
@@ -162,25 +171,26 @@ def select_mix(
     """
     if (target_share is None) == (target_tokens is None):
         raise ValueError("give target_share or target_tokens")
-    if "copies" in docs.columns:
-        raise ValueError("docs has a column copies already")
     tree = _tree(docs, domain if domain is not None else source_domain(source), language, source)
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     rows = written(docs.select(*tree, ident.alias("id"), token_count(text).alias("tokens")), "tokens")
     if target_tokens is None:
         target_tokens = target_share * (rows.agg(F.sum("tokens")).first()[0] or 0)
     chosen = cuts(rows, target_tokens, weights, max_epochs=max_epochs, seed=seed)
-    leaf = chosen.select(F.struct(*LEVELS).alias("_leaf"), F.struct("epochs", "ranges", "range", "cut_place", "cut_id").alias("_cut"))
-    both = docs.select("*", F.struct(*tree).alias("_leaf")).join(_small(leaf), "_leaf")
-    both = both.select("*", position(F.col("_cut.epochs"), seed, ident).alias("_place"))
-    at, edge = range_of(F.col("_place"), F.col("_cut.ranges")), F.col("_cut.range")
-    prefix = (at < edge) | ((at == edge) & ((F.col("_place") < F.col("_cut.cut_place")) | ((F.col("_place") == F.col("_cut.cut_place")) & (ident <= F.col("_cut.cut_id")))))
-    copies = (F.col("_cut.epochs") + F.coalesce(prefix.cast("long"), F.lit(0))).cast("int").alias("copies")
-    return both.select(*docs.columns, copies).filter("copies > 0")
-
-
-#: Weights of the query: two domains above the others, English below its share.
-QUERY_WEIGHTS = Weights({("domain0",): 2.0, ("domain1",): 3.0, ("domain0", "en"): 0.5, ("domain1", "es"): 4.0})
+    leaf_name, cut_name, place_name = (fresh(docs, x) for x in ("_leaf", "_cut", "_place"))
+    leaf = chosen.select(F.struct(*LEVELS).alias(leaf_name), F.struct("epochs", "ranges", "range", "cut_place", "cut_id").alias(cut_name))
+    both = docs.select("*", F.struct(*tree).alias(leaf_name)).join(_small(leaf), leaf_name)
+    cut = lambda name: F.col(cut_name)[name]
+    both = both.select("*", position(cut("epochs"), seed, ident).alias(place_name))
+    place = F.col(place_name)
+    at, edge = range_of(place, cut("ranges")), cut("range")
+    prefix = (at < edge) | ((at == edge) & ((place < cut("cut_place")) | ((place == cut("cut_place")) & (ident <= cut("cut_id")))))
+    copies = (cut("epochs") + F.coalesce(prefix.cast("long"), F.lit(0))).cast("int").alias("copies")
+    return both.select(*(c for c in docs.columns if c.lower() != "copies"), copies).filter("copies > 0")
+
+
+#: Weights of the query: two domains above the others, English below its share, and one source above its siblings.
+QUERY_WEIGHTS = Weights({("domain0",): 2.0, ("domain1",): 3.0, ("domain0", "en"): 0.5, ("domain1", "es"): 4.0, ("domain1", "en", "src1"): 2.0})
 
 
 def op7_source_mix(docs: DataFrame) -> DataFrame:

@@ -201,6 +201,8 @@ def fill(children, budget):
 
 def brute_budgets(capacity, weights, target):
     w = lambda path: weights.of.get(path, 1.0)
+    # what is below a weight of 0 is no capacity
+    capacity = {k: c if all(w(k[:depth]) > 0 for depth in (1, 2, 3)) else 0.0 for k, c in capacity.items()}
     budgets = {(): min(target, sum(capacity.values()))}
     for depth in (1, 2, 3):
         level = defaultdict(float)
@@ -221,15 +223,29 @@ def test_budgets(spark):
         leaves = spark.createDataFrame([(*k, c) for k, c in capacity.items()], "domain string, language string, source string, capacity double")
         for target in (10.0, 300.0, 1e6):
             got = {(r.domain, r.language, r.source): r.budget for r in mixing.allocate(leaves, target, weights).collect()}
-            # a node of weight 0 passes nothing on, so what its siblings can use counts
-            assert sum(got.values()) <= target + 1e-6
-            if all(w > 0 for w in weights.of.values()):
-                assert got == pytest.approx(brute_budgets(capacity, weights, target), abs=1e-6)
+            assert got == pytest.approx(brute_budgets(capacity, weights, target), abs=1e-6)
+            # all of the target is used whenever leaves that weights reach can take it
+            useful = sum(c for k, c in capacity.items() if all(weights.of.get(k[:depth], 1.0) > 0 for depth in (1, 2, 3)))
+            assert sum(got.values()) == pytest.approx(min(target, useful), abs=1e-6)
     plain = mixing.Weights({("d0",): 3.0})
     got = {(r.domain, r.language, r.source): r.budget for r in mixing.allocate(leaves, 120.0, plain).collect()}
     assert got == pytest.approx(brute_budgets(capacity, plain, 120.0), abs=1e-6)
 
 
+def test_weight_zero_below_a_domain_loses_no_budget(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 100.0), ("d1", "en", "b", 100.0)], "domain string, language string, source string, capacity double")
+    got = mixing.allocate(leaves, 100.0, mixing.Weights({("d0", "en"): 0.0})).collect()
+    assert {r.domain: r.budget for r in got} == {"d0": 0.0, "d1": 100.0}
+
+
+def test_mix_with_clashing_names(docs_of):
+    docs = docs_of(["a b", "c d", "e f"])
+    clashing = docs.selectExpr("*", "'x' AS _leaf", "'y' AS _cut", "'z' AS _place", "7 AS copies", "'d' AS domain")
+    want = {r.doc_id: r.copies for r in mixing.select_mix(docs, target_share=2.0, max_epochs=2).collect()}
+    rows = mixing.select_mix(clashing, target_share=2.0, max_epochs=2).collect()
+    assert {r.doc_id: r.copies for r in rows} == want and {(r._leaf, r._cut, r._place) for r in rows} == {("x", "y", "z")}
+
+
 def test_mix_takes_prefixes(spark, docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE", 7)
     rnd = random.Random(11)
