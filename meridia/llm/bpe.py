@@ -40,7 +40,7 @@ from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Chunks that a worker remembers, and the longest that it does.
-MOST_CHUNKS, LONGEST_CHUNK = 300_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 100_000, 64
 #: Letters below this are the same in every version of Unicode.
 COMMON = "\u0250"
 
@@ -88,6 +88,7 @@ class ByteBpe:
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         self.shown = dict(enumerate(shown))
+        self.lengths = np.array([len(x) for x in self.bytes_of], np.int64)
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -142,9 +143,16 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
 
-    def offsets(self, text: str) -> list[tuple[int, int]]:
-        """Characters (start, end) that each token touches; parts of one character share it."""
-        return self.tokenizer.encode(text, add_special_tokens=False).offsets
+    def offsets(self, text: str, ids: Sequence[int] | None = None) -> np.ndarray:
+        """Rows of (start, end): characters that each token (of ``ids``, if these are known) touches; parts of one character share it.
+
+        Tokens lie one behind the other in the bytes of ``text``, so their ends are sums of
+        lengths; a byte's character is the number of first bytes up to it.
+        """
+        ends = np.cumsum(self.lengths[np.asarray(self.encode(text) if ids is None else ids, np.int64)])
+        first = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        return np.stack([first[starts] - 1, first[ends - 1]], axis=1).astype(np.int32) if len(ends) else np.zeros((0, 2), np.int32)
 
     def decode_bytes(self, ids: Sequence[int]) -> bytes:
         of = self.bytes_of
@@ -189,10 +197,11 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for keys, texts in _batches(batches):
-            columns = [pa.array(bpe.encode_batch(texts), pa.list_(pa.int32()))]
+            encoded = bpe.encode_batch(texts)
+            columns = [pa.array(encoded, pa.list_(pa.int32()))]
             if offsets:
-                spans = [bpe.offsets(x) for x in texts]
-                columns += [pa.array([[y[k] for y in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
+                spans = [bpe.offsets(x, ids) for x, ids in zip(texts, encoded, strict=True)]
+                columns += [pa.array([x[:, k] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "ids", "starts", "ends"][: 1 + len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -214,25 +223,31 @@ def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", pat
 
 
 def round_trip(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
-    """Number and digest of each text's ids and the digest of the bytes that they decode to; with ``ids``, these too."""
+    """Number and digest of each text's ids, of their offsets, and of the bytes that they decode to; with ``ids``, these too.
+
+    Offsets are digested as pairs of little-endian 32-bit numbers (start, end).
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for keys, texts in _batches(batches):
             encoded = bpe.encode_packed(texts)
             counts = [len(x) // 4 for x in encoded]
+            lists = [np.frombuffer(x, "<u4") for x in encoded]
+            sha = lambda x: hashlib.sha256(x).hexdigest()
             columns = [
                 pa.array(counts, pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode_bytes(np.frombuffer(x, "<u4").tolist())).hexdigest() for x in encoded], pa.string()),
+                pa.array([sha(x) for x in encoded], pa.string()),
+                pa.array([sha(bpe.decode_bytes(x.tolist())) for x in lists], pa.string()),
+                pa.array([sha(bpe.offsets(t, x).tobytes()) for t, x in zip(texts, lists, strict=True)], pa.string()),
             ]
             if ids:
                 ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
                 columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(encoded), "<i4"))))
-            yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 1 + len(columns)])
+            yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "ids"][: 1 + len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string" + ", ids array<int>" * ids
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, schema).withColumnRenamed("key", key)
 
 

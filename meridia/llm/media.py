@@ -6,11 +6,14 @@ areas by an integral image, ``npy_tiles`` cuts an array to tiles and serialises
 each as NPY, ``difference_hash`` compares neighbours of a small resized image.
 
 ``media_of_texts`` stores any text losslessly as a raw PGM of 8-bit samples, 64
-to a row, reads it back and computes the features of what was read.
+to a row, and as a BMP of 8-bit grey samples, reads both back, which have to be the
+same, and computes the features of what was read: the difference hash, all of its NPY
+tiles, and an area-resized thumbnail as one more NPY tile.
 
 Edge cases: a null text counts as an empty one; its payload is one row of zero
 bytes. Very long texts give tall images: one document is in memory at a time.
-Equal texts give equal values. A broken image gives null columns in
+Equal texts give equal values. A broken image, and one whose header promises more than
+its bytes can hold, gives null columns in
 ``decode_column``, never an error. Rows are worked on one by one, an empty
 table gives an empty result, and only the named columns are read.
 """
@@ -32,6 +35,7 @@ WIDTH = 64
 HASH_SIDE = 8
 
 _SPACE = b" \t\n\v\f\r"
+_GREYS = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(256, 4).tobytes()
 
 
 def _header(data: bytes, fields: int) -> tuple[list[int], int]:
@@ -100,8 +104,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
     raw = raw[::-1] if height > 0 else raw
     if depth >= 24:
         return raw[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
-    bits = np.unpackbits(raw, axis=1).reshape(rows, -1, depth)[:, :width]
-    index = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2)
+    if depth == 8:
+        index = raw[:, :width]
+    else:
+        bits = np.unpackbits(raw, axis=1).reshape(rows, -1, depth)[:, :width]
+        index = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2)
     palette = np.frombuffer(data, np.uint8, 4 * (colours or 1 << depth), 14 + size).reshape(-1, 4)
     return palette[index][:, :, 2::-1]
 
@@ -117,6 +124,16 @@ def encode_bmp(samples: np.ndarray) -> bytes:
     return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
+def encode_grey_bmp(samples: np.ndarray) -> bytes:
+    """An 8-bit BMP of grey samples (rows, columns) with a palette of 256 greys, bottom row first."""
+    height, width = samples.shape
+    stride = (width + 3) // 4 * 4
+    rows = np.zeros((height, stride), np.uint8)
+    rows[:, :width] = samples[::-1]
+    head = struct.pack("<2sIHHI", b"BM", 54 + 1024 + rows.size, 0, 0, 54 + 1024)
+    return head + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 2835, 2835, 256, 0) + _GREYS + rows.tobytes()
+
+
 def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
@@ -173,13 +190,24 @@ def payload_of(text: str) -> tuple[int, np.ndarray]:
     return len(raw), np.frombuffer(raw.ljust(rows * WIDTH, b"\0"), np.uint8).reshape(rows, WIDTH)
 
 
+def tiles_digest(samples: np.ndarray) -> tuple[int, str]:
+    """How many tiles ``npy_tiles`` writes, and a digest of their bytes in order."""
+    n, digest = 0, hashlib.sha256()
+    for _, _, npy in npy_tiles(samples):
+        digest.update(npy)
+        n += 1
+    return n, digest.hexdigest()
+
+
 def _digest(text: str) -> tuple:
     n, rows = payload_of(text)
-    media = encode_pgm(rows)
-    back = decode(media)
+    media, bmp = encode_pgm(rows), encode_grey_bmp(rows)
+    back = grey(decode(media))
+    if not (decode(bmp) == back[:, :, None]).all():
+        raise AssertionError("the BMP doesn't hold what the PGM holds")
     payload = back.tobytes()
-    tile = area_resize(grey(back), HASH_SIDE, HASH_SIDE).round().astype(np.uint8)
-    feature = f"{difference_hash(grey(back))}:{hashlib.sha256(next(npy_tiles(tile))[2]).hexdigest()[:16]}"
+    tile = area_resize(back, HASH_SIDE, HASH_SIDE).round().astype(np.uint8)
+    feature = f"{difference_hash(back)}:{hashlib.sha256(next(npy_tiles(tile))[2]).hexdigest()[:16]}"
     return (
         n,
         len(payload),
@@ -188,6 +216,8 @@ def _digest(text: str) -> tuple:
         len(media),
         hashlib.sha256(media).hexdigest(),
         feature,
+        hashlib.sha256(bmp).hexdigest(),
+        *tiles_digest(back),
     )
 
 
@@ -207,7 +237,7 @@ def decode_column(images: DataFrame, *, key: str, image: str, tile: int = WIDTH,
                     hashed = difference_hash(samples)
                     samples = area_resize(samples, *size).round().astype(np.uint8) if size else samples
                     out = [(y, x, npy, hashed) for y, x, npy in npy_tiles(samples, tile)]
-                except (ValueError, IndexError, struct.error):
+                except (ValueError, IndexError, OverflowError, MemoryError, struct.error):
                     out = [(None, None, None, None)]
                 columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
                 keys = pa.array([batch.column(0)[i].as_py()] * len(out), batch.column(0).type)
@@ -230,8 +260,8 @@ def text_to_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k
     return docs.select(key, text).mapInArrow(work, f"key {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("key", key)
 
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bmp_sha256 string, n_tiles long, tiles_sha256 string"
+TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
 
 
 def media_of_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from meridia.llm.common import written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _URL = "(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = "(?i)<a\\s[^>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"
+_LINK = "(?i)<a\\s[^<>]*?\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"
 
 
 @dataclass(frozen=True)
@@ -91,29 +91,44 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return links.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 60, cut_every: int = 4, tolerance: float = 1e-4, hub: int = 10_000) -> DataFrame:
     """Personalised PageRank: (kind, host, score), for all kinds of seed at once.
 
     ``edges``: kind, src, dst, weight. ``seeds``: kind, host, mass. Edges are shared out
     per host; masses count as they are, so a host's score depends on the seeds that reach
     it and not on how many others there are, and the scores of two kinds compare. What
     reaches a host without edges is not passed on. The sum of a kind is its mass at most.
+
+    Ranks are written every ``cut_every`` rounds; once these have moved less than ``tolerance``
+    of all mass, or after ``rounds``, it ends. The edges of a host with more than ``hub``
+    are dealt to so many parts, and its score to each of them, so no task gets them all.
     """
-    start = seeds.select("kind", "host", F.col("mass").alias("score"))
-    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"))
-    share = written(
-        edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")), "edge-share"
-    )
-    start = written(start, "seeds")
-    scores = start
+    start = written(seeds.select("kind", "host", F.col("mass").alias("score")), "seeds")
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"), F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts"))
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(0).cast("int").alias("part")
+    share = written(edges.join(out, ["kind", "src"]).select("kind", "src", part, "dst", (F.col("weight") / F.col("out_weight")).alias("share")), "edge-share")
     if share.isEmpty():
-        return scores
+        return start
+    hubs = written(out.filter("parts > 1").select("kind", "src", "parts"), "hubs")
+    dealt = not hubs.isEmpty()
     base = start.select("kind", "host", ((1 - damping) * F.col("score")).alias("score"))
+    mass = start.agg(F.sum("score")).first()[0] or 0.0
+    scores = last = start
     for i in range(1, rounds + 1):
-        passed = scores.withColumnRenamed("host", "src").join(share, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+        given = scores.withColumnRenamed("host", "src")
+        if dealt:
+            given = given.join(hubs, ["kind", "src"], "left").select("kind", "src", "score", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        else:
+            given = given.withColumn("part", F.lit(0))
+        passed = given.join(share, ["kind", "src", "part"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
         scores = base.unionByName(passed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % cut_every == 0 and i < rounds:
+        if i % cut_every == 0 or i == rounds:
             scores = written(scores, "ranks")
+            both = scores.join(last.withColumnRenamed("score", "was"), ["kind", "host"], "full_outer")
+            moved = both.agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+            if moved <= tolerance * mass:
+                break
+            last = scores
     return scores
 
 
