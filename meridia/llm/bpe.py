@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+from meridia.llm.common import lean
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Chunks that a worker remembers, and the longest that it does.
 MOST_CHUNKS, LONGEST_CHUNK = 100_000, 64
@@ -206,7 +208,7 @@ def encode_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(work), schema).withColumnRenamed("key", key)
 
 
 def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -219,7 +221,7 @@ def decode_ids(encoded: DataFrame, *, key: str = "doc_id", ids: str = "ids", pat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(work, f"key {kind}, text string").withColumnRenamed("key", key)
+    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(lean(work), f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def round_trip(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, ids: bool = False) -> DataFrame:
@@ -248,7 +250,7 @@ def round_trip(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(work), schema).withColumnRenamed("key", key)
 
 
 def op6_byte_bpe(docs: DataFrame) -> DataFrame:

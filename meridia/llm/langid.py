@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridia.llm.common import held_out
+from meridia.llm.common import held_out, lean
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -258,7 +258,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], kinds: str, text:
                 languages, scores = zip(*found) if found else ((), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=["key", "lang_pred", "score"])
 
-    return docs.select(*columns).mapInArrow(work, kinds)
+    return docs.select(*columns).mapInArrow(lean(work), kinds)
 
 
 def predict(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.llm.common import lean
+
 WIDTH = 64
 HASH_SIDE = 8
 
@@ -169,9 +171,9 @@ def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def difference_hash(samples: np.ndarray, side: int = HASH_SIDE) -> str:
-    """side * side bits, 1 where a cell of the resized image is darker than the next to its right."""
+    """side * side bits, 1 where a cell of the resized image is darker (by more than rounding) than the next to its right."""
     small = area_resize(samples, side, side + 1)
-    return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
+    return np.packbits(small[:, :-1] + 1e-6 < small[:, 1:]).tobytes().hex()
 
 
 def npy_tiles(samples: np.ndarray, side: int = WIDTH) -> Iterator[tuple[int, int, bytes]]:
@@ -244,7 +246,7 @@ def decode_column(images: DataFrame, *, key: str, image: str, tile: int = WIDTH,
                 yield pa.RecordBatch.from_arrays([keys, *columns], names=["key", "tile_row", "tile_col", "tile", "dhash"])
 
     kind = images.schema[key].dataType.simpleString()
-    return images.select(key, image).mapInArrow(work, f"key {kind}, tile_row int, tile_col int, tile binary, dhash string").withColumnRenamed("key", key)
+    return images.select(key, image).mapInArrow(lean(work), f"key {kind}, tile_row int, tile_col int, tile binary, dhash string").withColumnRenamed("key", key)
 
 
 def text_to_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text", kind: str = "pgm") -> DataFrame:
@@ -257,7 +259,7 @@ def text_to_media(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k
                 media = encode(payload_of(batch.column(1)[i].as_py() or "")[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([media], pa.binary())], names=["key", "media"])
 
-    return docs.select(key, text).mapInArrow(work, f"key {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(lean(work), f"key {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("key", key)
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bmp_sha256 string, n_tiles long, tiles_sha256 string"
@@ -274,7 +276,7 @@ def media_of_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
             arrays = [pa.array(x, t) for x, t in zip(columns, TYPES, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(work), SCHEMA)
 
 
 def op10_media_columns(docs: DataFrame) -> DataFrame:

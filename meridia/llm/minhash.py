@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import fresh, text_or_empty, written
+from meridia.llm.common import fresh, lean, text_or_empty, written
 
 SPACE = "[ \\x09-\\x0D]+"
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -187,7 +187,7 @@ def sign(hashed: DataFrame, settings: Settings) -> DataFrame:
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(raw, pa.binary())], names=["doc_id", "content", "n", "sig"]
                 )
 
-    return hashed.mapInArrow(work, "doc_id long, content binary, n long, sig binary")
+    return hashed.mapInArrow(lean(work), "doc_id long, content binary, n long, sig binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
                 kept[i] = similarity(one, two) >= settings.similarity
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(work, "a long, b long")
+    return both.mapInArrow(lean(work), "a long, b long")
 
 
 class Forest:

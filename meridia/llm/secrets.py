@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.llm.automata import Dfa, compile_dfa, longest, parse, reverse
+from meridia.llm.common import lean
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,7 @@ def find_secrets(docs: DataFrame, rules: tuple[SecretRule, ...] = RULES, *, key:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], names=["key", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(work, f"key {kind}, spans array<struct<kind:string,start:int,end:int>>")
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(work), f"key {kind}, spans array<struct<kind:string,start:int,end:int>>")
     return found.withColumnRenamed("key", key)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridia.llm.common import held_out, written
+from meridia.llm.common import held_out, lean, written
 from meridia.llm.langid import bounded_sample
 
 WORD = re.compile(r"[^\W_]+")
@@ -277,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Model:
             values = [scorer.features(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    got = rows.filter(rest == 2).select("t", "toxic").mapInArrow(work, "x array<double>, toxic int").collect()
+    got = rows.filter(rest == 2).select("t", "toxic").mapInArrow(lean(work), "x array<double>, toxic int").collect()
     y = np.array([float(r.toxic) for r in got])
     if not terms or not 0 < y.sum() < len(y):
         share = y.mean() if len(y) else 0.0
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
     kind = docs.schema[key].dataType.simpleString()
     both = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return both.mapInArrow(work, f"key {kind}, score double").withColumnRenamed("key", key)
+    return both.mapInArrow(lean(work), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
