@@ -21,7 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*(columns or DOCUMENT_COLUMNS))
+    return spread(table(spark, sf_dir, "documents").select(*(columns or DOCUMENT_COLUMNS)))
+
+
+#: Bytes of a table that can be in a single row group.
+ROW_GROUP = 128 << 20
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame`` dealt to all cores where it is small and has fewer files than there are cores.
+
+    A file of one row group is read by one task, whatever the number of cores. Tables
+    above ``ROW_GROUP`` stay as they are: no text is shuffled for this at scale.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(cores) if size <= ROW_GROUP and len(frame.inputFiles()) < cores else frame
 
 
 def fresh(frame: DataFrame, name: str) -> str:
