@@ -552,8 +552,8 @@ def _paths(spark, sf):
     return rows.select("sim_id", (F.row_number().over(order) - 1).alias("day"), (1000 + F.sum(F.col("value") - 50).over(order.rowsBetween(Window.unboundedPreceding, 0)) / 10).alias("value"))
 
 
-_PATHS = """pa AS (SELECT user_id % 40 AS sim_id, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) - 1 AS day, 1000 + sum(value - 50) OVER (PARTITION BY user_id % 40 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 10 AS value FROM events),
-pt AS (SELECT * FROM pa WHERE day <= 20), en AS (SELECT sim_id, arg_max(value, day) / arg_min(value, day) - 1 AS ret FROM pt GROUP BY 1)"""
+_PATHS = """pt AS (SELECT user_id AS sim_id, row_number() OVER w - 1 AS day, 1000 + sum(value - 50) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 10 AS value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+en AS (SELECT sim_id, arg_max(value, day) / arg_min(value, day) - 1 AS ret FROM pt GROUP BY 1)"""
 
 
 @query("simulation_metrics", "", "mean median var cvar p5 p95", f"WITH {_PATHS}, q AS (SELECT quantile_cont(ret, 0.05) AS q FROM en) SELECT avg(ret) AS mean, median(ret) AS median, min(q) AS var, avg(CASE WHEN ret <= q THEN ret END) AS cvar, quantile_cont(ret, 0.05) AS p5, quantile_cont(ret, 0.95) AS p95 FROM en CROSS JOIN q")
