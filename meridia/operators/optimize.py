@@ -2,54 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import solvers
-from meridia.operators.moments import complete
+from meridia.operators.moments import complete, covariance, equilibrium_returns, forecast_vol, mean_returns, outer_sums, shrunk_covariance
 from meridia.plans.panel import TRADING_DAYS
 
-Solver = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Solver = Callable[[np.ndarray, np.ndarray, "solvers.Limits | None"], np.ndarray]
+
+
+def _nearest(w: np.ndarray, limits: solvers.Limits | None) -> np.ndarray:
+    """``w`` itself, or what within the limits is nearest to it."""
+    return w if limits is None else solvers.solve_qp(np.eye(len(w)), -w * limits.budget, limits)
+
 
 METHODS: dict[str, Solver] = {
-    "equal_weight": lambda mu, cov: np.full(len(mu), 1 / len(mu)),
-    "min_variance": lambda mu, cov: solvers.min_variance(cov),
-    "max_sharpe": lambda mu, cov: solvers.max_sharpe(mu, cov),
-    "risk_parity": lambda mu, cov: solvers.risk_budget(cov),
-    "max_diversification": lambda mu, cov: solvers.max_diversification(cov),
-    "min_correlation": lambda mu, cov: solvers.min_correlation(cov),
-    "hrp": lambda mu, cov: solvers.hierarchical_risk_parity(cov),
+    "equal_weight": lambda mu, cov, limits: _nearest(np.full(len(mu), 1 / len(mu)), limits),
+    "min_variance": lambda mu, cov, limits: solvers.min_variance(cov, limits),
+    "max_sharpe": lambda mu, cov, limits: solvers.max_sharpe(mu, cov, limits=limits),
+    "risk_parity": lambda mu, cov, limits: _nearest(solvers.risk_budget(cov), limits),
+    "max_diversification": lambda mu, cov, limits: solvers.max_diversification(cov, limits),
+    "min_correlation": lambda mu, cov, limits: solvers.min_correlation(cov, limits),
+    "hrp": lambda mu, cov, limits: _nearest(solvers.hierarchical_risk_parity(cov), limits),
 }
 
+#: Limits of a problem from its symbols.
+Limiter = Callable[[list[str]], "solvers.Limits"]
 
-def moments_of(frame: pd.DataFrame, periods: int = TRADING_DAYS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Symbols, mean and covariance from sums (i, j, n, sx, sy, sxy), annualised."""
+
+def square(frame: pd.DataFrame, values: str) -> tuple[list[str], np.ndarray]:
+    """Symbols of (i, j, values) in order, and the matrix."""
     symbols = sorted(set(frame["i"]))
-    at = {s: k for k, s in enumerate(symbols)}
-    mu, cov = np.zeros(len(symbols)), np.zeros((len(symbols), len(symbols)))
-    for r in frame.itertuples(index=False):
-        cov[at[r.i], at[r.j]] = (r.sxy - r.sx * r.sy / r.n) / (r.n - 1) * periods
-        mu[at[r.i]] = r.sx / r.n * periods
-    return symbols, mu, (cov + cov.T) / 2
+    i, j = (pd.Index(symbols).get_indexer(frame[c]) for c in ("i", "j"))
+    out = np.zeros((len(symbols), len(symbols)))
+    out[i, j] = frame[values]
+    return symbols, out
+
+
+def moments_of(frame: pd.DataFrame, periods: int = TRADING_DAYS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Symbols, mean and covariance from sums (i, j, n, p0, p1, p2) of x, y and xy, annualised."""
+    frame = frame.assign(cov=(frame["p2"] - frame["p0"] * frame["p1"] / frame["n"]) / (frame["n"] - 1) * periods)
+    symbols, cov = square(frame, "cov")
+    own = frame[frame["i"] == frame["j"]].set_index("i")
+    return symbols, (own["p0"] / own["n"] * periods).reindex(symbols).to_numpy(), (cov + cov.T) / 2
 
 
 def pair_sums(returns: DataFrame, *keys: str, value: str = "log_ret") -> DataFrame:
-    """(keys, i, j, n, sx, sy, sxy): a row a pair of symbols, whatever the number of dates."""
+    """(keys, i, j, n, p0, p1, p2): sums of x, y and xy, a row a pair of symbols, whatever the number of dates."""
     if keys:
         rows = returns.select(*keys, "date", "symbol", F.col(value).alias("x")).filter("x IS NOT NULL")
     else:
         rows = complete(returns, value)
-    one = rows.select(*keys, "date", F.col("symbol").alias("i"), "x")
-    two = rows.select(*keys, "date", F.col("symbol").alias("j"), F.col("x").alias("y"))
-    return one.join(two, [*keys, "date"]).groupBy(*keys, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"))
+    return outer_sums(rows, keys)
 
 
-def optimized(returns: DataFrame, key: str, methods: list[str] | None = None, *, value: str = "log_ret") -> DataFrame:
-    """(key, strategy, symbol, weight) for each value of ``key``: one grouped solve each, windows in parallel."""
+def optimized(returns: DataFrame, key: str, methods: list[str] | None = None, *, value: str = "log_ret", limiter: Limiter | None = None) -> DataFrame:
+    """(key, strategy, symbol, weight) for each value of ``key``: one grouped solve each, windows in parallel.
+
+    ``limiter`` gives the limits that hold for all methods; where a problem has no
+    solution within them there are no rows.
+    """
     names = methods or list(METHODS)
     kind = returns.schema[key].dataType.simpleString()
 
@@ -58,7 +75,7 @@ def optimized(returns: DataFrame, key: str, methods: list[str] | None = None, *,
         rows = []
         for name in names:
             try:
-                rows += [(frame[key].iloc[0], name, s, float(w)) for s, w in zip(symbols, METHODS[name](mu, cov), strict=True)]
+                rows += [(frame[key].iloc[0], name, s, float(w)) for s, w in zip(symbols, METHODS[name](mu, cov, limiter(symbols) if limiter else None), strict=True)]
             except (ValueError, np.linalg.LinAlgError):
                 continue  # a window that can't be solved has no row
         return pd.DataFrame(rows, columns=[key, "strategy", "symbol", "weight"])
@@ -66,25 +83,86 @@ def optimized(returns: DataFrame, key: str, methods: list[str] | None = None, *,
     return pair_sums(returns, key, value=value).groupBy(key).applyInPandas(solve, f"{key} {kind}, strategy string, symbol string, weight double")
 
 
-def bootstrapped(returns: DataFrame, *, samples: int = 100, seed: int = 42, value: str = "ret") -> DataFrame:
-    """(symbol, weight): mean of min-variance weights over resampled dates.
+ESTIMATORS = ("sample", "ledoit_wolf", "denoise")
+
+
+def estimated(returns: DataFrame, method: str, *, estimator: str = "sample", components: int = 3, limiter: Limiter | None = None) -> DataFrame:
+    """(symbol, weight) of one method, on an estimate of the covariance of log returns."""
+    if method not in METHODS or estimator not in ESTIMATORS:
+        raise ValueError(f"unknown method {method!r} or estimator {estimator!r}")
+    cov = (shrunk_covariance(returns, value="log_ret") if estimator == "ledoit_wolf" else covariance(returns)).select("i", "j", "cov")
+    both = cov.join(mean_returns(returns).withColumnRenamed("symbol", "i"), "i")
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        symbols, matrix = square(frame, "cov")
+        matrix = solvers.denoised(matrix, components) if estimator == "denoise" else matrix
+        mu = frame.groupby("i")["mu"].first().reindex(symbols).to_numpy()
+        return pd.DataFrame({"symbol": symbols, "weight": METHODS[method](mu, (matrix + matrix.T) / 2, limiter(symbols) if limiter else None)})
+
+    return both.groupBy(F.lit(1)).applyInPandas(lambda frame: solve(frame), "symbol string, weight double")
+
+
+def bootstrapped(returns: DataFrame, *, samples: int = 100, seed: int = 42, value: str = "ret", limiter: Limiter | None = None) -> DataFrame:
+    """(symbol, weight): mean of min-variance weights over resampled dates, within limits if any.
 
     How often a date is drawn in a sample is a Poisson number of mean 1 by a hash of seed,
-    sample and date, so samples need no shared random state and no copy of the panel.
+    sample and date, so samples need no shared random state and no copy of the panel: a
+    date carries an array of these numbers.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "sample", "date"), 11) / 2.0**53
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
-    times = sum(((u > p).cast("int") for p in steps), F.lit(0))
-    drawn = complete(returns, value).select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
-    drawn = drawn.select("*", times.alias("times")).filter("times > 0")
-    one = drawn.select("sample", "date", "times", F.col("symbol").alias("i"), "x")
-    two = drawn.select("sample", "date", F.col("symbol").alias("j"), F.col("x").alias("y"))
-    k = F.col("times")
-    sums = one.join(two, ["sample", "date"]).groupBy("sample", "i", "j").agg(F.sum(k).alias("n"), F.sum(k * F.col("x")).alias("sx"), F.sum(k * F.col("y")).alias("sy"), F.sum(k * F.col("x") * F.col("y")).alias("sxy"))
+
+    def drawn(sample: Column) -> Column:
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), sample, "date"), 11) / 2.0**53
+        return sum(((u > p).cast("int") for p in steps), F.lit(0))
+
+    rows = complete(returns, value).select("*", F.transform(F.sequence(F.lit(1), F.lit(samples)), drawn).alias("times"))
+    sums = outer_sums(rows, times="times")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         symbols, _, cov = moments_of(frame)
-        return pd.DataFrame({"symbol": symbols, "weight": solvers.min_variance(cov)})
+        return pd.DataFrame({"symbol": symbols, "weight": solvers.min_variance(cov, limiter(symbols) if limiter else None)})
 
     each = sums.groupBy("sample").applyInPandas(solve, "symbol string, weight double")
     return each.groupBy("symbol").agg(F.avg("weight").alias("weight"))
+
+
+def frontier(returns: DataFrame, *, points: int = 50, value: str = "log_ret") -> DataFrame:
+    """(target, vol, symbol, weight) of least variance along the efficient frontier."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        symbols, mu, cov = moments_of(frame)
+        rows = [(t, vol, s, float(x)) for t, vol, w in solvers.efficient_frontier(mu, cov, points) for s, x in zip(symbols, w, strict=True)]
+        return pd.DataFrame(rows, columns=["target", "vol", "symbol", "weight"])
+
+    return pair_sums(returns, value=value).groupBy(F.lit(1)).applyInPandas(lambda frame: solve(frame), "target double, vol double, symbol string, weight double")
+
+
+def cloud(returns: DataFrame, *, portfolios: int = 2500, seed: int = 42, rf: float = 0.02) -> DataFrame:
+    """(id, ret, vol, sharpe) of random long-only portfolios; the draws are hashes of seed, portfolio and symbol."""
+    mu = mean_returns(returns)
+    draws = mu.join(returns.sparkSession.range(portfolios), F.lit(True)).select("id", "symbol", "mu", (-F.ln((F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "symbol"), 11) + 0.5) / 2.0**53)).alias("e"))
+    weights = draws.select(F.col("id").alias("strategy"), "symbol", "mu", (F.col("e") / F.sum("e").over(Window.partitionBy("id"))).alias("weight"))
+    vol = forecast_vol(weights.select("strategy", "symbol", "weight"), covariance(returns))
+    ret = weights.groupBy("strategy").agg(F.sum(F.col("weight") * F.col("mu")).alias("ret"))
+    return ret.join(vol, "strategy").select(F.col("strategy").alias("id"), "ret", "vol", ((F.col("ret") - rf) / F.col("vol")).alias("sharpe"))
+
+
+def posterior(cov: DataFrame, weights: DataFrame, views: Sequence[tuple[Mapping[str, float], float, float]], *, tau: float = 0.05, risk_aversion: float = 2.5) -> DataFrame:
+    """(symbol, prior, posterior, weight) of Black and Litterman.
+
+    ``views``: (portfolio of symbols, its return, confidence); {"a": 1} is an absolute
+    view, {"a": 1, "b": -1} a relative one. The weight is that of unbounded optimisation
+    at the posterior, scaled to 1.
+    """
+    prior = equilibrium_returns(weights, cov, risk_aversion=risk_aversion)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        symbols, matrix = square(frame, "cov")
+        pi = frame.groupby("i")["pi"].first().reindex(symbols).to_numpy()
+        picks = np.array([[v.get(s, 0.0) for s in symbols] for v, _, _ in views]).reshape(len(views), len(symbols))
+        mean, spread = solvers.black_litterman(pi, matrix, picks, np.array([q for _, q, _ in views]), np.array([c for _, _, c in views]), tau)
+        w = np.linalg.solve(risk_aversion * spread, mean)
+        return pd.DataFrame({"symbol": symbols, "prior": pi, "posterior": mean, "weight": w / w.sum()})
+
+    both = cov.select("i", "j", "cov").join(prior.withColumnRenamed("symbol", "i"), "i")
+    return both.groupBy(F.lit(1)).applyInPandas(lambda frame: solve(frame), "symbol string, prior double, posterior double, weight double")
