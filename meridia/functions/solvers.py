@@ -6,7 +6,8 @@ given, a_in @ w <= b_in and a_eq @ w = b_eq.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +37,18 @@ class Limits:
         self.rows = tuple(np.concatenate([np.asarray(b[k], float) for b in blocks]) for k in range(3))
 
 
+def sector_limits(symbols: Sequence[str], sectors: Mapping[str, str], *, caps: Mapping[str, float] | None = None, mins: Mapping[str, float] | None = None, low=0.0, high=1.0, budget: float = 1.0) -> Limits:
+    """Limits with the most and the least of each sector; sectors without a symbol bind nothing."""
+    rows, bounds = [], []
+    for sign, of in ((1.0, caps or {}), (-1.0, mins or {})):
+        for sector, value in of.items():
+            row = np.array([sign * (sectors.get(s, "Other") == sector) for s in symbols])
+            if row.any():
+                rows.append(row)
+                bounds.append(sign * value)
+    return Limits(len(symbols), low, high, budget, np.array(rows) if rows else None, np.array(bounds) if rows else None)
+
+
 def check_covariance(cov: np.ndarray, tolerance: float = 1e-8) -> np.ndarray:
     cov = np.asarray(cov, float)
     if not np.isfinite(cov).all():
@@ -222,3 +235,58 @@ def black_litterman(prior: np.ndarray, cov: np.ndarray, picks: np.ndarray, views
     inverse = np.linalg.inv(tau * cov)
     spread = np.linalg.inv(inverse + picks.T @ np.linalg.solve(omega, picks))
     return spread @ (inverse @ prior + picks.T @ np.linalg.solve(omega, views)), cov + spread
+
+
+def shortfall(w: np.ndarray, returns: np.ndarray, confidence: float = 0.95) -> float:
+    """CVaR as a positive loss: minus the mean of portfolio returns at or below the quantile."""
+    values = returns @ w
+    return float(-values[values <= np.quantile(values, 1 - confidence)].mean())
+
+
+def tracking_error(w: np.ndarray, returns: np.ndarray, benchmark: np.ndarray) -> float:
+    active = returns @ w - benchmark
+    return float(active.std(ddof=1)) if len(active) > 1 else 0.0
+
+
+def mean_squared_error(true: np.ndarray, guess: np.ndarray) -> float:
+    return float(np.mean((np.asarray(true) - np.asarray(guess)) ** 2))
+
+
+def mean_absolute_error(true: np.ndarray, guess: np.ndarray) -> float:
+    return float(np.mean(np.abs(np.asarray(true) - np.asarray(guess))))
+
+
+def min_shortfall(returns: np.ndarray, limits: Limits | None = None, confidence: float = 0.95) -> np.ndarray:
+    return minimize(lambda w: shortfall(w, returns, confidence), limits or Limits(returns.shape[1]))
+
+
+def min_tracking_error(returns: np.ndarray, benchmark: np.ndarray, limits: Limits | None = None) -> np.ndarray:
+    """A quadratic problem: the variance of returns against the benchmark."""
+    x, b = returns - returns.mean(axis=0), benchmark - benchmark.mean()
+    return solve_qp(x.T @ x, -x.T @ b, limits or Limits(returns.shape[1]))
+
+
+def incomplete_beta(a: np.ndarray, b: float, x: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, for arrays a and x."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    lgamma = np.vectorize(math.lgamma, otypes=[float])
+    with np.errstate(divide="ignore"):
+        front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(y) + q * np.log1p(-np.minimum(y, 1 - 1e-300))) / p
+    tiny = 1e-300
+    d = 1 / np.where(abs(1 - (p + q) * y / (p + 1)) < tiny, tiny, 1 - (p + q) * y / (p + 1))
+    c, f = np.ones_like(y), d.copy()
+    for m in range(1, rounds):
+        for numerator in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 + numerator * d, 1 + numerator / c
+            d, c = 1 / np.where(abs(d) < tiny, tiny, d), np.where(abs(c) < tiny, tiny, c)
+            f = f * d * c
+    out = np.where(y <= 0, 0.0, front * f)
+    return np.where(swap, 1 - out, out)
+
+
+def student_p(t: np.ndarray, freedom: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of Student's distribution."""
+    t, freedom = np.asarray(t, float), np.asarray(freedom, float)
+    return incomplete_beta(freedom / 2, 0.5, freedom / (freedom + t * t))

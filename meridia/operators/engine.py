@@ -7,6 +7,8 @@ are a key: any number of them run as one plan, and every window is partitioned b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,11 +58,20 @@ def _changed(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.max("moved").over(Window.partitionBy("strategy", "date")).alias("flag")).drop("moved")
 
 
+#: A cost as a share of the value: of what is traded both ways, or of the array of trades.
+Cost = Callable[[Column], Column]
+
+
 def trade_cost(two_way: Column, commission_bps: float, spread_bps: float) -> Column:
     """Share of the value that trading ``two_way`` notional costs."""
     return (commission_bps + spread_bps / 2) / 1e4 * two_way
 
 
+def square_root_impact(coefficient: float) -> Cost:
+    """An impact model: each trade costs the coefficient times its size to the power of 1.5."""
+    return lambda trades: F.aggregate(trades, F.lit(0.0), lambda s, x: s + coefficient * F.pow(F.abs(x), F.lit(1.5)))
+
+
 def simulate(
     panel: DataFrame,
     targets: DataFrame,
@@ -70,12 +81,16 @@ def simulate(
     spread_bps: float = 0.0,
     initial: float = 1.0,
     cash_drag: float = 0.0,
+    cost_model: Cost | None = None,
+    impact: Cost | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(wealth, blotter) of each strategy.
 
     ``targets``: (strategy, symbol, weight), or with ``eff_date`` a schedule, which then
     says when to rebalance. wealth: strategy, date, value, turnover. blotter: strategy,
-    date, turnover, cost_frac of each rebalance.
+    date, turnover, cost_frac of each rebalance. ``cost_model`` gives the cost of what is
+    traded both ways in place of commission and spread; ``impact`` that of the array of
+    trades on top of either.
     """
     if "eff_date" in targets.columns:
         names = targets.select("strategy", "symbol").distinct()
@@ -96,12 +111,14 @@ def simulate(
         F.sum("worth").alias("v"),
         F.sum("held").alias("s"),
         F.sum(F.abs(F.col("target") - drifted)).alias("two_way"),
+        *([F.collect_list(F.col("target") - drifted).alias("trades")] if impact else []),
     )
     order, past = along("strategy"), along("strategy").rowsBetween(Window.unboundedPreceding, -1)
     daily = daily.select("*", F.coalesce(F.sum(F.col("flag").cast("int")).over(past), F.lit(0)).alias("segment"), F.row_number().over(order).alias("row"))
     v1 = F.first("v").over(Window.partitionBy("strategy", "segment").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     grown = F.when(F.col("row") == 1, 1.0).otherwise((1 + v1 - F.col("s")) * F.try_divide(F.col("v"), v1))
-    cost = F.when(F.col("flag"), trade_cost(F.col("two_way"), commission_bps, spread_bps)).otherwise(0.0)
+    paid_for = cost_model(F.col("two_way")) if cost_model else trade_cost(F.col("two_way"), commission_bps, spread_bps)
+    cost = F.when(F.col("flag"), paid_for + (impact(F.col("trades")) if impact else F.lit(0.0))).otherwise(0.0)
     daily = daily.select("*", grown.alias("grown"), cost.alias("cost_frac"), F.when(F.col("flag"), F.col("two_way") / 2).otherwise(0.0).alias("turnover"))
     completed = F.coalesce(F.product(F.when(F.col("flag") & (F.col("row") > 1), F.col("grown")).otherwise(1.0)).over(past), F.lit(1.0))
     paid = F.product(1 - F.col("cost_frac")).over(so_far("strategy"))
@@ -135,3 +152,11 @@ def rebalance_trades(current: DataFrame, target: DataFrame, *, threshold: float
     rows = both.select("symbol", F.coalesce("before", F.lit(0.0)).alias("before"), F.coalesce("after", F.lit(0.0)).alias("after"))
     rows = rows.select("*", (F.col("after") - F.col("before")).alias("delta")).filter(F.abs("delta") > 1e-12)
     return rows.select("*", F.when(F.abs("delta") < threshold, "hold").when(F.col("delta") > 0, "buy").otherwise("sell").alias("action"))
+
+
+def rebalance_plan(trades: DataFrame, *, commission_bps: float = 1.0, spread_bps: float = 5.0, cost_model: Cost | None = None) -> DataFrame:
+    """(turnover, cost, executed, held) of ``rebalance_trades``: turnover of all moves, cost of what is executed."""
+    size = F.abs("delta")
+    done = F.coalesce(F.sum(F.when(F.col("action") != "hold", size)), F.lit(0.0))
+    cost = cost_model(done) if cost_model else trade_cost(done, commission_bps, spread_bps)
+    return trades.agg((F.coalesce(F.sum(size), F.lit(0.0)) / 2).alias("turnover"), cost.alias("cost"), F.count_if(F.col("action") != "hold").alias("executed"), F.count_if(F.col("action") == "hold").alias("held"))

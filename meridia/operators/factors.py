@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.solvers import student_p
 from meridia.plans.panel import TRADING_DAYS, along
 
 
@@ -26,27 +27,45 @@ def _sums(rows: DataFrame, keys: Sequence[str], x: Sequence[str], y: str) -> Dat
     return rows.groupBy(*keys).agg(*products)
 
 
+def typical_gap(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, days, periods): the most frequent number of days between dates, and periods a year (12 from 28 days on)."""
+    gaps = rows.select(*keys, "date").distinct().select(*keys, F.datediff("date", F.lag("date").over(along(*keys))).alias("gap"))
+    return gaps.filter("gap IS NOT NULL").groupBy(*keys).agg(F.mode("gap", deterministic=True).alias("days")).select(*keys, "days", F.when(F.col("days") >= 28, 12).otherwise(TRADING_DAYS).alias("periods"))
+
+
 def regression(rows: DataFrame, *keys: str, x: Sequence[str], y: str = "y", least_rows: int | None = None) -> DataFrame:
-    """(keys, n, alpha, one beta a factor, r2): least squares from sums, solved once a key."""
+    """(keys, n, alpha, one beta a factor, r2, adj_r2, t and two-sided p of alpha and each beta).
+
+    Least squares from sums; all keys of a batch are solved as one stack of matrices.
+    """
     k = len(x)
     least = least_rows or k + 2
     sums = _sums(rows, keys, x, y)
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields[: len(keys)]), "n long", "alpha double", *(f"beta_{c} double" for c in x), "r2 double"])
+    names = ["alpha", *(f"beta_{c}" for c in x), "r2", "adj_r2", *(f"{kind}_{c}" for kind in ("t", "p") for c in ("alpha", *x))]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields[: len(keys)]), "n long", *(f"{c} double" for c in names)])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                value = row._asdict()
-                m = np.array([[value[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 2)] for i in range(k + 2)], dtype=float)
-                n, coefficients, r2 = int(m[0, 0]), [None] * (k + 1), None
-                if n >= least and np.linalg.matrix_rank(m[: k + 1, : k + 1]) == k + 1:
-                    b = np.linalg.solve(m[: k + 1, : k + 1], m[: k + 1, k + 1])
-                    total = m[k + 1, k + 1] - m[0, k + 1] ** 2 / n
-                    left = m[k + 1, k + 1] - b @ m[: k + 1, k + 1]
-                    coefficients, r2 = b.tolist(), float(1 - left / total) if total > 0 else None
-                out.append((*(value[c] for c in keys), n, *coefficients, r2))
-            yield pd.DataFrame(out, columns=[*keys, "n", "alpha", *(f"beta_{c}" for c in x), "r2"])
+            m = np.array([[frame[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 2)] for i in range(k + 2)], dtype=float).transpose(2, 0, 1)
+            n = m[:, 0, 0]
+            out = np.full((len(frame), len(names)), np.nan)
+            ok = (n >= least) & (np.linalg.matrix_rank(m[:, : k + 1, : k + 1]) == k + 1) if len(m) else np.zeros(0, bool)
+            a, b, n_ok = m[ok][:, : k + 1, : k + 1], m[ok][:, : k + 1, k + 1], n[ok]
+            coefficients = np.linalg.solve(a, b[:, :, None])[:, :, 0] if ok.any() else np.zeros((0, k + 1))
+            total = m[ok][:, k + 1, k + 1] - m[ok][:, 0, k + 1] ** 2 / n_ok
+            left = np.maximum(m[ok][:, k + 1, k + 1] - (coefficients * b).sum(axis=1), 0)
+            freedom = n_ok - k - 1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r2 = np.where(total > 0, 1 - left / total, np.nan)
+                spread = np.sqrt((left / freedom)[:, None] * np.diagonal(np.linalg.inv(a), axis1=1, axis2=2)) if ok.any() else coefficients
+                t = coefficients / spread
+                p = student_p(np.nan_to_num(t, posinf=1e9, neginf=-1e9), freedom[:, None])
+                out[ok] = np.concatenate([coefficients, r2[:, None], (1 - (1 - r2) * (n_ok - 1) / freedom)[:, None], t, np.where(np.isnan(t), np.nan, p)], axis=1)
+            table = frame[list(keys)].copy()
+            table["n"] = n.astype(np.int64)
+            for i, c in enumerate(names):
+                table[c] = pd.Series(out[:, i], index=table.index).astype(object).where(np.isfinite(out[:, i]), None)
+            yield table
 
     return sums.mapInPandas(work, schema)
 
@@ -70,7 +89,7 @@ def rolling_regression(rows: DataFrame, *keys: str, x: Sequence[str], y: str = "
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             m = np.array([[frame[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 2)] for i in range(k + 1)], dtype=float).transpose(2, 0, 1)
-            ok = np.array([np.linalg.matrix_rank(a[:, : k + 1]) == k + 1 for a in m], dtype=bool)
+            ok = np.linalg.matrix_rank(m[:, :, : k + 1]) == k + 1 if len(m) else np.zeros(0, bool)
             frame, m = frame[ok], m[ok]
             b = np.linalg.solve(m[:, :, : k + 1], m[:, :, k + 1 :])[:, 1:, 0] if len(m) else np.zeros((0, k))
             out = frame[[*keys, "date"]].copy()
@@ -90,6 +109,20 @@ def contributions(rows: DataFrame, betas: DataFrame, *keys: str, x: Sequence[str
     return both.select("*", explained.alias("explained"), (F.col("y") - explained).alias("unexplained"))
 
 
+def cumulative_contributions(parts: DataFrame, *keys: str, x: Sequence[str]) -> DataFrame:
+    """Compound growth of each factor's part, of alpha and of the rest, by date."""
+    over = along(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    grown = lambda c: (F.product(1 + F.col(c)).over(over) - 1).alias(c)
+    return parts.select(*keys, "date", *map(grown, (*(f"part_{c}" for c in x), "alpha", "unexplained")))
+
+
+def loading_bands(fit: DataFrame, *keys: str, x: Sequence[str]) -> DataFrame:
+    """(keys, factor, beta, p, band) of a regression: how sure each loading is."""
+    stacked = ", ".join(f"'{c}', beta_{c}, p_{c}" for c in x)
+    rows = fit.selectExpr(*keys, f"stack({len(x)}, {stacked}) AS (factor, beta, p)")
+    return rows.select("*", F.when(F.col("p") < 0.01, "p < 0.01").when(F.col("p") < 0.05, "p < 0.05").when(F.col("p") < 0.10, "p < 0.10").otherwise("not significant").alias("band"))
+
+
 def neutralized(rows: DataFrame, *keys: str, x: Sequence[str]) -> DataFrame:
     """Residual of each row's return; null where a key has too few rows."""
     betas = regression(rows, *keys, x=x)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import solvers
@@ -83,6 +83,11 @@ def optimized(returns: DataFrame, key: str, methods: list[str] | None = None, *,
     return pair_sums(returns, key, value=value).groupBy(key).applyInPandas(solve, f"{key} {kind}, strategy string, symbol string, weight double")
 
 
+def _whole(frame: DataFrame) -> GroupedData:
+    """All rows as one group: a row a pair of symbols."""
+    return frame.withColumn("_all", F.lit(1)).groupBy("_all")
+
+
 ESTIMATORS = ("sample", "ledoit_wolf", "denoise")
 
 
@@ -99,7 +104,7 @@ def estimated(returns: DataFrame, method: str, *, estimator: str = "sample", com
         mu = frame.groupby("i")["mu"].first().reindex(symbols).to_numpy()
         return pd.DataFrame({"symbol": symbols, "weight": METHODS[method](mu, (matrix + matrix.T) / 2, limiter(symbols) if limiter else None)})
 
-    return both.groupBy(F.lit(1)).applyInPandas(lambda frame: solve(frame), "symbol string, weight double")
+    return _whole(both).applyInPandas(solve, "symbol string, weight double")
 
 
 def bootstrapped(returns: DataFrame, *, samples: int = 100, seed: int = 42, value: str = "ret", limiter: Limiter | None = None) -> DataFrame:
@@ -134,7 +139,7 @@ def frontier(returns: DataFrame, *, points: int = 50, value: str = "log_ret") ->
         rows = [(t, vol, s, float(x)) for t, vol, w in solvers.efficient_frontier(mu, cov, points) for s, x in zip(symbols, w, strict=True)]
         return pd.DataFrame(rows, columns=["target", "vol", "symbol", "weight"])
 
-    return pair_sums(returns, value=value).groupBy(F.lit(1)).applyInPandas(lambda frame: solve(frame), "target double, vol double, symbol string, weight double")
+    return _whole(pair_sums(returns, value=value)).applyInPandas(solve, "target double, vol double, symbol string, weight double")
 
 
 def cloud(returns: DataFrame, *, portfolios: int = 2500, seed: int = 42, rf: float = 0.02) -> DataFrame:
@@ -165,4 +170,4 @@ def posterior(cov: DataFrame, weights: DataFrame, views: Sequence[tuple[Mapping[
         return pd.DataFrame({"symbol": symbols, "prior": pi, "posterior": mean, "weight": w / w.sum()})
 
     both = cov.select("i", "j", "cov").join(prior.withColumnRenamed("symbol", "i"), "i")
-    return both.groupBy(F.lit(1)).applyInPandas(lambda frame: solve(frame), "symbol string, prior double, posterior double, weight double")
+    return _whole(both).applyInPandas(solve, "symbol string, prior double, posterior double, weight double")

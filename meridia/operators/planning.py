@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions import solvers
+from meridia.operators import oos
+
 #: Most volatility and most weight of one symbol, by tolerance.
 PRESETS = {"conservative": (0.08, 0.25), "moderate": (0.12, 0.40), "aggressive": (0.20, 0.60)}
 ORDER = tuple(PRESETS)
@@ -38,6 +43,27 @@ def combined_tolerance(ability: str, willingness: str) -> str:
     return min(ability, willingness, key=ORDER.index)
 
 
+def build_profile(*, risk_tolerance: str | None = None, ability: str | None = None, willingness: str | None = None, **limits) -> Profile:
+    """A profile of a tolerance, or of the lower of ability and willingness."""
+    if risk_tolerance is None:
+        given = [x for x in (ability, willingness) if x is not None]
+        risk_tolerance = min(given, key=ORDER.index) if given else "moderate"
+    return Profile(risk_tolerance, **limits)
+
+
+def limits_of(profile: Profile, symbols: list[str], sectors: Mapping[str, str] | None = None) -> solvers.Limits:
+    """What the profile allows the weights of ``symbols``; an error if that leaves no room for the budget."""
+    each, budget = bounds(profile, symbols)
+    high = np.array([x for _, x in each])
+    if profile.sector_caps and sectors is None:
+        raise ValueError("sector caps need the sectors of the symbols")
+    if profile.sector_caps:
+        room = sum(min(profile.sector_caps.get(sector, np.inf), sum(h for s, h in zip(symbols, high, strict=True) if sectors.get(s, "Other") == sector)) for sector in {sectors.get(s, "Other") for s in symbols})
+        if room < budget - 1e-12:
+            raise ValueError("the sector caps don't leave room for the budget")
+    return solvers.sector_limits(symbols, sectors or {}, caps=profile.sector_caps, high=high, budget=budget)
+
+
 def bounds(profile: Profile, symbols: list[str]) -> tuple[list[tuple[float, float]], float]:
     """Bounds of each symbol's weight and the budget they add up to; an error if that can't be."""
     out = [(0.0, 0.0) if s in profile.excluded else (0.0, profile.max_weight) for s in symbols]
@@ -66,16 +92,23 @@ def weight_alerts(weights: DataFrame, *, max_weight: float = 0.40, sectors: Data
     return out
 
 
-def risk_alerts(portfolio: DataFrame, shares: DataFrame, *, vol_target: float = 0.10, max_drawdown: float = 0.20, max_share: float = 0.40) -> DataFrame:
-    """Alerts on (strategy, vol, max_drawdown) and on risk shares (strategy, symbol, share)."""
+def risk_alerts(portfolio: DataFrame, shares: DataFrame, *, vol_target: float = 0.10, max_drawdown: float = 0.20, max_share: float = 0.40, betas: DataFrame | None = None, max_beta: float | None = None) -> DataFrame:
+    """Alerts on (strategy, vol, max_drawdown), on risk shares (strategy, symbol, share) and on loadings (factor, beta)."""
     out = _alert(portfolio, "volatility", F.col("strategy"), F.col("vol"), vol_target)
     out = out.unionByName(_alert(portfolio, "drawdown", F.col("strategy"), F.abs("max_drawdown"), max_drawdown))
-    return out.unionByName(_alert(shares, "risk_share", F.col("symbol"), F.col("share"), max_share))
+    out = out.unionByName(_alert(shares, "risk_share", F.col("symbol"), F.col("share"), max_share))
+    if betas is not None and max_beta is not None:
+        out = out.unionByName(_alert(betas, "factor", F.col("factor"), F.abs("beta"), max_beta))
+    return out
 
 
-def suitability(weights: DataFrame, profile: Profile, *, sectors: DataFrame | None = None) -> DataFrame:
-    """(check, passed, observed, allowed) of concentration, exclusions, liquidity and sector caps."""
-    row = lambda frame, name, observed, limit, ok: frame.select(F.lit(name).alias("check"), ok.alias("passed"), observed.alias("observed"), F.lit(float(limit)).alias("allowed"))
+def suitability(weights: DataFrame, profile: Profile, *, sectors: DataFrame | None = None, realized: DataFrame | None = None) -> DataFrame:
+    """(check, hard, passed, observed, allowed) of concentration, exclusions, liquidity and sector caps.
+
+    ``realized``: one row (vol, max_drawdown, ann_return) of the weights adds checks of
+    volatility and drawdown, and a target return, which is information only (not ``hard``).
+    """
+    row = lambda frame, name, observed, limit, ok, hard=True: frame.select(F.lit(name).alias("check"), F.lit(hard).alias("hard"), ok.alias("passed"), observed.alias("observed"), F.lit(float(limit)).alias("allowed"))
     most = weights.agg(F.max("weight").alias("w"))
     out = row(most, "concentration", F.col("w"), profile.max_weight, F.col("w") <= profile.max_weight + 1e-9)
     banned = weights.agg(F.coalesce(F.sum(F.when(F.col("symbol").isin(list(profile.excluded)), F.abs("weight"))), F.lit(0.0)).alias("w"))
@@ -83,12 +116,30 @@ def suitability(weights: DataFrame, profile: Profile, *, sectors: DataFrame | No
     cash = weights.agg((1 - F.sum("weight")).alias("w"))
     out = out.unionByName(row(cash, "liquidity", F.col("w"), profile.liquidity_floor, F.col("w") >= profile.liquidity_floor - 1e-9))
     if sectors is not None:
-        by = weights.join(sectors, "symbol", "left").groupBy("sector").agg(F.sum("weight").alias("w"))
+        by = weights.join(sectors, "symbol", "left").groupBy(F.coalesce("sector", F.lit("Other")).alias("sector")).agg(F.sum("weight").alias("w"))
         for sector, cap in profile.sector_caps.items():
             out = out.unionByName(row(by.filter(F.col("sector") == sector), f"sector {sector}", F.col("w"), cap, F.col("w") <= cap + 1e-9))
+    if realized is not None:
+        out = out.unionByName(row(realized, "volatility", F.col("vol"), profile.max_volatility, F.col("vol") <= profile.max_volatility + 1e-9))
+        if profile.max_drawdown is not None:
+            out = out.unionByName(row(realized, "drawdown", F.abs("max_drawdown"), profile.max_drawdown, F.abs("max_drawdown") <= profile.max_drawdown + 1e-9))
+        if profile.target_return is not None:
+            out = out.unionByName(row(realized, "target return", F.col("ann_return"), profile.target_return, F.col("ann_return") >= profile.target_return, hard=False))
     return out
 
 
+def is_suitable(checks: DataFrame) -> DataFrame:
+    """(suitable): whether all hard checks passed."""
+    return checks.agg(F.coalesce(F.bool_and(F.col("passed") | ~F.col("hard")), F.lit(True)).alias("suitable"))
+
+
+def compared(returns: DataFrame, key: str = "strategy", *, by: str = "dsr", n_trials: int | None = None) -> DataFrame:
+    """(key, n, sharpe, psr, dsr, rank, winner): strategies ranked, the best finite one being the winner."""
+    trials = n_trials or returns.select(key).distinct().count()
+    rows = ranking(oos.sharpe_probabilities(returns, key, n_trials=trials), key, by)
+    return rows.select("*", ((F.col("rank") == 1) & F.col(by).isNotNull() & ~F.isnan(by)).alias("winner"))
+
+
 def ranking(rows: DataFrame, key: str = "strategy", by: str = "sharpe") -> DataFrame:
     """Best first; those without a finite number last, ties by name."""
     value = F.when(~F.isnan(by) & (F.abs(by) < float("inf")), F.col(by))

@@ -1,61 +1,93 @@
-"""Recommended weights with trades, alerts, suitability and an out-of-sample check."""
+"""Recommended weights with trades, alerts, suitability, a comparison and an out-of-sample check."""
 
 from __future__ import annotations
 
-import html
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import metrics
-from meridia.operators import engine, moments, optimize, planning, report, series
+from meridia.operators import engine, moments, optimize, planning, report, series, validation
 from meridia.plans.panel import with_returns
 
 
 @dataclass(frozen=True)
 class Recommendation:
+    """Frames of a recommendation. Weights are solved once: all other frames start from rows that are known."""
+
     weights: DataFrame
     alerts: DataFrame
-    suitability: DataFrame | None
-    trades: DataFrame | None
-    validation: DataFrame | None
+    suitability: DataFrame | None = None
+    trades: DataFrame | None = None
+    plan: DataFrame | None = None
+    comparison: DataFrame | None = None
+    validation: DataFrame | None = None
+    evidence: Mapping[str, object] | None = None
 
     def parts(self) -> dict[str, DataFrame]:
-        return {k: v for k, v in vars(self).items() if v is not None}
+        return {k: v for k, v in vars(self).items() if isinstance(v, DataFrame)}
 
-    def to_dict(self) -> dict[str, list[dict]]:
+    @cached_property
+    def _rows(self) -> dict[str, list[dict]]:
         return {k: [json.loads(x) for x in v.toJSON().collect()] for k, v in self.parts().items()}
 
+    def to_dict(self) -> dict[str, object]:
+        return self._rows | ({"evidence": dict(self.evidence)} if self.evidence else {})
+
     def to_text(self) -> str:
-        return "\n".join(f"{k}:\n" + "\n".join("  " + json.dumps(r) for r in rows) for k, rows in self.to_dict().items())
+        return "\n".join(f"{k}:\n" + "\n".join("  " + json.dumps(r) for r in rows) for k, rows in self._rows.items())
+
+    def sections(self) -> list[tuple[str, str]]:
+        return [(f"Recommendation: {k}", report.rows_table(rows)) for k, rows in self._rows.items()]
 
     def to_html(self, path: str, title: str = "Recommendation") -> None:
-        report.write(path, title, [(html.unescape(k), report.table(v)) for k, v in self.parts().items()])
+        report.write(path, title, self.sections())
+
+
+def _sector_map(sectors: DataFrame | None) -> dict[str, str] | None:
+    """Symbols and their sectors; symbols are those of a portfolio."""
+    return None if sectors is None else {r.symbol: r.sector for r in sectors.select("symbol", "sector").collect()}
+
+
+def limiter(profile: planning.Profile | None, sectors: DataFrame | None) -> optimize.Limiter | None:
+    """The profile's limits for the symbols of a problem."""
+    if profile is None:
+        return None
+    of = _sector_map(sectors)
+    return lambda symbols: planning.limits_of(profile, symbols, of)
+
 
+def recommend_weights(panel: DataFrame, *, method: str = "max_sharpe", profile: planning.Profile | None = None, sectors: DataFrame | None = None, estimator: str = "sample", components: int = 3) -> DataFrame:
+    """(symbol, weight) of a method within the profile's limits; an error if these leave no room."""
+    limits = limiter(profile, sectors)
+    if limits:
+        limits([r.symbol for r in panel.select("symbol").distinct().collect()])  # infeasible limits are known here, not in a task
+    return optimize.estimated(with_returns(panel), method, estimator=estimator, components=components, limiter=limits)
 
-def walk_forward(panel: DataFrame, method: str, *, train_days: int = 365, step_days: int = 90, most_lost: float = 0.5) -> DataFrame:
+
+def walk_forward(panel: DataFrame, method: str, *, train_days: int = 365, step_days: int = 90, most_lost: float = 0.5, profile: planning.Profile | None = None, sectors: DataFrame | None = None) -> DataFrame:
     """Mean Sharpe of the method's weights inside and outside their windows, and whether it holds up."""
-    returns = with_returns(panel)
-    windows = planning.walk_forward_windows(panel.select("date"), train_days=train_days, step_days=step_days)
-    inside = planning.in_windows(returns, windows, part="train")
-    weights = optimize.optimized(inside, "window_id", [method]).select("window_id", "symbol", "weight")
-
-    def sharpes(rows: DataFrame, name: str) -> DataFrame:
-        """Of buy and hold within each window's part."""
-        held = rows.join(weights, ["window_id", "symbol"]).withColumn("strategy", F.col("window_id").cast("string"))
-        first = series.growth_of_one(held, "strategy", "symbol")
-        values = first.groupBy("strategy", "window_id", "date").agg(F.sum(F.col("weight") * F.col("growth")).alias("price"))
-        return with_returns(values, "strategy").groupBy("window_id").agg(metrics.sharpe().alias(name))
-
-    both = sharpes(inside, "is_sharpe").join(sharpes(planning.in_windows(returns, windows), "oos_sharpe"), "window_id")
-    row = both.agg(F.count(F.lit(1)).alias("windows"), F.avg("is_sharpe").alias("is_sharpe"), F.avg("oos_sharpe").alias("oos_sharpe"))
+    rolled = validation.rolling(panel, [method], train_days=train_days, step_days=step_days, limiter=limiter(profile, sectors))
+    row = rolled.agg(F.count(F.lit(1)).alias("windows"), F.avg("is_sharpe").alias("is_sharpe"), F.avg("oos_sharpe").alias("oos_sharpe"))
     lost = F.when(F.col("is_sharpe") > 0, F.greatest(F.lit(0.0), (F.col("is_sharpe") - F.col("oos_sharpe")) / F.when(F.col("is_sharpe") > 0, F.col("is_sharpe"))))
     holds = F.when(F.col("windows") == 0, "inconclusive").when((F.col("oos_sharpe") > 0) & (F.coalesce("degradation", F.lit(0.0)) <= most_lost), "holds up").otherwise("fragile")
     return row.select("*", lost.alias("degradation")).select("*", holds.alias("verdict"))
 
 
+def realized(panel: DataFrame, weights: DataFrame, strategy: str) -> DataFrame:
+    """(strategy, vol, max_drawdown, ann_return) of weights held over the panel."""
+    returns = with_returns(panel)
+    named = weights.withColumn("strategy", F.lit(strategy))
+    held = series.buy_and_hold(panel, weights).withColumn("strategy", F.lit(strategy))
+    curve = series.drawdown_curve(held, "strategy").groupBy("strategy").agg(F.min("dd").alias("max_drawdown"))
+    annual = with_returns(held.withColumnRenamed("value", "price"), "strategy").groupBy("strategy").agg(metrics.cagr().alias("ann_return"))
+    return moments.forecast_vol(named, moments.covariance(returns)).join(curve, "strategy").join(annual, "strategy")
+
+
 def recommend(
     panel: DataFrame,
     *,
@@ -64,22 +96,36 @@ def recommend(
     current: DataFrame | None = None,
     sectors: DataFrame | None = None,
     threshold: float = 0.0,
+    cost_model: engine.Cost | None = None,
+    results: DataFrame | None = None,
+    betas: DataFrame | None = None,
+    max_beta: float | None = None,
+    estimator: str = "sample",
+    components: int = 3,
     validate: bool = False,
 ) -> Recommendation:
-    """Weights of ``method``, what to trade from ``current``, and what speaks against them."""
-    returns = with_returns(panel)
-    weights = optimize.optimized(returns.withColumn("_all", F.lit(1)), "_all", [method]).select("symbol", "weight")
+    """Weights of ``method`` within the profile's limits, what to trade from ``current``, and what speaks against them.
+
+    ``results``: returns (strategy, date, ret) of strategies to compare. ``betas``:
+    (factor, beta) of the portfolio, for alerts above ``max_beta``.
+    """
+    solved = recommend_weights(panel, method=method, profile=profile, sectors=sectors, estimator=estimator, components=components)
+    # a row a symbol; solved once, whatever is asked of it afterwards
+    weights = panel.sparkSession.createDataFrame(solved.collect(), solved.schema)
     limits = profile or planning.Profile()
-    named = weights.withColumn("strategy", F.lit(method))
-    cov = moments.covariance(returns)
-    curve = series.drawdown_curve(series.buy_and_hold(panel, weights).withColumn("strategy", F.lit(method)), "strategy")
-    state = moments.forecast_vol(named, cov).join(curve.groupBy("strategy").agg(F.min("dd").alias("max_drawdown")), "strategy")
-    alerts = planning.risk_alerts(state, moments.risk_contributions(named, cov), vol_target=limits.max_volatility if profile else 0.10, max_drawdown=limits.max_drawdown or 0.20)
+    returns = with_returns(panel)
+    state = realized(panel, weights, method)
+    shares = moments.risk_contributions(weights.withColumn("strategy", F.lit(method)), moments.covariance(returns))
+    alerts = planning.risk_alerts(state, shares, vol_target=limits.max_volatility if profile else 0.10, max_drawdown=limits.max_drawdown or 0.20, betas=betas, max_beta=max_beta)
     alerts = alerts.unionByName(planning.weight_alerts(weights, max_weight=limits.max_weight, sectors=sectors, sector_caps=limits.sector_caps))
+    trades = engine.rebalance_trades(current, weights, threshold=threshold) if current is not None else None
     return Recommendation(
         weights,
         alerts,
-        planning.suitability(weights, profile, sectors=sectors) if profile else None,
-        engine.rebalance_trades(current, weights, threshold=threshold) if current is not None else None,
-        walk_forward(panel, method) if validate else None,
+        planning.suitability(weights, profile, sectors=sectors, realized=state) if profile else None,
+        trades,
+        engine.rebalance_plan(trades, cost_model=cost_model) if trades is not None else None,
+        planning.compared(results) if results is not None else None,
+        walk_forward(panel, method, profile=profile, sectors=sectors) if validate else None,
+        {"method": method, "estimator": estimator, "risk_tolerance": limits.risk_tolerance if profile else None},
     )

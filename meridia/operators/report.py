@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-_STYLE = "body{font:15px sans-serif;margin:2em;max-width:70em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3em .6em;text-align:right}"
+_STYLE = "nav{position:fixed;right:1em;top:1em;max-width:14em;font-size:13px}@media(prefers-color-scheme:dark){body{background:#181818;color:#ddd}}@media(max-width:90em){nav{position:static}}body{font:15px sans-serif;margin:2em;max-width:70em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3em .6em;text-align:right}"
 
 
 def shown(value: object, digits: int = 4) -> str:
@@ -25,6 +25,77 @@ def table(frame: DataFrame, most: int = 500) -> str:
     return f"<table><tr>{head}</tr>{body}</table>"
 
 
+def rows_table(rows: Sequence[Mapping[str, object]]) -> str:
+    """An HTML table of rows that are here already."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in names)
+    body = "".join("<tr>" + "".join(f"<td>{shown(r.get(c))}</td>" for c in names) + "</tr>" for r in rows)
+    return f"<table><tr>{head}</tr>{body}</table>"
+
+
+#: Metrics that are shown as percentages.
+RATES = frozenset("cagr ann_return ann_vol max_drawdown alpha var cvar ret vol total_return tracking_error avg_drawdown roll_vol".split())
+
+
+def formatted(values: Mapping[str, object]) -> dict[str, str]:
+    """Rates as percentages, other numbers with two digits, N/A for what isn't finite."""
+
+    def one(name: str, value: object) -> str:
+        if value is None or isinstance(value, float) and not math.isfinite(value):
+            return "N/A"
+        if not isinstance(value, float):
+            return str(value)
+        return f"{value:.2%}" if name in RATES else f"{value:.2f}"
+
+    return {k: one(k, v) for k, v in values.items()}
+
+
+def bar_chart(values: Mapping[str, float], width: int = 640, row: int = 22) -> str:
+    """An SVG of horizontal bars, those below 0 to the left of the axis."""
+    known = {k: v for k, v in values.items() if v is not None and math.isfinite(v)}
+    if not known:
+        return "<p>no data</p>"
+    low, high = min(0.0, *known.values()), max(0.0, *known.values())
+    span, room = (high - low) or 1.0, width - 160
+    at = lambda v: 150 + (v - low) / span * room
+    bars = [
+        f'<text x="0" y="{i * row + 15}" font-size="12">{html.escape(k)}</text><rect x="{min(at(0), at(v)):.1f}" y="{i * row + 3}" width="{abs(at(v) - at(0)):.1f}" height="{row - 6}" fill="hsl({210 if v >= 0 else 0},60%,50%)"><title>{v:.4f}</title></rect>'
+        for i, (k, v) in enumerate(known.items())
+    ]
+    return f'<svg viewBox="0 0 {width} {row * len(known)}" width="{width}">{"".join(bars)}</svg>'
+
+
+def heatmap(frame: DataFrame, row: str, columns: Sequence[str], most: int = 500) -> str:
+    """A table whose cells are shaded by their value, red below 0 and blue above."""
+    rows = frame.orderBy(row).limit(most).collect()
+    peak = max((abs(r[c]) for r in rows for c in columns if r[c] is not None and math.isfinite(r[c])), default=0.0) or 1.0
+
+    def cell(v: float | None) -> str:
+        if v is None or not math.isfinite(v):
+            return "<td></td>"
+        return f'<td style="background:hsla({210 if v >= 0 else 0},70%,50%,{abs(v) / peak:.2f})">{v:.3f}</td>'
+
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+    return f"<table><tr><th>{html.escape(row)}</th>{head}</tr>{''.join(f'<tr><th>{shown(r[row])}</th>' + ''.join(cell(r[c]) for c in columns) + '</tr>' for r in rows)}</table>"
+
+
+def lines(frame: DataFrame, by: str, value: str, order: str = "date", most: int = 100_000) -> str:
+    """A chart of a line a value of ``by``; ``most`` is how many points a report may draw."""
+    out: dict[str, list[float]] = {}
+    for r in frame.select(by, order, value).orderBy(by, order).limit(most).collect():
+        out.setdefault(str(r[0]), []).append(r[2])
+    return line_chart(out)
+
+
+def bars(frame: DataFrame, name: str, value: str, most: int = 200) -> str:
+    return bar_chart({str(r[0]): r[1] for r in frame.select(name, value).limit(most).collect()})
+
+
+def failure(heading: str, why: Exception) -> tuple[str, str]:
+    """A section that says what went wrong in the one it stands for."""
+    return heading, f"<p class='failed'>This part failed: {html.escape(type(why).__name__)}: {html.escape(str(why)[:500])}</p>"
+
+
 def line_chart(series: Mapping[str, Sequence[float]], width: int = 640, height: int = 220) -> str:
     """An SVG of lines over their row numbers."""
     values = [v for s in series.values() for v in s if v is not None and math.isfinite(v)]
@@ -44,8 +115,9 @@ def page(title: str, sections: Sequence[tuple[str, str]]) -> str:
     for heading, body in sections:
         first.setdefault(heading, body)
     toc = "".join(f'<li><a href="#s{i}">{html.escape(h)}</a></li>' for i, h in enumerate(first))
+    # headings are the contents, beside the text where there is room
     parts = "".join(f'<h2 id="s{i}">{html.escape(h)}</h2>{b}' for i, (h, b) in enumerate(first.items()))
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{_STYLE}</style></head><body><h1>{html.escape(title)}</h1><ul>{toc}</ul>{parts}</body></html>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>{_STYLE}</style></head><body><h1>{html.escape(title)}</h1><nav><ul>{toc}</ul></nav>{parts}</body></html>"
 
 
 def write(path: str, title: str, sections: Sequence[tuple[str, str]]) -> None:

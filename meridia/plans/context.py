@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions.solvers import Limits, sector_limits
+from meridia.operators.moments import covariance, mean_returns
 from meridia.plans.panel import filled, spine, with_returns
 from meridia.sources.providers import Provider, rate_or_default
 
@@ -36,6 +38,10 @@ class Context:
     rate: float
     notes: Notes
     sectors: Mapping[str, str] = field(default_factory=dict)
+    sector_caps: Mapping[str, float] = field(default_factory=dict)
+    sector_mins: Mapping[str, float] = field(default_factory=dict)
+    #: (portfolio of symbols, its return, confidence) each; see ``optimize.posterior``.
+    views: tuple = ()
 
     @staticmethod
     def from_prices(
@@ -50,6 +56,9 @@ class Context:
         provider: Provider | None = None,
         names: Mapping[str, str] | None = None,
         sectors: Mapping[str, str] | None = None,
+        sector_caps: Mapping[str, float] | None = None,
+        sector_mins: Mapping[str, float] | None = None,
+        views: Sequence[tuple[Mapping[str, float], float, float]] = (),
     ) -> Context:
         """Symbols without prices are dropped and the other weights scaled up; without the benchmark it is an error.
 
@@ -90,8 +99,24 @@ class Context:
             rate,
             Notes(tuple(map(new, dropped)), reweighted, fallback),
             {new(s): v for s, v in (sectors or {}).items()},
+            dict(sector_caps or {}),
+            dict(sector_mins or {}),
+            tuple(({new(s): v for s, v in of.items()}, q, c) for of, q, c in views),
         )
 
+    def train_moments(self) -> tuple[DataFrame, DataFrame]:
+        """(symbol, mu) and (i, j, cov, corr) of the train period, without the benchmark."""
+        rows = self.train.filter(F.col("symbol") != self.benchmark)
+        return mean_returns(rows), covariance(rows)
+
+    def constraint_sets(self) -> dict[str, Callable[[list[str]], Limits]]:
+        """Limits that optimisers are run with: none, 40 % a symbol, and the sectors' caps and mins."""
+        return {
+            "unconstrained": lambda symbols: Limits(len(symbols)),
+            "balanced": lambda symbols: Limits(len(symbols), high=max(0.40, 1 / max(1, len(symbols)))),
+            "sectors": lambda symbols: sector_limits(symbols, self.sectors, caps=self.sector_caps, mins=self.sector_mins),
+        }
+
     def weight_table(self, strategy: str = "portfolio") -> DataFrame:
         return self.panel.sparkSession.createDataFrame([(strategy, s, float(w)) for s, w in self.weights.items()], "strategy string, symbol string, weight double")
 

@@ -101,3 +101,8 @@ def factor_table(spark: SparkSession, path: str) -> DataFrame:
     date = F.coalesce(F.try_to_date(key, "yyyyMMdd"), F.try_to_date(F.concat(key, F.lit("01")), "yyyyMMdd"))
     rows = lines.filter(F.col("value").rlike(r"^\s*\d{6}(\d\d)?\s*,")).select(date.alias("date"), *(number(i + 1).alias(n) for i, n in enumerate(names)))
     return rows.na.drop()
+
+
+def prices(symbols: Sequence[str], start: datetime.date, end: datetime.date, provider: Provider | None = None) -> DataFrame:
+    """(date, symbol, price) of a provider or the default one."""
+    return (provider or get_default()).prices(symbols, start, end)

@@ -54,19 +54,54 @@ def test_recommendation(spark, tmp_path):
     prices = panel(spark, 300)
     current = spark.createDataFrame([("A", 0.6), ("Z", 0.4)], "symbol string, weight double")
     sectors = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "symbol string, sector string")
-    found = recommend.recommend(prices, method="risk_parity", profile=planning.Profile("conservative", sector_caps={"x": 0.1}), current=current, sectors=sectors)
-    parts = found.to_dict()
-    assert sum(r["weight"] for r in parts["weights"]) == pytest.approx(1)
-    assert {r["check"]: r["passed"] for r in parts["suitability"]}["sector x"] is False
+    profile = planning.Profile("conservative", max_weight=0.5, liquidity_floor=0.1, sector_caps={"x": 0.45}, target_return=5.0, max_drawdown=0.9)
+    results = with_returns(prices).filter("ret IS NOT NULL").withColumnRenamed("symbol", "strategy")
+    betas = spark.createDataFrame([("mkt", 1.4), ("smb", 0.1)], "factor string, beta double")
+    for method in ("max_sharpe", "risk_parity", "hrp"):
+        found = recommend.recommend(prices, method=method, profile=profile, current=current, sectors=sectors, results=results, betas=betas, max_beta=1.0, threshold=0.2)
+        parts = found.to_dict()
+        weights = {r["symbol"]: r["weight"] for r in parts["weights"]}
+        assert sum(weights.values()) == pytest.approx(0.9) and max(weights.values()) <= 0.5 + 1e-7
+        assert weights["A"] + weights["B"] <= 0.45 + 1e-7
+        checks = {r["check"]: r for r in parts["suitability"]}
+        assert all(checks[c]["passed"] for c in ("concentration", "exclusions", "liquidity", "sector x"))
+        assert checks["target return"]["passed"] is False and not checks["target return"]["hard"]
+        assert {"volatility", "drawdown"} <= set(checks)
+    assert planning.is_suitable(found.suitability).first()[0] == all(r["passed"] for r in checks.values() if r["hard"])
     assert {r["symbol"]: r["action"] for r in parts["trades"]}["Z"] == "sell"
-    assert any(r["kind"] == "weight" and r["severity"] == "breach" for r in parts["alerts"])
+    moves = {r["symbol"]: r["delta"] for r in parts["trades"]}
+    plan = parts["plan"][0]
+    assert plan["turnover"] == pytest.approx(sum(map(abs, moves.values())) / 2)
+    assert plan["cost"] == pytest.approx(3.5e-4 * sum(abs(d) for d in moves.values() if abs(d) >= 0.2))
+    assert [r["subject"] for r in parts["alerts"] if r["kind"] == "factor"] == ["mkt"]
+    assert sum(r["winner"] for r in parts["comparison"]) == 1
     found.to_html(str(tmp_path / "r.html"))
-    assert "risk_share" in found.to_text() or "weights" in (tmp_path / "r.html").read_text()
+    assert "suitability" in found.to_text() and "Recommendation: trades" in (tmp_path / "r.html").read_text()
+
+
+def test_limits_without_room_are_errors(spark):
+    prices = panel(spark, 60)
+    sectors = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "x")], "symbol string, sector string")
+    with pytest.raises(ValueError):
+        recommend.recommend_weights(prices, profile=planning.Profile("conservative"))  # 3 times 25 %
+    with pytest.raises(ValueError):
+        recommend.recommend_weights(prices, profile=planning.Profile(sector_caps={"x": 0.5}), sectors=sectors)
+    with pytest.raises(ValueError):
+        recommend.recommend_weights(prices, estimator="magic")
+    assert planning.build_profile(ability="aggressive", willingness="conservative").risk_tolerance == "conservative"
+
+
+@pytest.mark.parametrize("estimator", ["sample", "ledoit_wolf", "denoise"])
+def test_estimators(spark, estimator):
+    weights = recommend.recommend_weights(panel(spark, 200), method="min_variance", estimator=estimator).collect()
+    assert sum(r.weight for r in weights) == pytest.approx(1) and all(r.weight >= -1e-9 for r in weights)
 
 
 def test_walk_forward(spark):
     row = recommend.walk_forward(panel(spark, 300), "min_variance", train_days=120, step_days=60).first()
     assert row.windows >= 3 and row.verdict in ("holds up", "fragile")
+    capped = recommend.walk_forward(panel(spark, 300), "min_variance", train_days=120, step_days=60, profile=planning.Profile(max_weight=0.4)).first()
+    assert capped.windows == row.windows and capped.is_sharpe != row.is_sharpe
 
 
 def test_regression_recovers_betas(spark):
