@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from meridia.functions.metrics import expected_shortfall
 from meridia.plans.panel import TRADING_DAYS
 
 
@@ -147,3 +148,9 @@ def market_weights(caps: DataFrame) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     rows = caps.select("symbol", F.coalesce(F.col("cap"), F.avg("cap").over(every), F.lit(1.0)).alias("cap"))
     return rows.select("symbol", (F.col("cap") / F.sum("cap").over(every)).alias("weight"))
+
+
+def portfolio_shortfall(returns: DataFrame, weights: DataFrame, *, value: str = "ret", confidence: float = 0.95, periods: int = TRADING_DAYS) -> DataFrame:
+    """(strategy, var, cvar, cvar_annual) of weights (strategy, symbol, weight) as positive losses."""
+    rows = returns.filter(F.col(value).isNotNull()).join(weights, "symbol").groupBy("strategy", "date").agg(F.sum(F.col("weight") * F.col(value)).alias("ret"))
+    return expected_shortfall(rows, "strategy", confidence=confidence).select("*", (F.col("cvar") * periods**0.5).alias("cvar_annual"))

@@ -131,6 +131,17 @@ def bootstrapped(returns: DataFrame, *, samples: int = 100, seed: int = 42, valu
     return each.groupBy("symbol").agg(F.avg("weight").alias("weight"))
 
 
+def budgeted(returns: DataFrame, budget: Mapping[str, float], *, value: str = "log_ret") -> DataFrame:
+    """(symbol, weight, share) whose shares of the risk are the budget's; symbols that it leaves out have none."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        symbols, _, cov = moments_of(frame)
+        w = solvers.risk_budget(cov, [budget.get(s, 0.0) for s in symbols])
+        return pd.DataFrame({"symbol": symbols, "weight": w, "share": solvers.risk_shares(w, cov)})
+
+    return _whole(pair_sums(returns.filter(F.col("symbol").isin(list(budget))), value=value)).applyInPandas(solve, "symbol string, weight double, share double")
+
+
 def frontier(returns: DataFrame, *, points: int = 50, value: str = "log_ret") -> DataFrame:
     """(target, vol, symbol, weight) of least variance along the efficient frontier."""
 

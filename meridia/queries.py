@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import metrics
-from meridia.operators import engine, factors, moments, oos, optimize, planning, series, signals, simulate
+from meridia.operators import assemblers, assets, engine, factors, moments, oos, optimize, planning, plotdata, recommend, series, signals, simulate, strategies, validation
 from meridia.plans import panel as P
 from meridia.streaming.windows import windowed_prices
 
@@ -374,13 +375,119 @@ def cost_drag(spark, sf):
     return engine.cost_drag(_simulated(spark, sf)[1])
 
 
-@query("scheduled_wealth")
+_FOLLOWED = f"""sch AS (SELECT date, symbol, CASE WHEN sum(w) OVER (PARTITION BY date) > 0 THEN w / sum(w) OVER (PARTITION BY date) ELSE 1.0 / n END AS weight
+  FROM (SELECT date, symbol, greatest(position, 0) AS w, count(*) OVER (PARTITION BY date) AS n, count(position) OVER (PARTITION BY date) AS k FROM pos) WHERE k = n),
+tg AS (SELECT px.date, px.symbol, price, last_value(weight IGNORE NULLS) OVER (PARTITION BY px.symbol ORDER BY px.date {TO_NOW}) AS target FROM px LEFT JOIN sch ON sch.date = px.date AND sch.symbol = px.symbol),
+tt AS (SELECT *, lag(target) OVER ({W}) AS lt FROM tg WHERE target IS NOT NULL),
+fl AS (SELECT date, bool_or(lt IS NULL OR abs(target - lt) > 1e-12) AS flag FROM tt GROUP BY 1),
+dt AS (SELECT date, flag, row_number() OVER (ORDER BY date) AS row, max(CASE WHEN flag THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM fl),
+pr AS (SELECT dt.date, row, flag, t.symbol, t.target, b.target AS w, t.price / b.price AS ratio FROM dt JOIN tt t ON t.date = dt.date LEFT JOIN tt b ON b.date = dt.base AND b.symbol = t.symbol),
+v AS (SELECT date, row, flag, sum(w * ratio) AS v FROM pr GROUP BY 1, 2, 3),
+tr AS (SELECT pr.date, sum(abs(pr.target - coalesce(pr.w * ratio / v.v, 0))) AS two_way FROM pr JOIN v ON v.date = pr.date GROUP BY 1),
+f AS (SELECT v.date, v.row, v.flag, CASE WHEN v.row = 1 THEN 1.0 ELSE v.v END AS g, CASE WHEN v.flag THEN two_way * (1 + 5.0 / 2) / 1e4 ELSE 0 END AS cf, CASE WHEN v.flag THEN two_way / 2 ELSE 0 END AS turnover FROM v JOIN tr ON tr.date = v.date)"""
+
+
+@query(
+    "scheduled_wealth", "strategy date", "value turnover",
+    f"""WITH {WEEK}, {_POS}, {_FOLLOWED}
+SELECT 'momentum' AS strategy, date, coalesce(exp(sum(ln(CASE WHEN flag AND row > 1 THEN g ELSE 1 END)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) * g
+  * exp(sum(ln(1 - cf)) OVER (ORDER BY date {TO_NOW})) AS value, turnover FROM f""",
+)
 def scheduled_wealth(spark, sf):
     """The long-only momentum schedule, followed with costs."""
     schedule = signals.long_only_schedule(_positions(spark, sf)).select(F.lit("momentum").alias("strategy"), F.col("date").alias("eff_date"), "symbol", "weight")
     return engine.simulate(P.week_panel(spark, sf), schedule, commission_bps=1.0, spread_bps=5.0)[0]
 
 
+_MANY = f"""tw AS (SELECT 'equal' AS strategy, symbol, weight FROM w UNION ALL SELECT 'sales', symbol, weight FROM sales),
+d AS (SELECT date, row_number() OVER (ORDER BY date) AS row, coalesce(month(date) <> lag(month(date)) OVER (ORDER BY date), true) AS flag FROM (SELECT DISTINCT date FROM px)),
+db AS (SELECT *, max(CASE WHEN flag THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM d),
+pr AS (SELECT strategy, db.date, row, flag, p.symbol, weight AS w, p.price / b.price AS ratio FROM db JOIN px p ON p.date = db.date JOIN tw ON tw.symbol = p.symbol LEFT JOIN px b ON b.date = db.base AND b.symbol = p.symbol),
+v AS (SELECT strategy, date, row, flag, sum(w * ratio) AS v FROM pr GROUP BY 1, 2, 3, 4),
+tr AS (SELECT pr.strategy, pr.date, sum(abs(pr.w - coalesce(pr.w * ratio / v.v, 0))) AS two_way FROM pr JOIN v ON v.date = pr.date AND v.strategy = pr.strategy GROUP BY 1, 2),
+f AS (SELECT v.strategy, v.date, v.row, v.flag, CASE WHEN v.row = 1 THEN 1.0 ELSE v.v END AS g, CASE WHEN v.flag THEN two_way * (1 + 5.0 / 2) / 1e4 ELSE 0 END AS cf FROM v JOIN tr ON tr.date = v.date AND tr.strategy = v.strategy),
+wealth AS (SELECT strategy, date, coalesce(exp(sum(ln(CASE WHEN flag AND row > 1 THEN g ELSE 1 END)) OVER (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) * g
+  * exp(sum(ln(1 - cf)) OVER (PARTITION BY strategy ORDER BY date {TO_NOW})) AS value FROM f)"""
+
+
+def _two(spark, sf):
+    """The strategies equal and sales."""
+    return _equal(P.week_panel(spark, sf)).unionByName(_by_sales(spark, sf))
+
+
+def _backtest(spark, sf):
+    of = {r: _two(spark, sf).filter(F.col("strategy") == r).drop("strategy") for r in ("equal", "sales")}
+    return strategies.backtest({k: (lambda panel, v=v: v) for k, v in of.items()}, P.week_panel(spark, sf), commission_bps=1.0, spread_bps=5.0)
+
+
+@query("backtest_of_many", "strategy date", "value", f"WITH {WEEK}, {EQUAL}, {SALES}, {_MANY} SELECT * FROM wealth")
+def backtest_of_many(spark, sf):
+    return _backtest(spark, sf).wealth
+
+
+@query(
+    "backtest_metrics", "strategy n_obs", "cagr ann_vol sharpe",
+    f"""WITH {WEEK}, {EQUAL}, {SALES}, {_MANY}, r AS (SELECT strategy, value / lag(value) OVER (PARTITION BY strategy ORDER BY date) - 1 AS ret FROM wealth)
+SELECT strategy, count(ret) AS n_obs, pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1 AS cagr, stddev_samp(ret) * sqrt(252) AS ann_vol, (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252) AS sharpe FROM r GROUP BY 1""",
+)
+def backtest_metrics(spark, sf):
+    return _backtest(spark, sf).metrics()
+
+
+@query("strategy_backtests", "strategy n_obs", "cagr ann_vol sharpe max_drawdown")
+def strategy_backtests(spark, sf):
+    """Every strategy of the library at once; solvers and schedules are beyond SQL."""
+    panel = P.week_panel(spark, sf)
+    of = {m: strategies.solved(m) for m in optimize.METHODS} | {
+        "inverse_vol": strategies.inverse_vol(lookback=20),
+        "trend": strategies.trend_following(momentum=(26, 4), average=(5, 20), vol_lookback=20),
+        "momentum": strategies.cross_sectional_momentum(lookback=26, skip=4, vol_lookback=20),
+        "overlay": strategies.vol_overlay(lambda p: _by_sales(spark, sf).drop("strategy"), lookback=20),
+    }
+    return strategies.backtest(of, panel, commission_bps=1.0, spread_bps=5.0).metrics()
+
+
+@query(
+    "weight_history", "strategy date symbol place", "weight",
+    f"""WITH {WEEK}, {SALES}, d AS (SELECT date, coalesce(month(date) <> lag(month(date)) OVER (ORDER BY date), true) AS flag FROM (SELECT DISTINCT date FROM px)),
+b AS (SELECT date, max(CASE WHEN flag THEN date END) OVER (ORDER BY date {TO_NOW}) AS base FROM d),
+x AS (SELECT b.date, p.symbol, sales.weight * p.price / q.price AS worth FROM b JOIN px p ON p.date = b.date JOIN px q ON q.date = b.base AND q.symbol = p.symbol JOIN sales ON sales.symbol = p.symbol),
+y AS (SELECT date, symbol, worth / sum(worth) OVER (PARTITION BY date) AS weight FROM x), z AS (SELECT symbol, CAST(row_number() OVER (ORDER BY avg(weight) DESC, symbol) AS INT) AS place FROM y GROUP BY 1)
+SELECT 'sales' AS strategy, date, y.symbol, place, weight FROM y JOIN z ON z.symbol = y.symbol""",
+)
+def weight_history(spark, sf):
+    return assemblers.weights_over_time(P.week_panel(spark, sf), _by_sales(spark, sf))
+
+
+@query(
+    "rebalance_plan", "executed held", "turnover cost",
+    f"WITH {WEEK}, {EQUAL}, {SALES}, m AS (SELECT abs(sales.weight - w.weight) AS d FROM w JOIN sales ON sales.symbol = w.symbol) SELECT count(*) FILTER (d >= 0.002) AS executed, count(*) FILTER (d < 0.002) AS held, sum(d) / 2 AS turnover, coalesce(sum(d) FILTER (d >= 0.002), 0) * 3.5 / 1e4 AS cost FROM m WHERE d > 1e-12",
+    digits=9,
+)
+def rebalance_plan(spark, sf):
+    return engine.rebalance_plan(engine.rebalance_trades(_equal(P.week_panel(spark, sf)).drop("strategy"), _by_sales(spark, sf).drop("strategy"), threshold=0.002))
+
+
+@query(
+    "vol_target_portfolio", "date symbol", "position",
+    f"""WITH {WEEK}, {_POS}, tot AS (SELECT *, sum(abs(signal) * vol) OVER (PARTITION BY date) AS total FROM sv), pp AS (SELECT date, symbol, signal * 0.1 / nullif(lag(total) OVER ({W}), 0) AS p FROM tot)
+SELECT date, symbol, p * least(1.0, 2.0 / nullif(sum(abs(p)) OVER (PARTITION BY date), 0)) AS position FROM pp""",
+)
+def vol_target_portfolio(spark, sf):
+    sized = signals.momentum_signal(P.week_panel(spark, sf), lookback=26, skip=4)
+    return signals.vol_target_positions(signals.trailing_volatility(P.with_returns(sized), lookback=20, method="simple"), scaling="portfolio")
+
+
+@query("annual_returns", "symbol", "annual", f"WITH {WEEK}, a AS (SELECT symbol, date, sqrt(price / lag(price, 104) OVER ({W})) - 1 AS annual FROM px) SELECT symbol, arg_max(annual, date) AS annual FROM a GROUP BY 1")
+def annual_returns(spark, sf):
+    return series.trailing_annual_return(P.week_panel(spark, sf), "symbol", years=2, periods=52)
+
+
+@query("date_gaps", "symbol days periods", "", f"WITH {WEEK}, g AS (SELECT symbol, date_diff('day', lag(date) OVER ({W}), date) AS g FROM px) SELECT symbol, CAST(mode(g) AS INT) AS days, CAST(CASE WHEN mode(g) >= 28 THEN 12 ELSE 252 END AS INT) AS periods FROM g GROUP BY 1")
+def date_gaps(spark, sf):
+    return factors.typical_gap(P.week_panel(spark, sf), "symbol")
+
+
 @query("covariance", "i j", "cov corr", f"WITH {WEEK}, {COV} SELECT * FROM cov")
 def covariance(spark, sf):
     return moments.covariance(_returns(spark, sf))
@@ -400,6 +507,123 @@ def shrunk_covariance(spark, sf):
     return moments.shrunk_covariance(_returns(spark, sf))
 
 
+@query(
+    "identity_shrinkage", "i j", "cov delta",
+    f"""WITH {WEEK}, c AS (SELECT date, symbol, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM rets WHERE ret IS NOT NULL),
+m AS (SELECT a.symbol AS i, b.symbol AS j, avg(a.x * b.x) AS s, avg(a.x * a.x * b.x * b.x) AS q, count(*) AS t FROM c a JOIN c b ON a.date = b.date GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN i = j THEN (SELECT avg(s) FROM m WHERE i = j) ELSE 0 END AS f FROM m),
+d AS (SELECT least(greatest(sum(q - s * s) / sum(pow(f - s, 2)) / max(t), 0), 1) AS delta FROM f)
+SELECT i, j, 252 * (delta * f + (1 - delta) * s) AS cov, delta FROM f CROSS JOIN d""",
+)
+def identity_shrinkage(spark, sf):
+    return moments.shrunk_covariance(_returns(spark, sf), target="identity")
+
+
+_PAIRS = """pm AS (SELECT a.symbol AS i, b.symbol AS j, avg(a.log_ret) * 252 AS mi, avg(b.log_ret) * 252 AS mj, var_samp(a.log_ret) * 252 AS sii, var_samp(b.log_ret) * 252 AS sjj, covar_samp(a.log_ret, b.log_ret) * 252 AS sij
+  FROM rets a JOIN rets b ON a.date = b.date AND a.symbol < b.symbol WHERE a.log_ret IS NOT NULL AND b.log_ret IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query(
+    "two_asset_portfolios", "pair strategy symbol", "weight",
+    f"""WITH {WEEK}, {_PAIRS}, x AS (SELECT i, j, unnest([{{'strategy': 'equal_weight', 'w': 0.5}}, {{'strategy': 'min_variance', 'w': least(greatest((sjj - sij) / (sii + sjj - 2 * sij), 0), 1)}},
+  {{'strategy': 'risk_parity', 'w': sqrt(sjj) / (sqrt(sii) + sqrt(sjj))}}, {{'strategy': 'max_diversification', 'w': sqrt(sjj) / (sqrt(sii) + sqrt(sjj))}}, {{'strategy': 'hrp', 'w': sjj / (sii + sjj)}}]) AS u FROM pm)
+SELECT i || '/' || j AS pair, u.strategy AS strategy, i AS symbol, u.w AS weight FROM x UNION ALL SELECT i || '/' || j, u.strategy, j, 1 - u.w FROM x""",
+    digits=4,
+)
+def two_asset_portfolios(spark, sf):
+    """Each pair of symbols by the methods that have a closed form for two."""
+    returns = _returns(spark, sf)
+    symbols = returns.select("symbol").distinct()
+    pairs = symbols.join(symbols.withColumnRenamed("symbol", "other"), F.col("symbol") < F.col("other"))
+    named = pairs.select(F.concat_ws("/", "symbol", "other").alias("pair"), F.explode(F.array("symbol", "other")).alias("symbol"))
+    return optimize.optimized(returns.join(named, "symbol"), "pair", ["equal_weight", "min_variance", "risk_parity", "max_diversification", "hrp"])
+
+
+_ONE_PAIR = "pr AS (SELECT * FROM pm WHERE i = '1-URGENT' AND j = '2-HIGH')"
+
+
+def _pair(spark, sf):
+    return _returns(spark, sf).filter("symbol IN ('1-URGENT', '2-HIGH')")
+
+
+@query(
+    "efficient_frontier", "symbol", "target vol weight",
+    f"""WITH {WEEK}, {_PAIRS}, {_ONE_PAIR}, q AS (SELECT *, least(mi, mj) + 0.1 * abs(mi - mj) AS a, 1.2 * (least(mi, mj) + 0.9 * abs(mi - mj)) AS b FROM pr),
+t AS (SELECT *, a + k * (b - a) / 49 AS target FROM q CROSS JOIN (SELECT unnest(range(50)) AS k)), w AS (SELECT *, (target - mj) / (mi - mj) AS w FROM t WHERE target BETWEEN least(mi, mj) - 1e-12 AND greatest(mi, mj) + 1e-12),
+v AS (SELECT *, sqrt(w * w * sii + (1 - w) * (1 - w) * sjj + 2 * w * (1 - w) * sij) AS vol FROM w) SELECT i AS symbol, target, vol, w AS weight FROM v UNION ALL SELECT j, target, vol, 1 - w FROM v""",
+    digits=5,
+)
+def efficient_frontier(spark, sf):
+    return optimize.frontier(_pair(spark, sf))
+
+
+@query(
+    "risk_budgets", "symbol", "weight share",
+    f"""WITH {WEEK}, {_PAIRS}, {_ONE_PAIR}, r AS (SELECT *, ((0.7 - 0.5) * sij - 0.7 * sjj + sqrt(sii * sjj) * sqrt(0.04 * sij * sij / (sii * sjj) + 0.7 * 0.3)) / (0.3 * sii - 0.7 * sjj + 2 * 0.2 * sij) AS w FROM pr)
+SELECT i AS symbol, w AS weight, 0.7 AS share FROM r UNION ALL SELECT j, 1 - w, 0.3 FROM r""",
+)
+def risk_budgets(spark, sf):
+    return optimize.budgeted(_pair(spark, sf), {"1-URGENT": 0.7, "2-HIGH": 0.3})
+
+
+@query(
+    "posterior_returns", "symbol", "prior posterior",
+    f"""WITH {WEEK}, {COV}, {SALES}, pi AS (SELECT cov.i AS symbol, 2.5 * sum(cov * weight) AS prior FROM cov JOIN sales ON sales.symbol = cov.j GROUP BY 1),
+p AS (SELECT symbol, CASE symbol WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN -1.0 ELSE 0.0 END AS p FROM sales),
+sp AS (SELECT cov.i AS symbol, sum(cov * p) AS sp FROM cov JOIN p ON p.symbol = cov.j GROUP BY 1),
+g AS (SELECT (0.02 - sum(p * prior)) / (sum(p * sp) * (1 + 1 / 0.5)) AS gain FROM p JOIN pi ON pi.symbol = p.symbol JOIN sp ON sp.symbol = p.symbol)
+SELECT pi.symbol, prior, prior + sp * gain AS posterior FROM pi JOIN sp ON sp.symbol = pi.symbol CROSS JOIN g""",
+)
+def posterior_returns(spark, sf):
+    """One relative view at half confidence."""
+    return optimize.posterior(moments.covariance(_returns(spark, sf)), _by_sales(spark, sf).drop("strategy"), [({"1-URGENT": 1.0, "2-HIGH": -1.0}, 0.02, 0.5)])
+
+
+@query(
+    "recommended_weights", "symbol", "weight",
+    f"WITH {SALES} SELECT symbol, CASE WHEN symbol = '4-NOT SPECIFIED' THEN 0.0 WHEN symbol < '3' THEN 0.35 / 2 ELSE (0.9 - 0.35) / 2 END AS weight FROM sales",
+    digits=5,
+)
+def recommended_weights(spark, sf):
+    """Nearest to equal weights within a profile: 10 % cash, a symbol excluded, and a sector of two at its cap of 35 %; the other two share the rest."""
+    panel = P.week_panel(spark, sf)
+    profile = planning.Profile(max_weight=0.275, liquidity_floor=0.1, sector_caps={"urgent": 0.35}, excluded=("4-NOT SPECIFIED",))
+    return recommend.recommend_weights(panel, method="equal_weight", profile=profile, sectors=_sectors(panel))
+
+
+@query(
+    "portfolio_cvar", "strategy", "var cvar cvar_annual",
+    f"""WITH {WEEK}, {SALES}, p AS (SELECT date, sum(weight * ret) AS ret FROM rets JOIN sales ON sales.symbol = rets.symbol WHERE ret IS NOT NULL GROUP BY 1), q AS (SELECT quantile_cont(ret, 0.05) AS q FROM p)
+SELECT 'sales' AS strategy, -min(q) AS var, -avg(ret) AS cvar, -avg(ret) * sqrt(252) AS cvar_annual FROM p CROSS JOIN q WHERE ret <= q""",
+)
+def portfolio_cvar(spark, sf):
+    return moments.portfolio_shortfall(_returns(spark, sf), _by_sales(spark, sf))
+
+
+@query(
+    "realized_risk", "strategy", "vol max_drawdown ann_return",
+    f"""WITH {WEEK}, {COV}, {SALES}, vo AS (SELECT sqrt(sum(a.weight * b.weight * cov)) AS vol FROM cov JOIN sales a ON a.symbol = cov.i JOIN sales b ON b.symbol = cov.j),
+g AS (SELECT date, px.symbol, price / first_value(price) OVER (PARTITION BY px.symbol ORDER BY date) AS g FROM px), bh AS (SELECT date, sum(weight * g) AS value FROM g JOIN sales ON sales.symbol = g.symbol GROUP BY 1),
+bd AS (SELECT *, value / max(value) OVER (ORDER BY date {TO_NOW}) - 1 AS dd, value / lag(value) OVER (ORDER BY date) - 1 AS ret FROM bh)
+SELECT 'sales' AS strategy, min(vol) AS vol, min(dd) AS max_drawdown, pow(exp(sum(ln(1 + ret))), 252.0 / count(ret)) - 1 AS ann_return FROM bd CROSS JOIN vo""",
+)
+def realized_risk(spark, sf):
+    return recommend.realized(P.week_panel(spark, sf), _by_sales(spark, sf).drop("strategy"), "sales")
+
+
+@query("sector_allocation", "strategy sector", "weight", f"WITH {SALES} SELECT 'sales' AS strategy, CASE WHEN symbol < '3' THEN 'urgent' ELSE 'other' END AS sector, sum(weight) AS weight FROM sales WHERE weight > 0.001 GROUP BY 2")
+def sector_allocation(spark, sf):
+    return plotdata.sector_allocation(_by_sales(spark, sf), _sectors(P.week_panel(spark, sf)))
+
+
+@query("cap_weights", "symbol", "cap weight", f"WITH {SALES}, k AS (SELECT symbol, CASE WHEN symbol < '4' THEN weight * 100 END AS cap FROM sales), c AS (SELECT symbol, coalesce(cap, avg(cap) OVER ()) AS cap FROM k) SELECT symbol, cap, cap / sum(cap) OVER () AS weight FROM c")
+def cap_weights(spark, sf):
+    """Capitalisations of some symbols are known; the others count as the mean."""
+    known = _by_sales(spark, sf).filter("symbol < '4'").select("symbol", (F.col("weight") * 100).alias("cap"))
+    caps = assets.market_caps(_by_sales(spark, sf), known)
+    return caps.join(moments.market_weights(caps), "symbol")
+
+
 _PARTS = "parts AS (SELECT cov.i AS symbol, sum(a.weight * b.weight * cov) AS part FROM cov JOIN sales a ON a.symbol = cov.i JOIN sales b ON b.symbol = cov.j GROUP BY 1)"
 
 
@@ -408,6 +632,11 @@ def risk_contributions(spark, sf):
     return moments.risk_contributions(_by_sales(spark, sf), moments.covariance(_returns(spark, sf)))
 
 
+@query("sector_risk", "strategy sector", "share", f"WITH {WEEK}, {COV}, {SALES}, {_PARTS} SELECT 'sales' AS strategy, CASE WHEN symbol < '3' THEN 'urgent' ELSE 'other' END AS sector, sum(part) / (SELECT sum(part) FROM parts) AS share FROM parts GROUP BY 2")
+def sector_risk(spark, sf):
+    return plotdata.sector_risk(moments.risk_contributions(_by_sales(spark, sf), moments.covariance(_returns(spark, sf))), _sectors(P.week_panel(spark, sf)))
+
+
 @query("forecast_volatility", "strategy", "vol", f"WITH {WEEK}, {COV}, {SALES}, {_PARTS} SELECT 'sales' AS strategy, sqrt(sum(part)) AS vol FROM parts")
 def forecast_volatility(spark, sf):
     return moments.forecast_vol(_by_sales(spark, sf), moments.covariance(_returns(spark, sf)))
@@ -442,6 +671,24 @@ def factor_regression(spark, sf):
     return factors.regression(_excess(spark, sf), "symbol", x=["mkt"])
 
 
+@query(
+    "factor_inference", "symbol n", "adj_r2 t_alpha t_mkt",
+    f"""WITH {WEEK}, {BENCH}, {_EX}, r AS (SELECT symbol, count(*) AS n, regr_intercept(y, mkt) AS a, regr_slope(y, mkt) AS b, regr_r2(y, mkt) AS r2, regr_sxx(y, mkt) AS sxx, regr_syy(y, mkt) AS syy, avg(mkt) AS m FROM ex GROUP BY 1),
+s AS (SELECT *, sqrt((1 - r2) * syy / (n - 2)) AS s FROM r) SELECT symbol, n, 1 - (1 - r2) * (n - 1) / (n - 2) AS adj_r2, a / (s * sqrt(1.0 / n + m * m / sxx)) AS t_alpha, b / (s / sqrt(sxx)) AS t_mkt FROM s""",
+)
+def factor_inference(spark, sf):
+    return factors.regression(_excess(spark, sf), "symbol", x=["mkt"])
+
+
+@query(
+    "factor_contributions", "date symbol", "part_mkt explained unexplained",
+    f"WITH {WEEK}, {BENCH}, {_EX}, b AS (SELECT symbol, regr_intercept(y, mkt) AS a, regr_slope(y, mkt) AS b FROM ex GROUP BY 1) SELECT date, ex.symbol, b * mkt AS part_mkt, a + b * mkt AS explained, y - a - b * mkt AS unexplained FROM ex JOIN b ON b.symbol = ex.symbol",
+)
+def factor_contributions(spark, sf):
+    rows = _excess(spark, sf)
+    return factors.contributions(rows, factors.regression(rows, "symbol", x=["mkt"]), "symbol", x=["mkt"])
+
+
 _BETAS = f"""bw AS (SELECT date, symbol, count(*) OVER b AS n, covar_pop(y, mkt) OVER b / nullif(var_pop(mkt) OVER b, 0) AS beta FROM ex WINDOW b AS ({W} ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)),
 betas AS (SELECT date, symbol, CASE WHEN n >= 52 THEN beta END AS beta FROM bw)"""
 
@@ -461,7 +708,12 @@ def neutralized_returns(spark, sf):
     return factors.neutralized(_excess(spark, sf), "symbol", x=["mkt"])
 
 
-@query("rolling_regression")
+@query(
+    "rolling_regression", "symbol date", "beta_mkt beta_last",
+    f"""WITH {WEEK}, {BENCH}, {_EX}, e2 AS (SELECT *, lag(mkt) OVER ({W}) AS last FROM ex), e3 AS (SELECT * FROM e2 WHERE last IS NOT NULL),
+c AS (SELECT symbol, date, count(*) OVER b AS n, var_pop(mkt) OVER b AS a, var_pop(last) OVER b AS d, covar_pop(mkt, last) OVER b AS m, covar_pop(y, mkt) OVER b AS p, covar_pop(y, last) OVER b AS q FROM e3 WINDOW b AS ({W} ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING))
+SELECT symbol, date, (p * d - q * m) / (a * d - m * m) AS beta_mkt, (q * a - p * m) / (a * d - m * m) AS beta_last FROM c WHERE n >= 52""",
+)
 def rolling_regression(spark, sf):
     """Two factors: the benchmark and its last move."""
     rows = _excess(spark, sf)
@@ -540,6 +792,62 @@ def overfitting_probability(spark, sf):
     return oos.overfitting_probability(_splits(spark, sf))
 
 
+@query(
+    "overfitting_assessment", "best splits verdict", "pbo slope oos_loss psr dsr",
+    f"""WITH {WEEK}, {_CSCV}, {_MOMENTS}, k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY is_sharpe DESC, config) AS best, rank() OVER (PARTITION BY split ORDER BY oos_sharpe) AS rk, count(*) OVER (PARTITION BY split) AS n FROM sp),
+o AS (SELECT count(*) AS splits, avg(CASE WHEN rk / (n + 1.0) <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, regr_slope(oos_sharpe, is_sharpe) AS slope, avg(CASE WHEN oos_sharpe < 0 THEN 1.0 ELSE 0.0 END) AS oos_loss FROM k WHERE best = 1),
+z AS (SELECT symbol AS best, sr * sqrt(n - 1) / sqrt(vf) AS a, (sr - {oos.expected_max_sharpe(5, 1.0)!r} * sqrt(vf / (n - 1))) / sqrt(vf / (n - 1)) AS b FROM vf ORDER BY sr DESC, symbol LIMIT 1),
+x AS (SELECT best, {_CDF.format(z="a")} AS psr, {_CDF.format(z="b")} AS dsr FROM z)
+SELECT best, splits, pbo, slope, oos_loss, psr, dsr, CASE WHEN pbo > 0.5 THEN 'likely_overfit' WHEN pbo <= 0.1 AND dsr >= 0.95 THEN 'robust' ELSE 'caution' END AS verdict FROM o CROSS JOIN x""",
+)
+def overfitting_assessment(spark, sf):
+    return validation.assessed(_returns(spark, sf).select("date", F.col("symbol").alias("config"), "ret"), blocks=8)
+
+
+@query(
+    "strategy_comparison", "strategy n rank winner", "sharpe dsr",
+    f"""WITH {WEEK}, {_MOMENTS}, z AS (SELECT symbol, n, sr * sqrt(252) AS sharpe, (sr - {oos.expected_max_sharpe(5, 1.0)!r} * sqrt(vf / (n - 1))) / sqrt(vf / (n - 1)) AS b FROM vf), x AS (SELECT symbol, n, sharpe, {_CDF.format(z="b")} AS dsr FROM z),
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY dsr DESC, symbol) AS INT) AS rank FROM x) SELECT symbol AS strategy, n, rank, rank = 1 AS winner, sharpe, dsr FROM r""",
+)
+def strategy_comparison(spark, sf):
+    return planning.compared(_returns(spark, sf).withColumnRenamed("symbol", "strategy"))
+
+
+_SPLITS = f"""tw AS (SELECT 'equal' AS strategy, symbol, weight FROM w UNION ALL SELECT 'sales', symbol, weight FROM sales),
+sd AS (SELECT *, CASE WHEN date <= DATE '1996-01-01' THEN 'train' ELSE 'test' END AS split FROM px),
+sg AS (SELECT strategy, split, date, sum(weight * g) AS v FROM (SELECT date, split, symbol, price / first_value(price) OVER (PARTITION BY split, symbol ORDER BY date) AS g FROM sd) x JOIN tw ON tw.symbol = x.symbol GROUP BY 1, 2, 3),
+sr AS (SELECT *, v / lag(v) OVER (PARTITION BY strategy, split ORDER BY date) - 1 AS ret FROM sg),
+su AS (SELECT *, v / greatest(1.0, max(v) OVER (PARTITION BY strategy, split ORDER BY date {TO_NOW})) - 1 AS uw FROM sr WHERE ret IS NOT NULL),
+sm AS (SELECT strategy, split, count(*) AS n, pow(exp(sum(ln(1 + ret))), 252.0 / count(*)) - 1 AS cagr, stddev_samp(ret) * sqrt(252) AS ann_vol, (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252) AS sharpe, min(uw) AS max_drawdown FROM su GROUP BY 1, 2)"""
+
+
+def _split(spark, sf):
+    return validation.split_metrics(P.week_panel(spark, sf), _two(spark, sf), datetime.date(1996, 1, 1))
+
+
+@query("train_and_test", "strategy split n", "cagr ann_vol sharpe max_drawdown", f"WITH {WEEK}, {EQUAL}, {SALES}, {_SPLITS} SELECT * FROM sm")
+def train_and_test(spark, sf):
+    return _split(spark, sf)
+
+
+@query(
+    "overfitting_scores", "strategy", "sharpe_lost cagr_lost",
+    f"""WITH {WEEK}, {EQUAL}, {SALES}, {_SPLITS} SELECT a.strategy, CASE WHEN a.sharpe > 0 THEN greatest(0, (a.sharpe - b.sharpe) / a.sharpe) ELSE 0 END AS sharpe_lost, CASE WHEN a.cagr > 0 THEN greatest(0, (a.cagr - b.cagr) / a.cagr) ELSE 0 END AS cagr_lost
+FROM sm a JOIN sm b ON a.strategy = b.strategy WHERE a.split = 'train' AND b.split = 'test'""",
+)
+def overfitting_scores(spark, sf):
+    return validation.overfitting_scores(_split(spark, sf))
+
+
+@query(
+    "return_distribution", "symbol bin n", "start",
+    f"""WITH {SHIP}, q AS (SELECT symbol, quantile_cont(ret, 0.01) AS low, quantile_cont(ret, 0.99) AS high FROM rets GROUP BY 1), x AS (SELECT r.symbol, low, (high - low) / 50 AS width, ret FROM rets r JOIN q ON q.symbol = r.symbol WHERE ret BETWEEN low AND high),
+b AS (SELECT *, least(CAST(floor((ret - low) / width) AS INT), 49) AS bin FROM x) SELECT symbol, bin, count(*) AS n, min(low + bin * width) AS start FROM b GROUP BY 1, 2""",
+)
+def return_distribution(spark, sf):
+    return plotdata.distribution(_returns(spark, sf, "ship"), "symbol")
+
+
 @query("simulated_paths")
 def simulated_paths(spark, sf):
     return simulate.bands(simulate.paths(spark, 0.08, 0.16))
@@ -576,6 +884,14 @@ def path_bands(spark, sf):
     return simulate.bands(_paths(spark, sf))
 
 
+@query(
+    "survival_curve", "", "threshold prob",
+    f"WITH {_PATHS}, s AS (SELECT min(ret) AS low, (max(ret) - min(ret)) / 99 AS step FROM en), g AS (SELECT unnest(range(100)) AS k) SELECT low + k * step AS threshold, avg(CASE WHEN ceil((ret - low) / step) > k THEN 1.0 ELSE 0.0 END) AS prob FROM en CROSS JOIN s CROSS JOIN g GROUP BY k, low, step",
+)
+def survival_curve(spark, sf):
+    return plotdata.survival(simulate.terminal_returns(_paths(spark, sf)))
+
+
 @query("weight_alerts", "kind subject severity", "value allowed", f"WITH {SALES}, a AS (SELECT 'weight' AS kind, symbol AS subject, weight AS value, 0.2 AS allowed FROM sales UNION ALL SELECT 'sector', 'urgent', sum(weight), 0.35 FROM sales WHERE symbol < '3') SELECT kind, subject, value, CAST(allowed AS DOUBLE) AS allowed, CASE WHEN value > allowed THEN 'breach' ELSE 'warning' END AS severity FROM a WHERE value >= 0.9 * allowed")
 def weight_alerts(spark, sf):
     return planning.weight_alerts(_by_sales(spark, sf).drop("strategy"), max_weight=0.2, sectors=_sectors(P.week_panel(spark, sf)), sector_caps={"urgent": 0.35})
@@ -606,6 +922,19 @@ def walk_forward_sharpe(spark, sf):
     return inside.groupBy("window_id", "symbol").agg(metrics.sharpe().alias("sharpe"))
 
 
+_ROLLED = f"""tw AS (SELECT 'equal' AS strategy, symbol, weight FROM w UNION ALL SELECT 'sales', symbol, weight FROM sales),
+pt AS (SELECT window_id, 'train' AS part, px.* FROM px JOIN wi ON date BETWEEN train_start AND train_start + 365 UNION ALL SELECT window_id, 'test', px.* FROM px JOIN wi ON date BETWEEN train_start + 366 AND train_start + 455),
+pg AS (SELECT window_id, part, date, symbol, price / first_value(price) OVER (PARTITION BY window_id, part, symbol ORDER BY date) AS g FROM pt),
+pv AS (SELECT window_id, part, strategy, date, sum(weight * g) AS v FROM pg JOIN tw ON tw.symbol = pg.symbol GROUP BY 1, 2, 3, 4),
+pq AS (SELECT *, v / lag(v) OVER (PARTITION BY window_id, part, strategy ORDER BY date) - 1 AS ret FROM pv),
+ps AS (SELECT window_id, part, strategy, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe FROM pq GROUP BY 1, 2, 3)"""
+
+
+@query("rolling_sharpes", "window_id strategy", "is_sharpe oos_sharpe", f"WITH {WEEK}, {EQUAL}, {SALES}, {_WINDOWS}, {_ROLLED} SELECT CAST(a.window_id AS INT) AS window_id, a.strategy, a.sharpe AS is_sharpe, b.sharpe AS oos_sharpe FROM ps a JOIN ps b ON a.window_id = b.window_id AND a.strategy = b.strategy WHERE a.part = 'train' AND b.part = 'test'")
+def rolling_sharpes(spark, sf):
+    return validation.rolling(P.week_panel(spark, sf), [], fixed=_two(spark, sf))
+
+
 @query("walk_forward_weights")
 def walk_forward_weights(spark, sf):
     """Weights of every method on each training window."""
