@@ -386,9 +386,9 @@ def _links(copies: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame
     stars = rows.filter("id <> first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("b")).distinct()
     involved = written(rows.select("id").distinct().join(copies.select("id", "doc", "content", "sig"), "id"), "involved")
     texts = whole.select(F.col("doc_id").alias("doc"), "text")
-    bitmaps = max(1, math.ceil(involved.count() / 4096))  # eight bits an id
-    if bitmaps <= settings.most_bitmaps:
-        texts = likely_in(texts, involved.select("doc"), bitmaps, "doc")
+    n = involved.count()
+    if n < 32768 * settings.most_bitmaps / 2:  # 64 bits an id as long as there is room for them
+        texts = likely_in(texts, involved.select("doc"), min(settings.most_bitmaps, max(1, math.ceil(n / 512))), "doc")
     # an inner join, ids being distinct: a semi join would be pushed below the bitmaps
     texts = texts.join(involved, "doc").filter(content_of(F.col("text")) == F.col("content")).select("id", "text", "sig")
     texts = written(texts.dropDuplicates(["id"]), "texts")
