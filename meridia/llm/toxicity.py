@@ -212,6 +212,9 @@ class Scorer:
 def learn_lexicon(rows: DataFrame, limits: Limits = Limits()) -> list[Term]:
     """All terms that rows (t, toxic) show: words and stems. Their number is bounded by that of the rows.
 
+    A term's toxic rows have to be more than chance gives any of the words and stems that
+    are looked at: of all these, one is expected to pass by luck.
+
     Words of any length count, stems have ``limits.stem`` characters. Counts are of rows. Those of a stem add up over its words, and a term is left out
     where a shorter stem says the same.
     """
@@ -226,10 +229,16 @@ def learn_lexicon(rows: DataFrame, limits: Limits = Limits()) -> list[Term]:
     )
     stems = stems.groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
     both = counted.select("word", "bad", "all", F.lit(False).alias("stem")).unionByName(stems.select("word", "bad", "all", F.lit(True).alias("stem")))
+    both = written(both.filter(F.col("all") >= limits.least_rows), "candidates")
     share = n[1] / (n[0] + n[1])
+    # at the rate of all rows, so many toxic ones among a term's have this log probability at most (Chernoff's bound)
+    part = F.col("bad") / F.col("all")
+    part_log = lambda q, p: F.when(q > 0, q * F.ln(q / p)).otherwise(0.0)
+    chance = F.col("all") * (part_log(part, share) + part_log(1 - part, 1 - share))
+    unlikely = (part > share) & (chance >= math.log(max(1, both.count())))
     # at even rates of toxic and other rows, so that a rare class doesn't hide its terms
     odds = F.col("bad") * (1 - share) / (F.col("bad") * (1 - share) + (F.col("all") - F.col("bad") + 0.5) * share)
-    chosen = both.filter((F.col("bad") >= limits.least_rows) & (F.col("bad") >= limits.least_share * F.col("all")) & (odds >= limits.least_share))
+    chosen = both.filter((F.col("bad") >= limits.least_rows) & (F.col("bad") >= limits.least_share * F.col("all")) & (odds >= limits.least_share) & unlikely)
     found = chosen.collect()
     terms: list[Term] = []
     taken: dict[str, int] = {}

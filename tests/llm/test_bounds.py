@@ -130,11 +130,19 @@ def test_toxicity_equals_brute_force(docs_of):
 
 
 def test_lexicon_is_not_cut(spark):
-    rows = [(" ".join(f"bad{i}x{k}" for k in range(300)), 1) for i in range(9) for _ in range(4)] + [(f"good{i}", 0) for i in range(36)]
+    rows = [(" ".join(f"bad{i}x{k}" for k in range(300)), 1) for i in range(9) for _ in range(20)] + [(f"good{i}", 0) for i in range(180)]
     terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "t string, toxic int"))
     assert sum(not t.stem for t in terms) == 2700
 
 
+def test_lexicon_leaves_chance_out(spark):
+    """Words that fall on rows at random are no terms, one that marks toxic rows is."""
+    rnd = random.Random(18)
+    rows = [(" ".join(f"word{rnd.randrange(3000)}" for _ in range(40)) + (" vile" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "t string, toxic int"))
+    assert "vile" in {t.text for t in terms} and len(terms) <= 3
+
+
 def test_one_rule_for_small_and_large_buckets(docs_of):
     """The same texts get the same classes whether buckets give pairs or blocks."""
     rnd = random.Random(14)
