@@ -79,7 +79,7 @@ def _with_arrays(frame: DataFrame, text: str) -> DataFrame:
 def _sorted_windows() -> Column:
     """(hash, position) of each three-word window, sorted, where any window repeats."""
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    return F.when(repeats, F.array_sort(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    return F.when(repeats, F.sort_array(F.transform("_windows", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
 
 
 def _repeated_positions() -> Column:
@@ -107,7 +107,7 @@ def metrics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Data
     frame = frame.select("*", _sorted_windows().alias("_sorted"))
     frame = frame.select("*", _repeated_positions().alias("_same"))
     hit = lambda x, i: F.get("_same", i) | F.coalesce(F.get("_same", i - 1), F.lit(False))
-    frame = frame.select("*", F.array_sort(F.transform(F.filter("_sorted", hit), lambda x: x["i"])).alias("_at"))
+    frame = frame.select("*", F.sort_array(F.transform(F.filter("_sorted", hit), lambda x: x["i"])).alias("_at"))
     words, lines = F.size("_words"), F.size("_lines")
     frame = frame.select(
         key,
