@@ -87,6 +87,19 @@ def written(frame: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def repeated(frame: DataFrame, times: str, position: str, at_once: int = 10_000) -> DataFrame:
+    """Each row of ``frame`` as often as ``times`` says, with ``position`` counting from 0.
+
+    A row that is repeated more than ``at_once`` times is dealt to tasks in parts.
+    """
+    count, part, zero = F.col(times), fresh(frame, "_part"), F.lit(0).cast("long")
+    few = frame.filter(count.between(1, at_once)).withColumn(position, F.explode(F.sequence(zero, count - 1)))
+    many = frame.filter(count > at_once).withColumn(part, F.explode(F.sequence(zero, F.floor((count - 1) / at_once)))).repartition(part)
+    low = F.col(part) * at_once
+    many = many.withColumn(position, F.explode(F.sequence(low, F.least(low + at_once, count) - 1))).drop(part)
+    return few.unionByName(many)
+
+
 Work = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 

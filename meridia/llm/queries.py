@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridia.llm import bpe, langid, media, minhash, mixing, pii, quality, secrets, toxicity, url_filter
-from meridia.llm.common import documents, table
+from meridia.llm import bpe, importance, langid, media, minhash, mixing, pii, quality, secrets, sharding, toxicity, url_filter, whitening
+from meridia.llm.common import documents, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,11 @@ def queries() -> dict[str, Query]:
         "op8_pii": lambda spark, sf: pii.op8_pii(documents(spark, sf, "doc_id", "text")),
         "op9_quality_rules": lambda spark, sf: quality.op9_quality_rules(documents(spark, sf, "doc_id", "text")),
         "op10_media_columns": lambda spark, sf: media.op10_media_columns(documents(spark, sf, "doc_id", "text")),
+        "op11_importance": lambda spark, sf: importance.op11_importance(documents(spark, sf, "doc_id", "text"), table(spark, sf, "benchmark")),
+        "op12_sharding": lambda spark, sf: sharding.op12_sharding(documents(spark, sf, "doc_id", "text")),
+        "op13_whitening": lambda spark, sf: whitening.op13_whitening(spread(table(spark, sf, "embeddings").select("vec_id", "embedding"))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality.oracle_sql()}
+    return {"op9_quality_rules": quality.oracle_sql(), "op11_importance": importance.oracle_sql(), "op12_sharding": sharding.oracle_sql()}
