@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meridia.functions.quantiles import exact_quantiles
 from meridia.plans.panel import TRADING_DAYS, so_far
 
 Name = str | Column
@@ -51,7 +52,7 @@ def sortino(ret: Name = "ret", rf: float = 0.0, periods: int = TRADING_DAYS) ->
 
 
 def value_at_risk(ret: Name = "ret", confidence: float = 0.95) -> Column:
-    """A loss as a positive number, from the exact quantile with linear interpolation."""
+    """A loss as a positive number, from the exact quantile with linear interpolation; ``expected_shortfall`` is for keys of any size."""
     return F.when(F.count(_c(ret)) > 1, -F.percentile(_c(ret), F.lit(1 - confidence)))
 
 
@@ -104,8 +105,11 @@ def underwater(returns: DataFrame, *keys: str) -> DataFrame:
 def expected_shortfall(returns: DataFrame, *keys: str, confidence: float = 0.95) -> DataFrame:
     """keys, var and cvar as positive losses: the quantile first, then the mean of what is at or below it."""
     rows = returns.filter("ret IS NOT NULL")
-    cut = rows.groupBy(*keys).agg(F.percentile("ret", F.lit(1 - confidence)).alias("q"), F.count("ret").alias("n"))
-    tail = rows.join(cut, list(keys)).filter("ret <= q")
+    return _below(rows, exact_quantiles(rows, keys, "ret", [1 - confidence], ["q"]), *keys)
+
+
+def _below(rows: DataFrame, cut: DataFrame, *keys: str) -> DataFrame:
+    tail = rows.select(*keys, "ret").join(cut.select(*keys, "q", "n"), list(keys)).filter("ret <= q")
     return tail.groupBy(*keys).agg((-F.first("q")).alias("var"), (-F.avg("ret")).alias("cvar"), F.first("n").alias("n")).filter("n > 1").drop("n")
 
 
@@ -127,7 +131,6 @@ def summary_metrics(returns: DataFrame, *keys: str, rf: float = 0.02, periods: i
         omega().alias("omega"),
         hit_rate().alias("hit_rate"),
         win_loss_ratio().alias("win_loss_ratio"),
-        tail_ratio().alias("tail_ratio"),
         downside_deviation(periods=periods).alias("downside_deviation"),
         skewness().alias("skewness"),
         kurtosis().alias("kurtosis"),
@@ -135,8 +138,9 @@ def summary_metrics(returns: DataFrame, *keys: str, rf: float = 0.02, periods: i
     if "bench" in returns.columns:
         active = F.col("ret") - F.col("bench")
         out += [tracking_error(active, periods).alias("tracking_error"), information_ratio(active, periods).alias("information_ratio")]
-    tail = expected_shortfall(returns, *keys, confidence=confidence)
-    return rows.groupBy(*keys).agg(*out).join(tail, list(keys), "left")
+    cut = exact_quantiles(rows, keys, "ret", [1 - confidence, 0.05, 0.95], ["q", "low", "high"])
+    ends = cut.select(*keys, F.when(F.col("n") > 1, F.abs("high") / _nonzero(F.abs("low"))).alias("tail_ratio"))
+    return rows.groupBy(*keys).agg(*out).join(ends, list(keys), "left").join(_below(rows, cut, *keys), list(keys), "left")
 
 
 def report_metrics(growths: DataFrame, *keys: str, rf: float = 0.02, periods: int = TRADING_DAYS) -> DataFrame:

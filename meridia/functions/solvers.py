@@ -77,40 +77,107 @@ def denoised(cov: np.ndarray, components: int = 3) -> np.ndarray:
     return (vectors * values) @ vectors.T
 
 
-def solve_qp(p: np.ndarray, q: np.ndarray, limits: Limits, rounds: int = 20_000, tolerance: float = 1e-11) -> np.ndarray:
-    """Minimum of w'Pw/2 + q'w: operator splitting, then exact solution on the active rows."""
+#: Powers (a, b) of x_i ** a * x_j ** b whose sums give shrinkage; those with b > a are their transposes.
+SHRINKAGE_POWERS = ((1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1))
+
+
+def constant_correlation_shrinkage(raw: Mapping[tuple[int, int], np.ndarray], n: float) -> tuple[np.ndarray, float]:
+    """Covariance a period and intensity of Ledoit and Wolf from ``raw`` moments (matrices of means of powers) of n dates.
+
+    Moments about the mean follow from raw ones by the binomial theorem, so that one pass
+    gives those of every weighting of the dates. Series should be near their means
+    already, or digits are lost.
+    """
+    of = dict(raw) | {(b, a): m.T for (a, b), m in raw.items()} | {(0, 0): np.ones_like(raw[1, 0])}
+    mean_i, mean_j = of[1, 0], of[0, 1]
+
+    def central(p: int, q: int) -> np.ndarray:
+        return sum(math.comb(p, a) * math.comb(q, b) * (-mean_i) ** (p - a) * (-mean_j) ** (q - b) * of[a, b] for a in range(p + 1) for b in range(q + 1))
+
+    s, si, sj = central(1, 1), central(2, 0), central(0, 2)
+    if not n >= 2 or si.min(initial=1) < 1e-14:
+        raise ValueError("shrinkage needs two dates, and series that vary")
+    same, scale = np.eye(len(s), dtype=bool), np.sqrt(si * sj)
+    mean_corr = (s / scale)[~same].mean() if len(s) > 1 else 0.0
+    target = np.where(same, s, mean_corr * scale)
+    pi = central(2, 2) - s * s
+    theta = np.sqrt(sj / si) * (central(3, 1) - si * s) + np.sqrt(si / sj) * (central(1, 3) - sj * s)
+    rho = np.where(same, pi, mean_corr / 2 * theta)
+    gap = ((target - s) ** 2).sum()
+    apart = gap > 1e-24 * (s * s).sum()  # of two series the target is the covariance itself
+    delta = float(np.clip((pi.sum() - rho.sum()) / gap / n, 0, 1)) if apart else 0.0
+    return delta * target + (1 - delta) * s, delta
+
+
+def solve_qp(p: np.ndarray, q: np.ndarray, limits: Limits, rounds: int = 100, tolerance: float = 1e-10) -> np.ndarray:
+    """Minimum of w'Pw/2 + q'w for a positive semi-definite P, by a primal-dual interior-point method.
+
+    Predictor and corrector steps share one factorisation a round; the active rows are then
+    solved for exactly. A ValueError if the conditions of optimality aren't met, as where
+    nothing is within the limits.
+    """
     a, low, high = limits.rows
-    scale = max(1e-12, float(np.abs(p).max()), float(np.abs(q).max()))
-    p, q = p / scale, q / scale
-    equal = np.isclose(low, high)
-    rho = np.where(equal, 1e3, 1.0) * 0.1
-    w, z, y = np.full(limits.n, limits.budget / limits.n), np.zeros(len(a)), np.zeros(len(a))
-    sigma = 1e-9
-    factor = np.linalg.inv(p + sigma * np.eye(limits.n) + a.T @ (rho[:, None] * a))
-    for i in range(rounds):
-        w = factor @ (sigma * w - q + a.T @ (rho * z - y))
-        aw = a @ w
-        before, z = z, np.clip(aw + y / rho, low, high)
-        y = y + rho * (aw - z)
-        primal, dual = abs(aw - z).max(), abs(a.T @ (rho * (z - before))).max()
-        if primal < tolerance and dual < tolerance:
+    size = max(1e-300, float(np.abs(p).max()), float(np.abs(q).max()))
+    p, q = p / size, q / size
+    equal = low == high
+    up, down = ~equal & np.isfinite(high), ~equal & np.isfinite(low)
+    e, to = a[equal], low[equal]
+    g, h = np.concatenate([a[up], -a[down]]), np.concatenate([high[up], -low[down]])
+    if (low > high).any():
+        raise ValueError("a lower limit is above its upper one")
+    n, k, m = limits.n, len(e), len(g)
+    w, y = np.full(n, limits.budget / n), np.zeros(k)
+    s, z = np.maximum(h - g @ w, 1.0), np.ones(m)
+    unit = max(1.0, float(np.abs(h).max(initial=0)), float(np.abs(to).max(initial=0)))
+    for turn in range(rounds):
+        dual, primal, slack = p @ w + q + e.T @ y + g.T @ z, e @ w - to, g @ w + s - h
+        gap = s @ z / m if m else 0.0
+        if max(abs(dual).max(), abs(primal).max(initial=0), abs(slack).max(initial=0)) < tolerance * unit and gap < tolerance:
             break
-        if i % 200 == 199 and max(primal, dual) > 0 and not 0.1 < primal / max(dual, 1e-300) < 10:
-            change = np.clip(np.sqrt(primal / max(dual, 1e-300)), 0.1, 10)
-            rho = rho * change
-            factor = np.linalg.inv(p + sigma * np.eye(limits.n) + a.T @ (rho[:, None] * a))
-    return _polished(p, q, a, low, high, w, y, equal)
-
-
-def _polished(p, q, a, low, high, w, y, equal) -> np.ndarray:
-    active = equal | (y > 1e-9) | (y < -1e-9)
-    rows, rhs = a[active], np.where(y[active] < 0, low[active], high[active])
-    m = len(rows)
-    kkt = np.block([[p, rows.T], [rows, np.zeros((m, m))]])
-    out = np.linalg.lstsq(kkt, np.concatenate([-q, rhs]), rcond=None)[0][: len(w)]
-    ax = a @ out
-    good = (ax >= low - 1e-9).all() and (ax <= high + 1e-9).all() and 0.5 * out @ p @ out + q @ out <= 0.5 * w @ p @ w + q @ w + 1e-9
-    return out if good else w
+        d = z / s
+        kkt = np.block([[p + g.T @ (d[:, None] * g) + 1e-13 * np.eye(n), e.T], [e, -1e-13 * np.eye(k)]])
+        try:
+            inverse = np.linalg.inv(kkt)
+        except np.linalg.LinAlgError:
+            break  # as near as doubles get
+
+        def step(target: np.ndarray) -> tuple[np.ndarray, ...]:
+            """Changes that bring s * z to ``target``."""
+            inner = (s * z - target) / s
+            right = np.concatenate([-dual + g.T @ (inner - d * slack), -primal])
+            found = inverse @ right
+            found += inverse @ (right - kkt @ found)
+            dw, dy = found[:n], found[n:]
+            ds = -slack - g @ dw
+            return dw, dy, ds, -inner - d * ds
+
+        def room(*pairs: tuple[np.ndarray, np.ndarray]) -> float:
+            return min([1.0, *(float(np.min(-x[c < 0] / c[c < 0], initial=np.inf)) for x, c in pairs)])
+
+        _, _, ds, dz = step(np.zeros(m))
+        far = room((s, ds), (z, dz))
+        centre = ((s + far * ds) @ (z + far * dz) / m / gap) ** 3 if m and gap > 0 else 0.0
+        # a second-order correction, but where that hasn't ended soon (it can cycle) plain steps along the central path
+        dw, dy, ds, dz = step(centre * gap - ds * dz if turn < 25 else np.full(m, 0.2 * gap))
+        far = min(1.0, (0.995 if turn < 25 else 0.9) * room((s, ds), (z, dz)))
+        w, y, s, z = w + far * dw, y + far * dy, s + far * ds, z + far * dz
+        s, z = np.maximum(s, 1e-300), np.maximum(z, 1e-300)
+    return _checked(p, q, e, to, g, h, w, y, z, unit, z > s)
+
+
+def _checked(p, q, e, to, g, h, w, y, z, unit, active) -> np.ndarray:
+    """The solution on the active rows if that is within all others, else ``w``; an error if neither is optimal."""
+    rows, right = np.concatenate([e, g[active]]), np.concatenate([to, h[active]])
+    kkt = np.block([[p, rows.T], [rows, np.zeros((len(rows), len(rows)))]])
+    out = np.linalg.lstsq(kkt, np.concatenate([-q, right]), rcond=None)[0]
+    exact, multiplier = out[: len(w)], out[len(w) + len(e) :]
+    off = max(abs(e @ exact - to).max(initial=0), (g @ exact - h).max(initial=0))
+    if off < 1e-9 * unit and multiplier.min(initial=0) > -1e-8 and abs(kkt @ out - np.concatenate([-q, right])).max() < 1e-9 * unit:
+        return exact
+    wrong = max(abs(p @ w + q + e.T @ y + g.T @ z).max(), abs(e @ w - to).max(initial=0), (g @ w - h).max(initial=0), float(z @ np.maximum(h - g @ w, 0)))
+    if not wrong < 1e-6 * unit:
+        raise ValueError(f"the quadratic program has no solution within its limits, or none was found (residual {wrong:.1e})")
+    return w
 
 
 def minimize(objective: Objective, limits: Limits, start: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
@@ -127,7 +194,7 @@ def minimize(objective: Objective, limits: Limits, start: np.ndarray | None = No
         shifted = Limits(limits.n)
         shifted.rows = (a, low - a @ w, high - a @ w)
         shifted.budget = 0.0
-        step = solve_qp(hessian, g, shifted, rounds=4000)
+        step = solve_qp(hessian, g, shifted)
         size = 1.0
         while size > 1e-10 and not objective(w + size * step) <= f + 1e-4 * size * (g @ step):
             size /= 2

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import metrics
+from meridia.functions.quantiles import exact_quantiles
 from meridia.operators import engine, factors, moments, oos, optimize, plotdata, report, series, simulate, strategies, validation
 from meridia.operators.recommend import Recommendation
 from meridia.plans.context import Context
@@ -213,7 +214,7 @@ def monte_carlo_tables(analysis: Analysis, *, sims: int = 5000, days: int = 252,
     stressed = []
     for i, shock in enumerate(STRESSES):
         last = run(shock, seed + i + 1).groupBy("sim_id").agg(F.max_by("value", "day").alias("value"))
-        stressed.append(last.agg(F.lit(shock).alias("shock"), F.avg((F.col("value") >= initial).cast("double")).alias("recovered"), F.median("value").alias("median_end")))
+        stressed.append(last.agg(F.lit(shock).alias("shock"), F.avg((F.col("value") >= initial).cast("double")).alias("recovered")).join(F.broadcast(exact_quantiles(last, [], "value", [0.5], ["median_end"]).drop("n")), F.lit(True)))
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     return {
         "metrics": simulate.simulation_metrics(ends), "probabilities": simulate.success_probabilities(ends), "survival": plotdata.survival(ends), "histogram": simulate.histogram(ends),

@@ -16,10 +16,10 @@ from meridia.functions.metrics import expected_shortfall
 from meridia.plans.panel import TRADING_DAYS
 
 
-def complete(returns: DataFrame, value: str = "log_ret") -> DataFrame:
-    """(date, symbol, x) of the dates on which every symbol has a value."""
-    rows = returns.select("date", "symbol", F.col(value).alias("x"))
-    missing = F.sum(F.col("x").isNull().cast("int")).over(Window.partitionBy("date"))
+def complete(returns: DataFrame, value: str = "log_ret", *keys: str) -> DataFrame:
+    """(keys, date, symbol, x) of the dates (of a key) on which every symbol has a value."""
+    rows = returns.select(*keys, "date", "symbol", F.col(value).alias("x"))
+    missing = F.sum(F.col("x").isNull().cast("int")).over(Window.partitionBy(*keys, "date"))
     return rows.select("*", missing.alias("missing")).filter("missing = 0").drop("missing")
 
 

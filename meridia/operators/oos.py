@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Callable
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridia.operators.moments import outer_sums
 from meridia.plans.panel import TRADING_DAYS
 
 EULER = 0.5772156649015329
@@ -76,41 +79,94 @@ def min_backtest_length(n_trials: int, target: float = 1.0) -> float:
 
 def sharpe_differences(returns: DataFrame, key: str = "strategy") -> DataFrame:
     """(one, two, p_value) of each pair: two-sided, allowing for correlation."""
-    rows = returns.filter("ret IS NOT NULL")
-    a, b = rows.select("date", F.col(key).alias("one"), F.col("ret").alias("x")), rows.select("date", F.col(key).alias("two"), F.col("ret").alias("y"))
-    both = a.join(b, "date").filter("one < two").groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), (F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0))).alias("sa"), (F.avg("y") / F.nullif(F.stddev_samp("y"), F.lit(0.0))).alias("sb"), F.corr("x", "y").alias("rho"))
+    rows = returns.filter("ret IS NOT NULL").select("date", F.col(key).alias("symbol"), F.col("ret").alias("x"))
+    near = rows.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("symbol")))  # sums about the means keep their digits
+    sums = outer_sums(near, powers=((1, 0), (0, 1), (1, 1), (2, 0), (0, 2))).filter("i < j")
+    means = rows.groupBy("symbol").agg(F.avg("x").alias("m"))
+    sums = sums.join(means.select(F.col("symbol").alias("i"), F.col("m").alias("mi")), "i").join(means.select(F.col("symbol").alias("j"), F.col("m").alias("mj")), "j")
+    n, x, y, xy, xx, yy = (F.col(c) for c in ("n", "p0", "p1", "p2", "p3", "p4"))
+    sxx, syy, sxy = xx - x * x / n, yy - y * y / n, xy - x * y / n
+    sharpe = lambda m, p, s: (m + p / n) / F.sqrt(F.when(s > 0, s) / F.when(n > 1, n - 1))
+    both = sums.select(F.col("i").alias("one"), F.col("j").alias("two"), "n", sharpe(F.col("mi"), x, sxx).alias("sa"), sharpe(F.col("mj"), y, syy).alias("sb"), (sxy / F.sqrt(F.when((sxx > 0) & (syy > 0), sxx * syy))).alias("rho"))
     sa, sb, rho = F.col("sa"), F.col("sb"), F.col("rho")
     var = (2 - 2 * rho + 0.5 * (sa * sa + sb * sb - 2 * sa * sb * rho * rho)) / F.col("n")
     z = F.abs(sa - sb) / F.sqrt(F.when(var > 0, var))
     return both.filter("n >= 5").select("one", "two", (2 * (1 - normal_cdf(z))).alias("p_value"))
 
 
-def cscv_splits(rows: DataFrame, *, blocks: int = 8) -> DataFrame:
-    """(split, config, is_sharpe, oos_sharpe) over all halves of the blocks.
+def unranked(rank: Column, blocks: int) -> Column:
+    """The ``rank``-th (from 0) set of half of the blocks, as the bits of a number.
+
+    Sets are numbered by their combinatorial number: the highest block c of a set of k
+    stands for C(c, k), the sets of k blocks below c.
+    """
+    choose = F.array(*(F.lit(math.comb(c, k)) for c in range(blocks) for k in range(blocks // 2 + 1)))
+    begin = F.struct(rank.cast("long").alias("rank"), F.lit(blocks // 2).alias("k"), F.lit(0).cast("long").alias("mask"))
+
+    def place(state: Column, c: Column) -> Column:
+        below = F.element_at(choose, c * (blocks // 2 + 1) + state["k"] + 1).cast("long")
+        taken = (state["k"] > 0) & (state["rank"] >= below)
+        return F.struct(
+            F.when(taken, state["rank"] - below).otherwise(state["rank"]).alias("rank"),
+            F.when(taken, state["k"] - 1).otherwise(state["k"]).alias("k"),
+            F.when(taken, state["mask"] + F.pow(F.lit(2.0), c).cast("long")).otherwise(state["mask"]).alias("mask"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(blocks - 1), F.lit(0), F.lit(-1)), begin, place)["mask"]
+
+
+def split_masks(spark: SparkSession, blocks: int, most: int = 20_000, seed: int = 0) -> DataFrame:
+    """(split): all halves of the blocks as bit sets, or if they are more than ``most`` so many different ones by the seed."""
+    if blocks % 2 or not 2 <= blocks <= 32:
+        raise ValueError("blocks has to be even, from 2 to 32, as each config tables 2 to the power of half of them")
+    total = math.comb(blocks, blocks // 2)
+    if total <= most:
+        ranks = spark.range(total).withColumnRenamed("id", "rank")
+    else:  # ``most`` numbers at most
+        ranks = spark.createDataFrame([(x,) for x in random.Random(seed).sample(range(total), most)], "rank long")
+    return ranks.select(unranked(F.col("rank"), blocks).alias("split"))
+
+
+def _subset_sums(values: Column) -> Column:
+    """Sums of all subsets of an array's numbers: place m + 1 holds that of the elements at the bits of m. Each element doubles the table."""
+    return F.aggregate(values, F.array(F.lit(0.0)), lambda sums, x: F.concat(sums, F.transform(sums, lambda s: s + x)))
+
+
+def cscv_splits(rows: DataFrame, *, blocks: int = 16, most: int = 20_000, seed: int = 0) -> DataFrame:
+    """(split, config, is_sharpe, oos_sharpe) over halves of the blocks, all of them or a sample of ``most``.
 
     ``rows``: (t, config, ret), t from 0 without gaps. Rows after the last whole block are
-    left out. Each block gives n, sum and sum of squares, so a split costs ``blocks`` rows
-    a config whatever the length.
+    left out. Each block gives n, sum and sum of squares about the config's mean. Sums of
+    all subsets of the lower and of the upper blocks are tabled for each config, 2 to the
+    power of half the blocks each, so a split costs two lookups a sum, whatever the number of
+    blocks.
     """
-    if blocks % 2 or not 2 <= blocks <= 16:
-        raise ValueError("blocks has to be even, from 2 to 16")
+    masks = split_masks(rows.sparkSession, blocks, most, seed)
     size = rows.agg(F.floor((F.max("t") + 1) / blocks).alias("size"))
-    cut = rows.join(F.broadcast(size), F.lit(True)).filter(F.col("t") < F.col("size") * blocks)
+    cut = rows.join(F.broadcast(size), F.lit(True)).filter((F.col("t") < F.col("size") * blocks) & F.col("ret").isNotNull())
     cut = cut.select("config", F.floor(F.col("t") / F.col("size")).cast("int").alias("block"), "ret")
-    stats = cut.groupBy("config", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    wide = stats.groupBy("config").agg(F.sort_array(F.collect_list(F.struct("block", "n", "s", "q"))).alias("of"))
-    halves = F.filter(F.sequence(F.lit(0), F.lit(2**blocks - 1)), lambda m: F.bit_count(m) == blocks // 2)
-    each = wide.select("config", "of", F.explode(halves).alias("split"))
-    bit = lambda b: F.pmod(F.floor(F.col("split") / F.pow(F.lit(2.0), b["block"])), F.lit(2)) == 1
-
-    def ratio(inside: bool) -> Column:
-        kept = F.filter("of", lambda b: bit(b) if inside else ~bit(b))
-        total = lambda f: F.aggregate(kept, F.lit(0.0), lambda s, b: s + b[f])
-        n, s, q = total("n"), total("s"), total("q")
-        var = (q - s * s / n) / (n - 1)
-        return F.when(var > 1e-18, s / n / F.sqrt(F.when(var > 0, var)) * math.sqrt(TRADING_DAYS)).otherwise(0.0)
-
-    return each.select("split", "config", ratio(True).alias("is_sharpe"), ratio(False).alias("oos_sharpe"))
+    stats = cut.groupBy("config", "block").agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_pop("ret").alias("var"))
+    stats = stats.groupBy("config").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("centre"), F.map_from_entries(F.collect_list(F.struct("block", F.struct("n", "mean", "var")))).alias("of"))
+    lower = blocks // 2
+
+    def table(value: Callable[[Column], Column], low: int, high: int) -> Column:
+        return _subset_sums(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), lambda b: F.coalesce(value(F.try_element_at("of", b)), F.lit(0.0))))
+
+    off = lambda b: b["mean"] - F.col("centre")
+    values = {"n": lambda b: b["n"].cast("double"), "s": lambda b: b["n"] * off(b), "q": lambda b: b["n"] * (b["var"] + off(b) * off(b))}
+    tables = stats.select("config", "centre", *(table(f, *span).alias(f"{name}{side}") for name, f in values.items() for side, span in enumerate([(0, lower), (lower, blocks)])))
+    each = tables.join(F.broadcast(masks), F.lit(True))  # every config meets every split: that is the result
+    low, high = (F.col("split") % 2**lower).cast("int") + 1, F.floor(F.col("split") / 2**lower).cast("int") + 1
+    inside = {x: F.element_at(f"{x}0", low) + F.element_at(f"{x}1", high) for x in values}
+    whole = {x: F.element_at(f"{x}0", 2**lower) + F.element_at(f"{x}1", 2 ** (blocks - lower)) for x in values}
+    each = each.select("split", "config", "centre", *(v.alias(k) for k, v in inside.items()), *((whole[k] - v).alias(f"{k}_out") for k, v in inside.items()))
+
+    def ratio(end: str) -> Column:
+        n, s, q = (F.col(f"{x}{end}") for x in "nsq")
+        var = (q - s * s / n) / F.when(n > 1, n - 1)
+        return F.when(var > 1e-18, (F.col("centre") + s / n) / F.sqrt(F.when(var > 0, var)) * math.sqrt(TRADING_DAYS)).otherwise(0.0)
+
+    return each.select("split", "config", ratio("").alias("is_sharpe"), ratio("_out").alias("oos_sharpe"))
 
 
 def overfitting_probability(splits: DataFrame) -> DataFrame:

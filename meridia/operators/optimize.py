@@ -31,6 +31,26 @@ METHODS: dict[str, Solver] = {
     "hrp": lambda mu, cov, limits: _nearest(solvers.hierarchical_risk_parity(cov), limits),
 }
 
+#: What the method ``optimize`` minimises: weights, means and covariance to a number.
+Objective = Callable[[np.ndarray, np.ndarray, np.ndarray], float]
+
+
+def neg_sharpe(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, rf: float = 0.02) -> float:
+    return -solvers.portfolio_stats(w, mu, cov, rf)[2]
+
+
+def variance(w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> float:
+    return float(w @ cov @ w)
+
+
+def weights_by(method: str, mu: np.ndarray, cov: np.ndarray, limits: solvers.Limits | None, objective: Objective | None = None) -> np.ndarray:
+    """Weights of a named method, or of the method ``optimize`` those that minimise the objective."""
+    if method == "optimize":
+        goal = objective or neg_sharpe
+        return solvers.minimize(lambda w: goal(w, mu, cov), limits or solvers.Limits(len(mu)))
+    return METHODS[method](mu, cov, limits)
+
+
 #: Limits of a problem from its symbols.
 Limiter = Callable[[list[str]], "solvers.Limits"]
 
@@ -52,8 +72,31 @@ def moments_of(frame: pd.DataFrame, periods: int = TRADING_DAYS) -> tuple[list[s
     return symbols, (own["p0"] / own["n"] * periods).reindex(symbols).to_numpy(), (cov + cov.T) / 2
 
 
-def pair_sums(returns: DataFrame, *keys: str, value: str = "log_ret") -> DataFrame:
-    """(keys, i, j, n, p0, p1, p2): sums of x, y and xy, a row a pair of symbols, whatever the number of dates."""
+def shrinkage_of(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, float]:
+    """Symbols, covariance a period and intensity from sums (i, j, n, p0, ...) of ``SHRINKAGE_POWERS``."""
+    n = float(frame["n"].max())
+    raw = {}
+    for k, powers in enumerate(solvers.SHRINKAGE_POWERS):
+        symbols, matrix = square(frame, f"p{k}")
+        raw[powers] = matrix / n
+    return symbols, *solvers.constant_correlation_shrinkage(raw, n)
+
+
+def _near_zero(rows: DataFrame) -> DataFrame:
+    """``x`` about its mean over all dates: moments about the means of parts then keep their digits."""
+    return rows.withColumn("x", F.col("x") - F.avg("x").over(Window.partitionBy("symbol")))
+
+
+def pair_sums(returns: DataFrame, *keys: str, value: str = "log_ret", estimator: str = "sample") -> DataFrame:
+    """(keys, i, j, n, p0, p1, ...): sums of powers, a row a pair of symbols, whatever the number of dates.
+
+    Those of ``ledoit_wolf`` are about the means of all rows (``m0`` of i), over dates of a
+    key on which all of its symbols have a value.
+    """
+    if estimator == "ledoit_wolf":
+        rows = complete(returns, value, *keys)
+        sums = outer_sums(_near_zero(rows), keys, solvers.SHRINKAGE_POWERS)
+        return sums.join(rows.groupBy(F.col("symbol").alias("i")).agg(F.avg("x").alias("m0")), "i")
     if keys:
         rows = returns.select(*keys, "date", "symbol", F.col(value).alias("x")).filter("x IS NOT NULL")
     else:
@@ -61,26 +104,44 @@ def pair_sums(returns: DataFrame, *keys: str, value: str = "log_ret") -> DataFra
     return outer_sums(rows, keys)
 
 
-def optimized(returns: DataFrame, key: str, methods: list[str] | None = None, *, value: str = "log_ret", limiter: Limiter | None = None) -> DataFrame:
+def estimate(frame: pd.DataFrame, estimator: str, components: int, periods: int = TRADING_DAYS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Symbols, mean and covariance, annualised, from the ``pair_sums`` of an estimator."""
+    frame = frame[frame["n"] > 2]
+    if estimator == "ledoit_wolf":
+        symbols, cov, _ = shrinkage_of(frame)
+        own = frame[frame["i"] == frame["j"]].set_index("i").reindex(symbols)
+        return symbols, ((own["p0"] / own["n"] + own["m0"]) * periods).to_numpy(), cov * periods
+    symbols, mu, cov = moments_of(frame, periods)
+    return symbols, mu, solvers.denoised(cov, components) if estimator == "denoise" else cov
+
+
+def optimized(
+    returns: DataFrame, key: str, methods: list[str] | None = None, *, value: str = "log_ret", limiter: Limiter | None = None, estimator: str = "sample", components: int = 3, objective: Objective | None = None
+) -> DataFrame:
     """(key, strategy, symbol, weight) for each value of ``key``: one grouped solve each, windows in parallel.
 
     ``limiter`` gives the limits that hold for all methods; where a problem has no
-    solution within them there are no rows.
+    solution within them there are no rows. The covariance is that of ``estimator``.
     """
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"unknown estimator {estimator!r}")
     names = methods or list(METHODS)
     kind = returns.schema[key].dataType.simpleString()
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        symbols, mu, cov = moments_of(frame[frame["n"] > 2])
+        try:
+            symbols, mu, cov = estimate(frame, estimator, components)
+        except ValueError:
+            symbols, mu, cov = [], np.zeros(0), np.zeros((0, 0))
         rows = []
-        for name in names:
+        for name in names if symbols else ():
             try:
-                rows += [(frame[key].iloc[0], name, s, float(w)) for s, w in zip(symbols, METHODS[name](mu, cov, limiter(symbols) if limiter else None), strict=True)]
+                rows += [(frame[key].iloc[0], name, s, float(w)) for s, w in zip(symbols, weights_by(name, mu, cov, limiter(symbols) if limiter else None, objective), strict=True)]
             except (ValueError, np.linalg.LinAlgError):
                 continue  # a window that can't be solved has no row
         return pd.DataFrame(rows, columns=[key, "strategy", "symbol", "weight"])
 
-    return pair_sums(returns, key, value=value).groupBy(key).applyInPandas(solve, f"{key} {kind}, strategy string, symbol string, weight double")
+    return pair_sums(returns, key, value=value, estimator=estimator).groupBy(key).applyInPandas(solve, f"{key} {kind}, strategy string, symbol string, weight double")
 
 
 def _whole(frame: DataFrame) -> GroupedData:
@@ -91,44 +152,107 @@ def _whole(frame: DataFrame) -> GroupedData:
 ESTIMATORS = ("sample", "ledoit_wolf", "denoise")
 
 
-def estimated(returns: DataFrame, method: str, *, estimator: str = "sample", components: int = 3, limiter: Limiter | None = None) -> DataFrame:
-    """(symbol, weight) of one method, on an estimate of the covariance of log returns."""
-    if method not in METHODS or estimator not in ESTIMATORS:
+def _partner(frame: pd.DataFrame) -> np.ndarray:
+    """The sum of x_j in each row of sums of x_i (p0)."""
+    symbols, first = square(frame, "p0")
+    at = pd.Index(symbols)
+    return first.T[at.get_indexer(frame["i"]), at.get_indexer(frame["j"])]
+
+
+def estimated(
+    returns: DataFrame, method: str, *, estimator: str = "sample", components: int = 3, limiter: Limiter | None = None, objective: Objective | None = None, rf: float = 0.02
+) -> DataFrame:
+    """(symbol, weight, expected_return, expected_vol, sharpe, shrinkage) of one method, on an estimate of the covariance of log returns.
+
+    The last four are the portfolio's, the same in every row; shrinkage is null but for
+    ``ledoit_wolf``. ``objective`` is what the method ``optimize`` minimises.
+    """
+    if method not in (*METHODS, "optimize") or estimator not in ESTIMATORS:
         raise ValueError(f"unknown method {method!r} or estimator {estimator!r}")
-    cov = (shrunk_covariance(returns, value="log_ret") if estimator == "ledoit_wolf" else covariance(returns)).select("i", "j", "cov")
+    if estimator == "ledoit_wolf":
+        cov = shrunk_covariance(returns, value="log_ret").select("i", "j", "cov", "delta")
+    else:
+        cov = covariance(returns).select("i", "j", "cov", F.lit(None).cast("double").alias("delta"))
     both = cov.join(mean_returns(returns).withColumnRenamed("symbol", "i"), "i")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         symbols, matrix = square(frame, "cov")
         matrix = solvers.denoised(matrix, components) if estimator == "denoise" else matrix
+        matrix = (matrix + matrix.T) / 2
         mu = frame.groupby("i")["mu"].first().reindex(symbols).to_numpy()
-        return pd.DataFrame({"symbol": symbols, "weight": METHODS[method](mu, (matrix + matrix.T) / 2, limiter(symbols) if limiter else None)})
+        w = weights_by(method, mu, matrix, limiter(symbols) if limiter else None, objective)
+        ret, vol, sharpe = solvers.portfolio_stats(w, mu, matrix, rf)
+        return pd.DataFrame({"symbol": symbols, "weight": w, "expected_return": ret, "expected_vol": vol, "sharpe": sharpe, "shrinkage": frame["delta"].iloc[0]})
 
-    return _whole(both).applyInPandas(solve, "symbol string, weight double")
+    return _whole(both).applyInPandas(solve, "symbol string, weight double, expected_return double, expected_vol double, sharpe double, shrinkage double")
 
 
-def bootstrapped(returns: DataFrame, *, samples: int = 100, seed: int = 42, value: str = "ret", limiter: Limiter | None = None) -> DataFrame:
-    """(symbol, weight): mean of min-variance weights over resampled dates, within limits if any.
+#: How likely a Poisson number of mean 1 is at most 0, 1, ...
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
+
 
-    How often a date is drawn in a sample is a Poisson number of mean 1 by a hash of seed,
+def _resampled(rows: DataFrame, samples: int, seed: int) -> DataFrame:
+    """Sums of ``SHRINKAGE_POWERS`` in every sample.
+
+    How often a date is drawn in a sample is a Poisson number of mean 1 by an MD5 of seed,
     sample and date, so samples need no shared random state and no copy of the panel: a
     date carries an array of these numbers.
     """
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]
 
     def drawn(sample: Column) -> Column:
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), sample, "date"), 11) / 2.0**53
-        return sum(((u > p).cast("int") for p in steps), F.lit(0))
+        digits = F.md5(F.concat_ws(":", F.lit(str(seed)), sample.cast("string"), F.col("date").cast("string")).cast("binary"))
+        u = F.conv(F.substring(digits, 1, 13), 16, 10).cast("long") / 2.0**52
+        return sum(((u > p).cast("int") for p in POISSON), F.lit(0))
+
+    times = F.transform(F.sequence(F.lit(1), F.lit(samples)), drawn)
+    return outer_sums(_near_zero(rows).withColumn("times", times), powers=solvers.SHRINKAGE_POWERS, times="times")
 
-    rows = complete(returns, value).select("*", F.transform(F.sequence(F.lit(1), F.lit(samples)), drawn).alias("times"))
-    sums = outer_sums(rows, times="times")
+
+def bootstrap_shrinkage(returns: DataFrame, *, samples: int = 100, seed: int = 42, value: str = "ret") -> DataFrame:
+    """(sample, n, delta): dates of each resampling and its own shrinkage intensity, null where a series doesn't vary."""
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        symbols, _, cov = moments_of(frame)
-        return pd.DataFrame({"symbol": symbols, "weight": solvers.min_variance(cov, limiter(symbols) if limiter else None)})
+        try:
+            delta = shrinkage_of(frame)[2]
+        except ValueError:
+            delta = None
+        return pd.DataFrame({"sample": [frame["sample"].iloc[0]], "n": [float(frame["n"].max())], "delta": pd.array([delta], "Float64")})
 
-    each = sums.groupBy("sample").applyInPandas(solve, "symbol string, weight double")
-    return each.groupBy("symbol").agg(F.avg("weight").alias("weight"))
+    return _resampled(complete(returns, value), samples, seed).groupBy("sample").applyInPandas(solve, "sample int, n double, delta double")
+
+
+def bootstrapped(
+    returns: DataFrame, *, samples: int = 100, seed: int = 42, value: str = "ret", limiter: Limiter | None = None, estimator: str = "ledoit_wolf", initial: DataFrame | None = None
+) -> DataFrame:
+    """(symbol, weight): mean of min-variance weights over resampled dates, within limits if any.
+
+    Each sample's covariance is shrunk with its own intensity (``ledoit_wolf``; where a
+    series doesn't vary in a sample, that sample's is not shrunk) or taken as it is
+    (``sample``); fourth-order sums of all samples come from one pass. With fewer dates
+    than symbols and one, nothing is estimated: the ``initial`` weights (symbol, weight),
+    or equal ones, are returned with a sum of 1.
+    """
+    if estimator not in ("sample", "ledoit_wolf"):
+        raise ValueError(f"unknown estimator {estimator!r}")
+    rows = complete(returns, value)
+    dates, symbols = rows.agg(F.countDistinct("date"), F.countDistinct("symbol")).first()
+    if dates < symbols + 1:
+        known = returns.select("symbol").distinct()
+        given = known.withColumn("weight", F.lit(1.0)) if initial is None else initial.select("symbol", "weight").join(known, "symbol", "left_semi")
+        return given.select("symbol", (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        names, _, cov = moments_of(frame.rename(columns={"p1": "p2", "p2": "p1"}).assign(p1=_partner(frame)))
+        if estimator == "ledoit_wolf":
+            try:
+                cov = shrinkage_of(frame)[1] * TRADING_DAYS
+            except ValueError:
+                pass  # the plain covariance of this sample
+        return pd.DataFrame({"symbol": names, "weight": solvers.min_variance(cov, limiter(names) if limiter else None)})
+
+    each = _resampled(rows, samples, seed).groupBy("sample").applyInPandas(solve, "symbol string, weight double")
+    mean = each.groupBy("symbol").agg(F.avg("weight").alias("weight"))
+    return mean if limiter else mean.select("symbol", (F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))).alias("weight"))
 
 
 def budgeted(returns: DataFrame, budget: Mapping[str, float], *, value: str = "log_ret") -> DataFrame:

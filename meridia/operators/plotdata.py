@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.quantiles import exact_quantiles
 from meridia.plans.panel import along
 
 #: Weights below this are not drawn.
@@ -50,7 +51,7 @@ def posterior_weights(posterior: DataFrame, market: DataFrame, least: float = 0.
 def distribution(returns: DataFrame, *keys: str, bins: int = 50, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(keys, bin, start, n) of returns between two quantiles, in bins of equal width."""
     rows = returns.filter("ret IS NOT NULL").select(*keys, "ret")
-    cut = rows.groupBy(*keys).agg(F.percentile("ret", F.lit(low)).alias("low"), F.percentile("ret", F.lit(high)).alias("high"))
+    cut = exact_quantiles(rows, keys, "ret", [low, high], ["low", "high"]).drop("n")
     inside = (rows.join(cut, list(keys)) if keys else rows.join(F.broadcast(cut), F.lit(True))).filter("ret BETWEEN low AND high")
     width = (F.col("high") - F.col("low")) / bins
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col("ret") - F.col("low"), width), F.lit(0.0))), F.lit(bins - 1)).cast("int")

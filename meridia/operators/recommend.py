@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions import metrics
-from meridia.operators import engine, moments, optimize, planning, report, series, validation
+from meridia.operators import engine, moments, optimize, planning, report, series, shortfall, validation
 from meridia.plans.panel import with_returns
 
 
@@ -61,23 +61,90 @@ def limiter(profile: planning.Profile | None, sectors: DataFrame | None) -> opti
     return lambda symbols: planning.limits_of(profile, symbols, of)
 
 
-def recommend_weights(panel: DataFrame, *, method: str = "max_sharpe", profile: planning.Profile | None = None, sectors: DataFrame | None = None, estimator: str = "sample", components: int = 3) -> DataFrame:
-    """(symbol, weight) of a method within the profile's limits; an error if these leave no room."""
+def _solved(panel: DataFrame, method: str, profile: planning.Profile | None, sectors: DataFrame | None, estimator: str, components: int, objective: optimize.Objective | None) -> DataFrame:
     limits = limiter(profile, sectors)
     if limits:
         limits([r.symbol for r in panel.select("symbol").distinct().collect()])  # infeasible limits are known here, not in a task
-    return optimize.estimated(with_returns(panel), method, estimator=estimator, components=components, limiter=limits)
+    if method == "cvar":
+        return shortfall.min_shortfall(with_returns(panel), limiter=limits)
+    return optimize.estimated(with_returns(panel), method, estimator=estimator, components=components, limiter=limits, objective=objective)
 
 
-def walk_forward(panel: DataFrame, method: str, *, train_days: int = 365, step_days: int = 90, most_lost: float = 0.5, profile: planning.Profile | None = None, sectors: DataFrame | None = None) -> DataFrame:
-    """Mean Sharpe of the method's weights inside and outside their windows, and whether it holds up."""
-    rolled = validation.rolling(panel, [method], train_days=train_days, step_days=step_days, limiter=limiter(profile, sectors))
-    row = rolled.agg(F.count(F.lit(1)).alias("windows"), F.avg("is_sharpe").alias("is_sharpe"), F.avg("oos_sharpe").alias("oos_sharpe"))
-    lost = F.when(F.col("is_sharpe") > 0, F.greatest(F.lit(0.0), (F.col("is_sharpe") - F.col("oos_sharpe")) / F.when(F.col("is_sharpe") > 0, F.col("is_sharpe"))))
+def recommend_weights(
+    panel: DataFrame,
+    *,
+    method: str = "max_sharpe",
+    profile: planning.Profile | None = None,
+    sectors: DataFrame | None = None,
+    estimator: str = "sample",
+    components: int = 3,
+    objective: optimize.Objective | None = None,
+) -> DataFrame:
+    """(symbol, weight) of a method within the profile's limits; an error if these leave no room.
+
+    Methods are those of ``optimize.METHODS``, ``optimize`` with an ``objective``, and
+    ``cvar``: the least mean of the worst returns, which no covariance takes part in.
+    """
+    return _solved(panel, method, profile, sectors, estimator, components, objective).select("symbol", "weight")
+
+
+def walk_forward(
+    panel: DataFrame,
+    method: str,
+    *,
+    train_days: int = 365,
+    step_days: int = 90,
+    most_lost: float = 0.5,
+    profile: planning.Profile | None = None,
+    sectors: DataFrame | None = None,
+    estimator: str = "sample",
+    components: int = 3,
+    objective: optimize.Objective | None = None,
+    current: DataFrame | None = None,
+    weights: DataFrame | None = None,
+) -> DataFrame:
+    """Whether advice holds up: the Sharpe of weights that are solved anew in each window, outside of it, against those of the whole panel inside.
+
+    Each window is solved by the method, estimator, objective and limits of the advice
+    itself. ``in_sample_sharpe`` is that of the advice (``weights``, else solved here) held
+    over the whole panel; ``baseline_sharpe`` is the ``current`` weights' (symbol, weight)
+    outside the same windows; ``is_sharpe`` is the windows' own inside.
+    """
+    now = None if current is None else current.select(F.lit("current").alias("strategy"), "symbol", "weight")
+    rolled = validation.rolling(
+        panel, [method], fixed=now, train_days=train_days, step_days=step_days, limiter=limiter(profile, sectors), estimator=estimator, components=components, objective=objective
+    )
+    advice = F.col("strategy") == method
+    row = rolled.agg(
+        F.count(F.when(advice, 1)).alias("windows"),
+        F.avg(F.when(advice, F.col("is_sharpe"))).alias("is_sharpe"),
+        F.avg(F.when(advice, F.col("oos_sharpe"))).alias("oos_sharpe"),
+        F.avg(F.when(~advice, F.col("oos_sharpe"))).alias("baseline_sharpe"),
+    )
+    held = _solved(panel, method, profile, sectors, estimator, components, objective) if weights is None else weights
+    whole = series.buy_and_hold(panel, held.select("symbol", "weight")).select(F.lit(method).alias("strategy"), "date", F.col("value").alias("price"))
+    row = row.join(F.broadcast(with_returns(whole, "strategy").agg(metrics.sharpe(rf=0.02).alias("in_sample_sharpe"))), F.lit(True))  # a row each
+    lost = F.when(F.col("in_sample_sharpe") > 0, F.greatest(F.lit(0.0), (F.col("in_sample_sharpe") - F.col("oos_sharpe")) / F.when(F.col("in_sample_sharpe") > 0, F.col("in_sample_sharpe"))))
     holds = F.when(F.col("windows") == 0, "inconclusive").when((F.col("oos_sharpe") > 0) & (F.coalesce("degradation", F.lit(0.0)) <= most_lost), "holds up").otherwise("fragile")
     return row.select("*", lost.alias("degradation")).select("*", holds.alias("verdict"))
 
 
+def _evidence(rows: list, method: str, estimator: str, objective: optimize.Objective | None) -> dict[str, object]:
+    """What the solved rows promise, and why these weights, in words."""
+    if not rows:
+        return {}
+    found = {k: v for k, v in rows[0].asDict().items() if k not in ("symbol", "weight") and v is not None}
+    if method == "cvar":
+        return found | {"rationale": f"Weights with the least mean loss in the worst {found['tail']:.0%} of periods: {found['shortfall']:.2%}, at least {found['bound']:.2%} for any weights within the limits."}
+    name = getattr(objective or optimize.neg_sharpe, "__name__", "objective") if method == "optimize" else method
+    forecast = method in ("optimize", "max_sharpe")
+    text = f"Weights by {name} on the {estimator} covariance" + ("" if forecast else ", without a forecast of returns")
+    text += f": Sharpe {found['sharpe']:.2f}, return {found['expected_return']:.2%}, volatility {found['expected_vol']:.2%} a year, of log returns."
+    if "shrinkage" in found:
+        text += f" The covariance is shrunk by {found['shrinkage']:.2f}."
+    return found | {"objective": name, "uses_return_forecast": forecast, "rationale": text}
+
+
 def realized(panel: DataFrame, weights: DataFrame, strategy: str) -> DataFrame:
     """(strategy, vol, max_drawdown, ann_return) of weights held over the panel."""
     returns = with_returns(panel)
@@ -102,16 +169,22 @@ def recommend(
     max_beta: float | None = None,
     estimator: str = "sample",
     components: int = 3,
+    objective: optimize.Objective | None = None,
     validate: bool = False,
 ) -> Recommendation:
     """Weights of ``method`` within the profile's limits, what to trade from ``current``, and what speaks against them.
 
+    ``objective`` is what the method ``optimize`` minimises. The evidence says how the
+    weights came about and what they promise; with ``validate`` the same choices are
+    solved anew in rolling windows, with ``current`` as the baseline.
+
     ``results``: returns (strategy, date, ret) of strategies to compare. ``betas``:
     (factor, beta) of the portfolio, for alerts above ``max_beta``.
     """
-    solved = recommend_weights(panel, method=method, profile=profile, sectors=sectors, estimator=estimator, components=components)
+    solved = _solved(panel, method, profile, sectors, estimator, components, objective)
     # a row a symbol; solved once, whatever is asked of it afterwards
-    weights = panel.sparkSession.createDataFrame(solved.collect(), solved.schema)
+    rows = solved.collect()
+    weights = panel.sparkSession.createDataFrame(rows, solved.schema).select("symbol", "weight")
     limits = profile or planning.Profile()
     returns = with_returns(panel)
     state = realized(panel, weights, method)
@@ -126,6 +199,6 @@ def recommend(
         trades,
         engine.rebalance_plan(trades, cost_model=cost_model) if trades is not None else None,
         planning.compared(results) if results is not None else None,
-        walk_forward(panel, method, profile=profile, sectors=sectors) if validate else None,
-        {"method": method, "estimator": estimator, "risk_tolerance": limits.risk_tolerance if profile else None},
+        walk_forward(panel, method, profile=profile, sectors=sectors, estimator=estimator, components=components, objective=objective, current=current, weights=weights) if validate else None,
+        {"method": method, "estimator": estimator, "risk_tolerance": limits.risk_tolerance if profile else None} | _evidence(rows, method, estimator, objective),
     )

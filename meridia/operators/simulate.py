@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meridia.functions.quantiles import exact_quantiles
 from meridia.plans.panel import TRADING_DAYS
 
 
@@ -30,8 +31,8 @@ def terminal_returns(values: DataFrame) -> DataFrame:
 
 def simulation_metrics(ends: DataFrame, *, confidence: float = 0.95) -> DataFrame:
     """Mean, median, signed VaR and CVaR, and the 5th and 95th percentiles of (ret)."""
-    q = ends.agg(F.percentile("ret", F.lit(1 - confidence)).alias("var"))
-    return ends.join(F.broadcast(q), F.lit(True)).agg(F.avg("ret").alias("mean"), F.median("ret").alias("median"), F.first("var").alias("var"), F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"), F.percentile("ret", F.lit(0.05)).alias("p5"), F.percentile("ret", F.lit(0.95)).alias("p95"))
+    q = exact_quantiles(ends, [], "ret", [1 - confidence, 0.05, 0.5, 0.95], ["var", "p5", "median", "p95"])
+    return ends.join(F.broadcast(q), F.lit(True)).agg(F.avg("ret").alias("mean"), F.first("median").alias("median"), F.first("var").alias("var"), F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"), F.first("p5").alias("p5"), F.first("p95").alias("p95"))
 
 
 def success_probabilities(ends: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.50)) -> DataFrame:
@@ -44,14 +45,14 @@ def success_probabilities(ends: DataFrame, thresholds: tuple[float, ...] = (0.0,
 def time_to_target(values: DataFrame, *, target: float, initial: float = 10_000.0) -> DataFrame:
     """Median first day at the target among paths that reach it, and their share."""
     first = values.groupBy("sim_id").agg(F.min(F.when(F.col("value") >= initial * (1 + target), F.col("day"))).alias("day"))
-    return first.agg(F.median("day").alias("median_day"), F.avg(F.col("day").isNotNull().cast("double")).alias("share"))
+    median = exact_quantiles(first, [], "day", [0.5], ["median_day"]).select("median_day")
+    return first.agg(F.avg(F.col("day").isNotNull().cast("double")).alias("share")).join(F.broadcast(median), F.lit(True)).select("median_day", "share")
 
 
 def bands(values: DataFrame) -> DataFrame:
     """Percentiles of the paths by day."""
     qs = (0.05, 0.25, 0.50, 0.75, 0.95)
-    out = values.groupBy("day").agg(F.percentile("value", F.array(*(F.lit(q) for q in qs))).alias("q"))
-    return out.select("day", *(F.col("q")[i].alias(f"p{int(q * 100):02d}") for i, q in enumerate(qs)))
+    return exact_quantiles(values, ["day"], "value", qs, [f"p{int(q * 100):02d}" for q in qs]).drop("n")
 
 
 def histogram(ends: DataFrame, bins: int = 50) -> DataFrame:

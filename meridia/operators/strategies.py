@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.metrics import summary_metrics
@@ -47,10 +47,23 @@ def cross_sectional_momentum(lookback: int = 126, skip: int = 5, target: float =
 
 
 def vol_overlay(base: Strategy, *, target: float = 0.10, lookback: int = 63, max_leverage: float = 2.0) -> Strategy:
-    """Static weights tilted each day to symbols of low volatility."""
+    """Weights of ``base`` tilted each day to symbols of low volatility.
+
+    Those of a schedule are the ones that are in force on a day; days before its first
+    one have none. Symbols that the base leaves out have no weight.
+    """
 
     def weights(panel: DataFrame) -> DataFrame:
-        rows = with_returns(panel).join(base(panel).withColumnRenamed("weight", "signal"), "symbol")
+        held = base(panel)
+        if "eff_date" in held.columns:
+            named = F.lit("base").alias("strategy")
+            grid = panel.select(named, "date", "symbol", "price")
+            rows = engine.as_of_weights(grid, held.select(named, "eff_date", "symbol", "weight")).withColumnRenamed("target", "signal")
+            begun = F.max(F.col("signal").isNotNull()).over(Window.partitionBy("date"))
+            rows = rows.select("date", "symbol", "price", F.when(begun, F.coalesce("signal", F.lit(0.0))).alias("signal"))
+        else:
+            rows = panel.join(held.select("symbol", F.col("weight").alias("signal")), "symbol", "left").fillna(0.0, ["signal"])
+        rows = with_returns(rows)
         sized = signals.vol_target_positions(signals.trailing_volatility(rows, lookback=lookback), target=target, max_leverage=max_leverage)
         return signals.long_only_schedule(sized).withColumnRenamed("date", "eff_date")
 

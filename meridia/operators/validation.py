@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import metrics
-from meridia.operators import oos, optimize, planning, series
+from meridia.operators import oos, optimize, planning, series, shortfall
 from meridia.plans.panel import with_returns
 
 
@@ -48,15 +48,31 @@ def overfitting_scores(splits: DataFrame) -> DataFrame:
     return rows.select("*", lost("sharpe"), lost("cagr"))
 
 
-def rolling(panel: DataFrame, methods: Sequence[str], *, fixed: DataFrame | None = None, train_days: int = 365, step_days: int = 90, limiter: optimize.Limiter | None = None) -> DataFrame:
+def rolling(
+    panel: DataFrame,
+    methods: Sequence[str],
+    *,
+    fixed: DataFrame | None = None,
+    train_days: int = 365,
+    step_days: int = 90,
+    limiter: optimize.Limiter | None = None,
+    estimator: str = "sample",
+    components: int = 3,
+    objective: optimize.Objective | None = None,
+) -> DataFrame:
     """(window_id, strategy, is_sharpe, oos_sharpe): each window's weights held over its train and its test.
 
-    ``fixed``: (strategy, symbol, weight) that take part in every window as they are.
+    ``fixed``: (strategy, symbol, weight) that take part in every window as they are. Each
+    window has its own covariance, by ``estimator``.
     """
     returns = with_returns(panel)
     windows = planning.walk_forward_windows(panel.select("date"), train_days=train_days, step_days=step_days)
-    parts = {part: planning.in_windows(returns, windows, part=part).select("window_id", "date", "symbol", "price", "log_ret") for part in ("train", "test")}
-    weights = optimize.optimized(parts["train"], "window_id", list(methods), limiter=limiter) if methods else None
+    parts = {part: planning.in_windows(returns, windows, part=part).select("window_id", "date", "symbol", "price", "ret", "log_ret") for part in ("train", "test")}
+    paired = [m for m in methods if m != "cvar"]
+    weights = optimize.optimized(parts["train"], "window_id", paired, limiter=limiter, estimator=estimator, components=components, objective=objective) if paired else None
+    if "cvar" in methods:
+        tails = shortfall.min_shortfall_by(parts["train"], "window_id", limiter=limiter)
+        weights = tails if weights is None else weights.unionByName(tails)
     if fixed is not None:
         every = fixed.join(windows.select("window_id"), F.lit(True)).select("window_id", "strategy", "symbol", "weight")
         weights = every if weights is None else weights.unionByName(every)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import metrics
-from meridia.operators import assemblers, assets, engine, factors, moments, oos, optimize, planning, plotdata, recommend, series, signals, simulate, strategies, validation
+from meridia.operators import assemblers, assets, engine, factors, moments, oos, optimize, planning, plotdata, recommend, series, shortfall, signals, simulate, strategies, validation
 from meridia.plans import panel as P
 from meridia.streaming.windows import windowed_prices
 
@@ -399,6 +399,28 @@ def scheduled_wealth(spark, sf):
     return engine.simulate(P.week_panel(spark, sf), schedule, commission_bps=1.0, spread_bps=5.0)[0]
 
 
+_EWMA = f"""en AS (SELECT *, row_number() OVER ({W}) - 1 AS i FROM rets WHERE ret IS NOT NULL),
+eq AS (SELECT *, pow(1 - 2 / 21.0, -i) * CASE WHEN i = 0 THEN 1.0 ELSE 2 / 21.0 END AS q FROM en),
+es AS (SELECT date, symbol, i, pow(1 - 2 / 21.0, i) AS b, sum(q * ret) OVER ({W} {TO_NOW}) AS s1, sum(q * ret * ret) OVER ({W} {TO_NOW}) AS s2, sum(q * q) OVER ({W} {TO_NOW}) AS q2 FROM eq),
+ev AS (SELECT r.date, r.symbol, CASE WHEN i + 1 >= 20 THEN sqrt((b * s2 - pow(b * s1, 2)) / (1 - b * b * q2)) * sqrt(252) END AS vol FROM rets r LEFT JOIN es ON es.date = r.date AND es.symbol = r.symbol)"""
+
+
+def _momentum_schedule(spark, sf) -> DataFrame:
+    return signals.long_only_schedule(_positions(spark, sf)).withColumnRenamed("date", "eff_date")
+
+
+@query(
+    "overlay_schedule", "date symbol", "weight",
+    f"""WITH {WEEK}, {_POS}, {_FOLLOWED}, {_EWMA}, op AS (SELECT tg.date, tg.symbol, target * 0.1 / nullif(lag(vol) OVER (PARTITION BY tg.symbol ORDER BY tg.date), 0) AS p FROM tg JOIN ev ON ev.date = tg.date AND ev.symbol = tg.symbol),
+oq AS (SELECT date, symbol, p * least(1.0, 2.0 / nullif(sum(abs(p)) OVER (PARTITION BY date), 0)) AS position FROM op),
+oc AS (SELECT date, symbol, greatest(position, 0) AS w, count(*) OVER (PARTITION BY date) AS n, count(position) OVER (PARTITION BY date) AS k FROM oq)
+SELECT date, symbol, CASE WHEN sum(w) OVER (PARTITION BY date) > 0 THEN w / sum(w) OVER (PARTITION BY date) ELSE 1.0 / n END AS weight FROM oc WHERE k = n""",
+)
+def overlay_schedule(spark, sf):
+    """The momentum schedule, tilted each day to symbols of low volatility."""
+    return strategies.vol_overlay(lambda panel: _momentum_schedule(spark, sf), lookback=20)(P.week_panel(spark, sf)).withColumnRenamed("eff_date", "date")
+
+
 _MANY = f"""tw AS (SELECT 'equal' AS strategy, symbol, weight FROM w UNION ALL SELECT 'sales', symbol, weight FROM sales),
 d AS (SELECT date, row_number() OVER (ORDER BY date) AS row, coalesce(month(date) <> lag(month(date)) OVER (ORDER BY date), true) AS flag FROM (SELECT DISTINCT date FROM px)),
 db AS (SELECT *, max(CASE WHEN flag THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM d),
@@ -611,6 +633,30 @@ def realized_risk(spark, sf):
     return recommend.realized(P.week_panel(spark, sf), _by_sales(spark, sf).drop("strategy"), "sales")
 
 
+@query(
+    "least_shortfall", "symbol", "weight shortfall",
+    f"""WITH {WEEK}, p AS (SELECT a.date, a.ret AS a, b.ret AS b FROM rets a JOIN rets b ON a.date = b.date WHERE a.symbol = '1-URGENT' AND b.symbol = '2-HIGH' AND a.ret IS NOT NULL AND b.ret IS NOT NULL),
+k AS (SELECT CAST(floor((count(*) - 1) * (1 - 0.95::DOUBLE)) AS BIGINT) + 1 AS k FROM p),
+g AS (SELECT unnest(range(1001)) / 1000.0::DOUBLE AS w), gv AS (SELECT w, w * a + (1 - w) * b AS r FROM g CROSS JOIN p),
+gs AS (SELECT w, -avg(r) AS f FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY r) AS i FROM gv) CROSS JOIN k WHERE i <= k GROUP BY 1),
+o AS (SELECT arg_min(w, f) AS w FROM gs),
+t AS (SELECT (y.b - x.b) / ((x.a - x.b) - (y.a - y.b)) AS w FROM p x JOIN p y ON x.date < y.date WHERE (x.a - x.b) <> (y.a - y.b)),
+c AS (SELECT DISTINCT t.w FROM t CROSS JOIN o WHERE t.w BETWEEN greatest(o.w - 0.001, 0) AND least(o.w + 0.001, 1) UNION SELECT w FROM g WHERE w IN (0, 1)),
+cv AS (SELECT w, w * a + (1 - w) * b AS r FROM c CROSS JOIN p),
+cs AS (SELECT w, -avg(r) AS f FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY r) AS i FROM cv) CROSS JOIN k WHERE i <= k GROUP BY 1),
+m AS (SELECT arg_min(w, f) AS w, min(f) AS f FROM cs) SELECT '1-URGENT' AS symbol, w AS weight, f AS shortfall FROM m UNION ALL SELECT '2-HIGH', 1 - w, f FROM m""",
+    digits=5,
+)
+def least_shortfall(spark, sf):
+    """Two symbols; SQL scans weights, then all of those near the best one where two dates change places."""
+    return shortfall.min_shortfall(_pair(spark, sf))
+
+
+@query("least_shortfall_of_all")
+def least_shortfall_of_all(spark, sf):
+    return shortfall.min_shortfall(_returns(spark, sf))
+
+
 @query("sector_allocation", "strategy sector", "weight", f"WITH {SALES} SELECT 'sales' AS strategy, CASE WHEN symbol < '3' THEN 'urgent' ELSE 'other' END AS sector, sum(weight) AS weight FROM sales WHERE weight > 0.001 GROUP BY 2")
 def sector_allocation(spark, sf):
     return plotdata.sector_allocation(_by_sales(spark, sf), _sectors(P.week_panel(spark, sf)))
@@ -767,8 +813,8 @@ def sharpe_differences(spark, sf):
 
 
 _CSCV = """t AS (SELECT symbol AS config, ret, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS t FROM rets WHERE ret IS NOT NULL),
-b AS (SELECT config, CAST(floor(t / sz) AS INT) AS block, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM t CROSS JOIN (SELECT floor((max(t) + 1) / 8) AS sz FROM t) WHERE t < sz * 8 GROUP BY 1, 2),
-m AS (SELECT CAST(range AS INT) AS split FROM range(256) WHERE bit_count(CAST(range AS INT)) = 4),
+b AS (SELECT config, CAST(floor(t / sz) AS INT) AS block, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM t CROSS JOIN (SELECT floor((max(t) + 1) / 16) AS sz FROM t) WHERE t < sz * 16 GROUP BY 1, 2),
+m AS (SELECT range AS split FROM range(65536) WHERE bit_count(range) = 8),
 h AS (SELECT split, config, (split >> block) & 1 AS inside, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM b CROSS JOIN m GROUP BY 1, 2, 3),
 sp AS (SELECT split, config, max(CASE WHEN inside = 1 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252) END) AS is_sharpe, max(CASE WHEN inside = 0 THEN s / n / sqrt((q - s * s / n) / (n - 1)) * sqrt(252) END) AS oos_sharpe FROM h GROUP BY 1, 2)"""
 
@@ -801,7 +847,7 @@ x AS (SELECT best, {_CDF.format(z="a")} AS psr, {_CDF.format(z="b")} AS dsr FROM
 SELECT best, splits, pbo, slope, oos_loss, psr, dsr, CASE WHEN pbo > 0.5 THEN 'likely_overfit' WHEN pbo <= 0.1 AND dsr >= 0.95 THEN 'robust' ELSE 'caution' END AS verdict FROM o CROSS JOIN x""",
 )
 def overfitting_assessment(spark, sf):
-    return validation.assessed(_returns(spark, sf).select("date", F.col("symbol").alias("config"), "ret"), blocks=8)
+    return validation.assessed(_returns(spark, sf).select("date", F.col("symbol").alias("config"), "ret"))
 
 
 @query(
@@ -935,6 +981,19 @@ def rolling_sharpes(spark, sf):
     return validation.rolling(P.week_panel(spark, sf), [], fixed=_two(spark, sf))
 
 
+@query(
+    "recommendation_validation", "windows verdict", "is_sharpe oos_sharpe baseline_sharpe in_sample_sharpe degradation",
+    f"""WITH {WEEK}, {EQUAL}, {SALES}, {_WINDOWS}, {_ROLLED}, h AS (SELECT date, sum(weight * g) AS v FROM (SELECT date, symbol, price / first_value(price) OVER ({W}) AS g FROM px) x JOIN w ON w.symbol = x.symbol GROUP BY 1),
+hr AS (SELECT v / lag(v) OVER (ORDER BY date) - 1 AS ret FROM h), i AS (SELECT (avg(ret) - 0.02 / 252) / stddev_samp(ret) * sqrt(252) AS a FROM hr),
+o AS (SELECT count(*) FILTER (strategy = 'equal' AND part = 'test') AS windows, avg(sharpe) FILTER (strategy = 'equal' AND part = 'train') AS is_sharpe, avg(sharpe) FILTER (strategy = 'equal' AND part = 'test') AS oos_sharpe, avg(sharpe) FILTER (strategy = 'sales' AND part = 'test') AS baseline_sharpe FROM ps),
+d AS (SELECT *, a AS in_sample_sharpe, CASE WHEN a > 0 THEN greatest(0, (a - oos_sharpe) / a) END AS degradation FROM o CROSS JOIN i)
+SELECT *, CASE WHEN windows = 0 THEN 'inconclusive' WHEN oos_sharpe > 0 AND coalesce(degradation, 0) <= 0.5 THEN 'holds up' ELSE 'fragile' END AS verdict FROM d""",
+)
+def recommendation_validation(spark, sf):
+    """Equal weights as the advice, shares of sales as what is held now."""
+    return recommend.walk_forward(P.week_panel(spark, sf), "equal_weight", current=_by_sales(spark, sf).drop("strategy"))
+
+
 @query("walk_forward_weights")
 def walk_forward_weights(spark, sf):
     """Weights of every method on each training window."""
@@ -948,6 +1007,27 @@ def optimized_portfolios(spark, sf):
     return optimize.optimized(_returns(spark, sf).withColumn("market", F.lit("orders")), "market")
 
 
+_DRAWS = f"""cx AS (SELECT date, symbol, ret FROM rets WHERE ret IS NOT NULL),
+dr AS (SELECT date, s AS sample, ('0x' || substr(md5('42:' || s || ':' || date), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM (SELECT DISTINCT date FROM cx) CROSS JOIN (SELECT unnest(range(1, 101)) AS s)),
+mt AS (SELECT date, sample, {' + '.join(f'CAST(u > {p!r} AS INT)' for p in optimize.POISSON)} AS m FROM dr),
+cn AS (SELECT mt.sample, mt.date, symbol, m, ret - sum(m * ret) OVER (PARTITION BY mt.sample, symbol) / sum(m) OVER (PARTITION BY mt.sample, symbol) AS x FROM cx JOIN mt ON mt.date = cx.date WHERE m > 0)"""
+
+
+@query(
+    "bootstrap_shrinkage", "sample", "n delta",
+    f"""WITH {WEEK}, {_DRAWS},
+m AS (SELECT a.sample, a.symbol AS i, b.symbol AS j, sum(a.m) AS t, sum(a.m * a.x * b.x) / sum(a.m) AS s, sum(a.m * a.x * a.x * b.x * b.x) / sum(a.m) AS q, sum(a.m * a.x * a.x * a.x * b.x) / sum(a.m) AS c,
+  sum(a.m * a.x * b.x * b.x * b.x) / sum(a.m) AS c2, sum(a.m * a.x * a.x) / sum(a.m) AS si, sum(a.m * b.x * b.x) / sum(a.m) AS sj FROM cn a JOIN cn b ON a.sample = b.sample AND a.date = b.date GROUP BY 1, 2, 3),
+r AS (SELECT sample, avg(s / sqrt(si * sj)) AS rbar FROM m WHERE i <> j GROUP BY 1),
+f AS (SELECT m.*, CASE WHEN i = j THEN s ELSE rbar * sqrt(si * sj) END AS f, q - s * s AS pi,
+  CASE WHEN i = j THEN q - s * s ELSE rbar / 2 * (sqrt(sj / si) * (c - si * s) + sqrt(si / sj) * (c2 - sj * s)) END AS rho FROM m JOIN r ON r.sample = m.sample)
+SELECT CAST(sample AS INT) AS sample, CAST(max(t) AS DOUBLE) AS n, least(greatest((sum(pi) - sum(rho)) / sum(pow(f - s, 2)) / max(t), 0), 1) AS delta FROM f GROUP BY 1""",
+)
+def bootstrap_shrinkage(spark, sf):
+    """Each of 100 resamplings has its own intensity, from sums of one pass."""
+    return optimize.bootstrap_shrinkage(_returns(spark, sf))
+
+
 @query("bootstrapped_weights")
 def bootstrapped_weights(spark, sf):
     return optimize.bootstrapped(_returns(spark, sf))

@@ -54,5 +54,12 @@ def test_entry_without_the_training_data_operators(tmp_path):
     assert out.stdout.strip() == "[] True"
 
 
+@pytest.mark.parametrize("module", ["xxhash", "tokenizers", "public_tokenizers"])
+def test_entry_where_a_library_of_those_operators_is_missing(module):
+    code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print([x for x in q if x.startswith('op1') or x == 'pipeline'], 'summary_metrics' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True, text=True, check=True)
+    assert out.stdout.strip() == "[] True"
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
