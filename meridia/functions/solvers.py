@@ -180,11 +180,15 @@ def _checked(p, q, e, to, g, h, w, y, z, unit, active) -> np.ndarray:
     return w
 
 
-def minimize(objective: Objective, limits: Limits, start: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
-    """Sequential quadratic programming with numeric gradients, for any smooth objective."""
+def minimize(
+    objective: Objective, limits: Limits, start: np.ndarray | None = None, rounds: int = 200, tolerance: float = 1e-10, slope: Callable[[np.ndarray], np.ndarray] | None = None
+) -> np.ndarray:
+    """Sequential quadratic programming for any smooth objective; without its ``slope``, numeric gradients."""
     w = np.full(limits.n, limits.budget / limits.n) if start is None else np.asarray(start, float)
 
     def gradient(x: np.ndarray) -> np.ndarray:
+        if slope is not None:
+            return slope(x)
         h = 1e-6
         return np.array([(objective(x + h * e) - objective(x - h * e)) / (2 * h) for e in np.eye(limits.n)])
 
@@ -220,19 +224,111 @@ def portfolio_stats(w: np.ndarray, mu: np.ndarray, cov: np.ndarray, rf: float =
     return ret, vol, (ret - rf) / vol if vol > 1e-5 else 0.0
 
 
+def best_ratio(gain: np.ndarray, cov: np.ndarray, limits: Limits) -> np.ndarray:
+    """Weights of the highest gain'w / sqrt(w'Cw) within limits, as one quadratic program.
+
+    Weights are scaled so that their gain is 1: the least variance of y = scale * w, with
+    the scale as one more variable that all limits are multiplied by (Charnes and
+    Cooper). A ValueError where no weights have a gain above 0.
+    """
+    a, low, high = limits.rows
+    scaled = Limits(limits.n + 1)
+    lower, upper = np.isfinite(low), np.isfinite(high)
+    rows = np.concatenate([np.column_stack([a[upper], -high[upper]]), np.column_stack([-a[lower], low[lower]])])
+    equal = low == high
+    twice = np.concatenate([equal[upper], equal[lower]])  # of an equality one side is enough, as an equation
+    keep = np.concatenate([np.ones(upper.sum(), bool), ~equal[lower]])
+    size = max(np.abs(gain).max(initial=0), 1e-300)
+    one = np.append(gain / size, 0.0)
+    positive = np.append(np.zeros(limits.n), -1.0)
+    at = np.concatenate([rows[keep], one[None], positive[None]])
+    top = np.concatenate([np.zeros(keep.sum()), [1.0, 0.0]])
+    scaled.rows = (at, np.concatenate([np.where(twice[keep], 0.0, -np.inf), [1.0, -np.inf]]), top)
+    unit = max(float(np.trace(cov)) / len(cov), 1e-300)
+    y = solve_qp(np.block([[cov / unit, np.zeros((limits.n, 1))], [np.zeros((1, limits.n + 1))]]), np.zeros(limits.n + 1), scaled)
+    if y[-1] <= 1e-12:
+        raise ValueError("no weights with a gain")
+    return y[:-1] / y[-1]
+
+
 def max_sharpe(mu: np.ndarray, cov: np.ndarray, rf: float = 0.02, limits: Limits | None = None) -> np.ndarray:
+    """By one quadratic program; where no weights earn more than ``rf``, by descent."""
     limits = limits or Limits(len(mu))
-    return minimize(lambda w: -(w @ mu - rf) / np.sqrt(max(w @ cov @ w, 1e-30)), limits)
+    try:
+        return best_ratio(mu - rf / limits.budget, cov, limits)
+    except (ValueError, ZeroDivisionError):
+
+        def slope(w: np.ndarray) -> np.ndarray:
+            vol = np.sqrt(max(w @ cov @ w, 1e-30))
+            return -mu / vol + (w @ mu - rf) * (cov @ w) / vol**3
+
+        return minimize(lambda w: -(w @ mu - rf) / np.sqrt(max(w @ cov @ w, 1e-30)), limits, slope=slope)
+
+
+@dataclass(frozen=True)
+class Corner:
+    """A point of the frontier at which a symbol enters or leaves; between two of them weights are straight lines."""
+
+    mean: float
+    weights: np.ndarray
+
+
+def critical_line(mu: np.ndarray, cov: np.ndarray) -> list[Corner]:
+    """All corners of the long-only frontier (weights from 0, sum 1), from the highest mean to the lowest.
+
+    At each trade-off t of variance and mean the free weights solve equations that are
+    linear in t; t falls from infinity until a free weight reaches 0 or the gradient of a fixed
+    one meets the others', and that symbol changes sides. Equal means are told apart by
+    their order, by a billionth of the span of all; if all are equal there is one portfolio.
+    """
+    n, span = len(mu), float(np.ptp(mu)) if len(mu) else 0.0
+    if span <= 1e-12 * np.abs(mu).max(initial=0):
+        least = min_variance(cov)
+        return [Corner(float(least @ mu), least)]
+    mean = mu + np.arange(n)[::-1] * 1e-9 * span / n
+    top = int(mean.argmax())
+    free, t = [top], np.inf
+    corners = [Corner(float(mu[top]), np.eye(n)[top])]
+    for _ in range(50 * n + 50):
+        inverse = np.linalg.inv(np.block([[cov[np.ix_(free, free)], np.ones((len(free), 1))], [np.ones((1, len(free))), np.zeros((1, 1))]]))
+        still, moving = inverse[:, -1], inverse[:, :-1] @ mean[free]  # w = still + t * moving, the last is the multiplier of the sum
+        base, rate = cov[:, free] @ still[:-1] + still[-1], cov[:, free] @ moving[:-1] + moving[-1] - mean
+        events = []
+        if len(free) > 1:
+            events += [(-still[k] / moving[k], i) for k, i in enumerate(free) if moving[k] > 0]
+        events += [(-base[i] / rate[i], i) for i in set(range(n)) - set(free) if rate[i] > 0]
+        events = [(x, i) for x, i in events if x < t - 1e-12 * max(1.0, abs(t) if np.isfinite(t) else 1.0)]
+        if not events:
+            break
+        t, i = max(events)
+        w = np.zeros(n)
+        w[free] = np.maximum(still[:-1] + t * moving[:-1], 0.0)
+        w /= w.sum()
+        if abs(w - corners[-1].weights).max() > 1e-14:
+            corners.append(Corner(float(w @ mu), w))
+        free = [x for x in free if x != i] if i in free else sorted([*free, i])
+    last = int(mean.argmin())
+    if abs(corners[-1].mean - mu[last]) > 1e-12 * max(1.0, abs(mu[last])):
+        corners.append(Corner(float(mu[last]), np.eye(n)[last]))
+    return corners
 
 
 def efficient_frontier(mu: np.ndarray, cov: np.ndarray, points: int = 50) -> list[tuple[float, float, np.ndarray]]:
-    """(target, vol, weights) of least variance for targets from the 10 % to 1.2 times the 90 % quantile of means."""
+    """(target, vol, weights) of least variance for targets from the 10 % to 1.2 times the 90 % quantile of means.
+
+    All of them lie between corners of one path.
+    """
+    corners = critical_line(mu, regularized(check_covariance(cov)))
+    means = np.array([c.mean for c in corners])
     out = []
     for target in np.linspace(np.quantile(mu, 0.1), 1.2 * np.quantile(mu, 0.9), points):
         if mu.min() - 1e-12 <= target <= mu.max() + 1e-12:
-            w = min_variance(cov, Limits(len(mu), a_eq=mu[None, :], b_eq=np.array([target])))
-            if abs(w @ mu - target) < 1e-6:
-                out.append((float(target), float(np.sqrt(w @ cov @ w)), w))
+            k = int(np.clip(np.searchsorted(-means, -target), 1, max(len(corners) - 1, 1)))
+            one, two = corners[k - 1], corners[min(k, len(corners) - 1)]
+            gap = one.mean - two.mean
+            share = float(np.clip((one.mean - target) / gap, 0, 1)) if gap > 0 else 0.0
+            w = (1 - share) * one.weights + share * two.weights
+            out.append((float(target), float(np.sqrt(w @ cov @ w)), w))
     return out
 
 
@@ -244,6 +340,8 @@ def risk_budget(cov: np.ndarray, budget: Sequence[float] | None = None, rounds:
         raise ValueError("the budget has to be positive")
     b = b / b.sum()
     x = b / np.sqrt(np.diag(cov))
+    if (b > 0).all():
+        return _by_newton(cov, b, x)
     for _ in range(rounds):
         before = x.copy()
         for i in range(len(x)):
@@ -254,6 +352,20 @@ def risk_budget(cov: np.ndarray, budget: Sequence[float] | None = None, rounds:
     return x / x.sum()
 
 
+def _by_newton(cov: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Minimum of x'Cx/2 - b'ln x: its gradient is 0 where risk shares are those of b. Steps are damped far from it."""
+    x = x / np.sqrt(x @ cov @ x)
+    for _ in range(rounds):
+        g = cov @ x - b / x
+        step = np.linalg.solve(cov + np.diag(b / x**2), -g)
+        decrement = np.sqrt(max(-g @ step, 0.0))
+        if decrement < 1e-14:
+            break
+        # the barrier's terms b ln x have a self-concordance of 1 / sqrt(b)
+        x = x + step / (1 + decrement / np.sqrt(b.min())) if decrement > 0.25 * np.sqrt(b.min()) else x + step
+    return x / x.sum()
+
+
 def risk_shares(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
     total = w @ cov @ w
     return w * (cov @ w) / total if total >= 1e-28 else np.zeros(len(w))
@@ -261,24 +373,59 @@ def risk_shares(w: np.ndarray, cov: np.ndarray) -> np.ndarray:
 
 def max_diversification(cov: np.ndarray, limits: Limits | None = None) -> np.ndarray:
     sd = np.sqrt(np.diag(check_covariance(cov)))
-    return minimize(lambda w: -(w @ sd) / np.sqrt(max(w @ cov @ w, 1e-30)), limits or Limits(len(cov)))
+    return best_ratio(sd, cov, limits or Limits(len(cov)))
 
 
 def min_correlation(cov: np.ndarray, limits: Limits | None = None) -> np.ndarray:
     sd = np.sqrt(np.diag(check_covariance(cov)))
     corr = cov / np.outer(sd, sd)
-    return minimize(lambda w: (w @ corr @ w - w @ w) / (1 - w @ w + 1e-10), limits or Limits(len(cov)))
+    parts = lambda w: (w @ corr @ w - w @ w, 1 - w @ w + 1e-10)
+
+    def slope(w: np.ndarray) -> np.ndarray:
+        up, down = parts(w)
+        return 2 * ((corr @ w - w) * down + up * w) / down**2
+
+    return minimize(lambda w: parts(w)[0] / parts(w)[1], limits or Limits(len(cov)), slope=slope)
+
+
+def single_linkage_order(distance: np.ndarray) -> list[int]:
+    """Leaves in the order of a single-linkage dendrogram, the part that came about first to the left.
+
+    Single linkage merges along the edges of a minimum spanning tree, shortest first. The
+    tree grows by its nearest point, which takes n * n steps in all.
+    """
+    n = len(distance)
+    near, link, out = distance[0].copy() if n else np.zeros(0), np.zeros(n, int), np.ones(n, bool)
+    out[:1] = False
+    edges = []
+    for _ in range(n - 1):
+        j = int(np.where(out, near, np.inf).argmin())
+        edges.append((near[j], link[j], j))
+        out[j] = False
+        closer = out & (distance[j] < near)
+        near[closer], link[closer] = distance[j][closer], j
+    cluster = list(range(n))  # of a point: its tree's root
+    born, leaves = list(range(n)), [[i] for i in range(n)]
+
+    def root(i: int) -> int:
+        while cluster[i] != i:
+            cluster[i] = cluster[cluster[i]]
+            i = cluster[i]
+        return i
+
+    for step, (_, i, j) in enumerate(sorted(edges)):
+        a, b = root(i), root(j)
+        if born[a] > born[b]:
+            a, b = b, a
+        cluster[b], born[a] = a, n + step
+        leaves[a], leaves[b] = leaves[a] + leaves[b], []
+    return leaves[root(0)] if n else []
 
 
 def hierarchical_risk_parity(cov: np.ndarray) -> np.ndarray:
     """Single linkage on correlation distance, then bisection of the leaf order by cluster variance at equal weights."""
     sd = np.sqrt(np.diag(check_covariance(cov)))
-    distance = np.sqrt((1 - np.clip(cov / np.outer(sd, sd), -1, 1)) / 2)
-    clusters = [[i] for i in range(len(cov))]
-    while len(clusters) > 1:
-        gap, i, j = min((min(distance[x, y] for x in a for y in b), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
-        clusters.append(clusters[i] + clusters[j])
-        del clusters[j], clusters[i]
+    clusters = [single_linkage_order(np.sqrt((1 - np.clip(cov / np.outer(sd, sd), -1, 1)) / 2))]
     weights = np.ones(len(cov))
     todo = clusters
     while todo:

@@ -277,6 +277,18 @@ def frontier(returns: DataFrame, *, points: int = 50, value: str = "log_ret") ->
     return _whole(pair_sums(returns, value=value)).applyInPandas(solve, "target double, vol double, symbol string, weight double")
 
 
+def corners(returns: DataFrame, *, value: str = "log_ret") -> DataFrame:
+    """(corner, mean, vol, symbol, weight): the portfolios between which the frontier's weights are straight lines, the highest mean first."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        symbols, mu, cov = moments_of(frame)
+        found = solvers.critical_line(mu, solvers.regularized(solvers.check_covariance(cov)))
+        rows = [(k, c.mean, float(np.sqrt(c.weights @ cov @ c.weights)), s, float(x)) for k, c in enumerate(found) for s, x in zip(symbols, c.weights, strict=True)]
+        return pd.DataFrame(rows, columns=["corner", "mean", "vol", "symbol", "weight"])
+
+    return _whole(pair_sums(returns, value=value)).applyInPandas(solve, "corner int, mean double, vol double, symbol string, weight double")
+
+
 def cloud(returns: DataFrame, *, portfolios: int = 2500, seed: int = 42, rf: float = 0.02) -> DataFrame:
     """(id, ret, vol, sharpe) of random long-only portfolios; the draws are hashes of seed, portfolio and symbol."""
     mu = mean_returns(returns)

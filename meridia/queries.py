@@ -554,11 +554,16 @@ SELECT i || '/' || j AS pair, u.strategy AS strategy, i AS symbol, u.w AS weight
 )
 def two_asset_portfolios(spark, sf):
     """Each pair of symbols by the methods that have a closed form for two."""
+    return optimize.optimized(_paired(spark, sf), "pair", ["equal_weight", "min_variance", "risk_parity", "max_diversification", "hrp"])
+
+
+def _paired(spark, sf) -> DataFrame:
+    """Returns of each pair of symbols, which ``pair`` names."""
     returns = _returns(spark, sf)
     symbols = returns.select("symbol").distinct()
     pairs = symbols.join(symbols.withColumnRenamed("symbol", "other"), F.col("symbol") < F.col("other"))
     named = pairs.select(F.concat_ws("/", "symbol", "other").alias("pair"), F.explode(F.array("symbol", "other")).alias("symbol"))
-    return optimize.optimized(returns.join(named, "symbol"), "pair", ["equal_weight", "min_variance", "risk_parity", "max_diversification", "hrp"])
+    return returns.join(named, "symbol")
 
 
 _ONE_PAIR = "pr AS (SELECT * FROM pm WHERE i = '1-URGENT' AND j = '2-HIGH')"
@@ -579,6 +584,47 @@ def efficient_frontier(spark, sf):
     return optimize.frontier(_pair(spark, sf))
 
 
+@query("frontier_corners")
+def frontier_corners(spark, sf):
+    return optimize.corners(_returns(spark, sf))
+
+
+@query("frontier_of_all")
+def frontier_of_all(spark, sf):
+    return optimize.frontier(_returns(spark, sf))
+
+
+@query(
+    "five_asset_portfolios", "strategy symbol", "weight",
+    f"""WITH RECURSIVE {WEEK}, {COV}, cl AS (SELECT i, list(cov ORDER BY j) AS row FROM cov GROUP BY 1),
+cm AS (SELECT list(row ORDER BY i) AS c, list(i ORDER BY i) AS names, (SELECT list(sqrt(cov) ORDER BY i) FROM cov WHERE i = j) AS sd, (SELECT list(m ORDER BY symbol) FROM (SELECT symbol, avg(log_ret) * 252 AS m FROM rets GROUP BY 1)) AS mu FROM cl),
+goals AS (SELECT c, names, unnest([{{'strategy': 'min_variance', 'b': list_transform(sd, lambda x: 1.0::DOUBLE)}}, {{'strategy': 'max_sharpe', 'b': list_transform(mu, lambda x: x - 0.02)}}, {{'strategy': 'max_diversification', 'b': sd}}, {{'strategy': 'risk_parity', 'b': list_transform(sd, lambda x: 0.2::DOUBLE)}}]) AS g FROM cm),
+it AS (SELECT g.strategy AS strategy, names, c, g.b AS b, list_transform(names, lambda x: 1.0::DOUBLE) AS y, 0 AS k FROM goals
+  UNION ALL SELECT strategy, names, c, b, list_transform(range(1, len(b) + 1), lambda i: CASE WHEN strategy = 'risk_parity' THEN sqrt(y[i] * b[i] / list_sum(list_transform(range(1, len(b) + 1), lambda j: c[i][j] * y[j])))
+    ELSE y[i] * (b[i] + sqrt(b[i] * b[i] + 4 * list_sum(list_transform(range(1, len(b) + 1), lambda j: greatest(c[i][j], 0) * y[j])) * list_sum(list_transform(range(1, len(b) + 1), lambda j: greatest(-c[i][j], 0) * y[j]))))
+      / (2 * list_sum(list_transform(range(1, len(b) + 1), lambda j: greatest(c[i][j], 0) * y[j]))) END), k + 1 FROM it WHERE k < 2000)
+SELECT strategy, names[i] AS symbol, y[i] / list_sum(y) AS weight FROM it CROSS JOIN (SELECT unnest(range(1, 6)) AS i) WHERE k = 2000""",
+    digits=5,
+)
+def five_asset_portfolios(spark, sf):
+    """All five symbols at once; SQL iterates multiplicative updates, which have the same fixed points."""
+    methods = ["min_variance", "max_sharpe", "max_diversification", "risk_parity"]
+    return optimize.optimized(_returns(spark, sf).withColumn("market", F.lit("orders")), "market", methods)
+
+
+@query(
+    "two_asset_sharpe", "pair symbol", "weight",
+    f"""WITH {WEEK}, {_PAIRS}, e AS (SELECT *, mi - 0.02 AS ei, mj - 0.02 AS ej FROM pm),
+c AS (SELECT *, unnest([0.0::DOUBLE, 1.0::DOUBLE, least(greatest((ei * sjj - ej * sij) / (ei * sjj + ej * sii - (ei + ej) * sij), 0), 1)]) AS w FROM e),
+b AS (SELECT i, j, arg_max(w, (w * ei + (1 - w) * ej) / sqrt(w * w * sii + (1 - w) * (1 - w) * sjj + 2 * w * (1 - w) * sij)) AS w FROM c GROUP BY 1, 2)
+SELECT i || '/' || j AS pair, i AS symbol, w AS weight FROM b UNION ALL SELECT i || '/' || j, j, 1 - w FROM b""",
+    digits=5,
+)
+def two_asset_sharpe(spark, sf):
+    """Each pair of symbols at its best Sharpe ratio: one program each, the closed form in SQL."""
+    return optimize.optimized(_paired(spark, sf), "pair", ["max_sharpe"])
+
+
 @query(
     "risk_budgets", "symbol", "weight share",
     f"""WITH {WEEK}, {_PAIRS}, {_ONE_PAIR}, r AS (SELECT *, ((0.7 - 0.5) * sij - 0.7 * sjj + sqrt(sii * sjj) * sqrt(0.04 * sij * sij / (sii * sjj) + 0.7 * 0.3)) / (0.3 * sii - 0.7 * sjj + 2 * 0.2 * sij) AS w FROM pr)
