@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.solvers import student_p
@@ -19,12 +19,43 @@ def excess(returns: DataFrame, factors: DataFrame, *, rf: float = 0.02) -> DataF
     return returns.filter("ret IS NOT NULL").join(factors, "date").withColumn("y", F.col("ret") - rate)
 
 
-def _sums(rows: DataFrame, keys: Sequence[str], x: Sequence[str], y: str) -> DataFrame:
-    """Sums of products of 1, x and y for each key: all that least squares needs, one aggregation."""
-    names = ["_one", *x, y]
-    rows = rows.select(*keys, F.lit(1.0).alias("_one"), *x, y)
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
-    return rows.groupBy(*keys).agg(*products)
+def _moments(x: Sequence[str], y: str) -> list[Column]:
+    """Count, means and centred second moments of x and y: all that least squares needs, without sums that lose digits."""
+    names = [*x, y]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return [F.count(F.lit(1)), *(F.avg(F.col(c).cast("double")) for c in names), *(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs)]
+
+
+def _unpacked(values: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, means and symmetric scatters (n times covariances) of rows of ``_moments`` of m series."""
+    n, mean = values[:, 0], values[:, 1 : m + 1]
+    scatter = np.zeros((len(values), m, m))
+    i, j = np.triu_indices(m)
+    scatter[:, i, j] = scatter[:, j, i] = values[:, m + 1 :] * n[:, None]
+    return n, mean, scatter
+
+
+def _merged(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Moments of two sets of rows together."""
+    (n, mean, scatter), (k, other, rest) = one, two
+    total, gap = n + k, other - mean
+    share = np.divide(k, total, out=np.zeros_like(k), where=total > 0)
+    return total, mean + gap * share[:, None], scatter + rest + (n * share)[:, None, None] * gap[:, :, None] * gap[:, None, :]
+
+
+def _slopes(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows have independent factors, and of these the slopes and the inverse of the factors' scatter.
+
+    Factors are scaled to unit scatter first; they count as dependent if that matrix is singular to ten digits.
+    """
+    k = scatter.shape[1] - 1
+    size = np.sqrt(np.maximum(np.diagonal(scatter, axis1=1, axis2=2)[:, :k], 0))
+    ok = (size > 0).all(axis=1)
+    unit = np.where(size > 0, size, 1.0)
+    corr = scatter[:, :k, :k] / (unit[:, :, None] * unit[:, None, :])
+    ok &= np.linalg.eigvalsh(corr)[:, 0] > 1e-10 if k and len(corr) else ok
+    inverse = np.linalg.inv(corr[ok]) / (unit[ok][:, :, None] * unit[ok][:, None, :]) if ok.any() else np.zeros((0, k, k))
+    return ok, (inverse @ scatter[ok][:, :k, k:])[:, :, 0], inverse
 
 
 def typical_gap(rows: DataFrame, *keys: str) -> DataFrame:
@@ -36,31 +67,35 @@ def typical_gap(rows: DataFrame, *keys: str) -> DataFrame:
 def regression(rows: DataFrame, *keys: str, x: Sequence[str], y: str = "y", least_rows: int | None = None) -> DataFrame:
     """(keys, n, alpha, one beta a factor, r2, adj_r2, t and two-sided p of alpha and each beta).
 
-    Least squares from sums; all keys of a batch are solved as one stack of matrices.
+    Least squares from centred moments, one aggregation; all keys of a batch are solved as one
+    stack of matrices. Rows with a null are left out.
     """
     k = len(x)
     least = least_rows or k + 2
-    sums = _sums(rows, keys, x, y)
+    sums = rows.dropna(subset=[*x, y]).groupBy(*keys).agg(F.array(*_moments(x, y)).alias("_m"))
     names = ["alpha", *(f"beta_{c}" for c in x), "r2", "adj_r2", *(f"{kind}_{c}" for kind in ("t", "p") for c in ("alpha", *x))]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields[: len(keys)]), "n long", *(f"{c} double" for c in names)])
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            m = np.array([[frame[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 2)] for i in range(k + 2)], dtype=float).transpose(2, 0, 1)
-            n = m[:, 0, 0]
+            n, mean, scatter = _unpacked(np.array(frame["_m"].tolist(), float).reshape(len(frame), -1), k + 1) if len(frame) else (np.zeros(0), np.zeros((0, k + 1)), np.zeros((0, k + 1, k + 1)))
             out = np.full((len(frame), len(names)), np.nan)
-            ok = (n >= least) & (np.linalg.matrix_rank(m[:, : k + 1, : k + 1]) == k + 1) if len(m) else np.zeros(0, bool)
-            a, b, n_ok = m[ok][:, : k + 1, : k + 1], m[ok][:, : k + 1, k + 1], n[ok]
-            coefficients = np.linalg.solve(a, b[:, :, None])[:, :, 0] if ok.any() else np.zeros((0, k + 1))
-            total = m[ok][:, k + 1, k + 1] - m[ok][:, 0, k + 1] ** 2 / n_ok
-            left = np.maximum(m[ok][:, k + 1, k + 1] - (coefficients * b).sum(axis=1), 0)
-            freedom = n_ok - k - 1
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r2 = np.where(total > 0, 1 - left / total, np.nan)
-                spread = np.sqrt((left / freedom)[:, None] * np.diagonal(np.linalg.inv(a), axis1=1, axis2=2)) if ok.any() else coefficients
-                t = coefficients / spread
-                p = student_p(np.nan_to_num(t, posinf=1e9, neginf=-1e9), freedom[:, None])
-                out[ok] = np.concatenate([coefficients, r2[:, None], (1 - (1 - r2) * (n_ok - 1) / freedom)[:, None], t, np.where(np.isnan(t), np.nan, p)], axis=1)
+            enough = np.flatnonzero(n >= least)
+            independent, slopes, inverse = _slopes(scatter[enough])
+            ok = enough[independent]
+            if len(ok):
+                m, mid, total = n[ok], mean[ok], scatter[ok][:, k, k]
+                alpha = mid[:, k] - (slopes * mid[:, :k]).sum(axis=1)
+                left = np.maximum(total - (slopes * scatter[ok][:, :k, k]).sum(axis=1), 0)
+                freedom = m - k - 1
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r2 = np.where(total > 0, 1 - left / total, np.nan)
+                    of_alpha = 1 / m + np.einsum("ri,rij,rj->r", mid[:, :k], inverse, mid[:, :k])
+                    spread = np.sqrt((left / freedom)[:, None] * np.column_stack([of_alpha, np.diagonal(inverse, axis1=1, axis2=2)]))
+                    coefficients = np.column_stack([alpha, slopes])
+                    t = coefficients / spread
+                    p = student_p(np.nan_to_num(t, posinf=1e9, neginf=-1e9), freedom[:, None])
+                    out[ok] = np.concatenate([coefficients, r2[:, None], (1 - (1 - r2) * (m - 1) / freedom)[:, None], t, np.where(np.isnan(t), np.nan, p)], axis=1)
             table = frame[list(keys)].copy()
             table["n"] = n.astype(np.int64)
             for i, c in enumerate(names):
@@ -78,26 +113,36 @@ def rolling_beta(rows: DataFrame, *keys: str, x: str, y: str = "y", window: int
 
 
 def rolling_regression(rows: DataFrame, *keys: str, x: Sequence[str], y: str = "y", window: int = 126) -> DataFrame:
-    """(keys, date, one beta a factor) over the rows before each date; singular windows are left out."""
-    over = along(*keys).rowsBetween(-window, -1)
-    names = ["_one", *x, y]
-    k = len(x)
-    sums = rows.select("*", F.lit(1.0).alias("_one"))
-    sums = sums.select(*keys, "date", F.count(F.lit(1)).over(over).alias("n"), *(F.sum(F.col(a) * F.col(b)).over(over).alias(f"p{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if i <= j))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields[: len(keys) + 1]), *(f"beta_{c} double" for c in x)])
+    """(keys, date, one beta a factor) over the rows before each date; singular windows are left out.
+
+    Rows of a key are cut into blocks as long as the window, so each window is the end of
+    one block and the beginning of the next: moments that grow along a block, from either
+    side, are merged in two. That takes the same time a row whatever the window, and
+    moments are about means throughout.
+    """
+    m = len(x) + 1
+    numbered = rows.dropna(subset=[*x, y]).select(*keys, "date", *x, y, (F.row_number().over(along(*keys)) - 1).alias("_i"))
+    numbered = numbered.withColumn("_block", F.floor(F.col("_i") / window))
+    block = Window.partitionBy(*keys, "_block")
+    grown = lambda order: F.array(*(f.over(block.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) for f in _moments(x, y)))
+    sides = numbered.select(*keys, "date", "_i", grown(F.asc("_i")).alias("_head"), grown(F.desc("_i")).alias("_tail"))
+    over = along(*keys, order="_i")
+    both = sides.select(*keys, "date", "_i", F.lag("_head").over(over).alias("_head"), F.when(F.col("_i") % window != 0, F.lag("_tail", window).over(over)).alias("_tail")).filter(F.col("_i") >= window).drop("_i")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[: len(keys) + 1]), *(f"beta_{c} double" for c in x)])
+    width = 1 + m + m * (m + 1) // 2
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            m = np.array([[frame[f"p{min(i, j)}_{max(i, j)}"] for j in range(k + 2)] for i in range(k + 1)], dtype=float).transpose(2, 0, 1)
-            ok = np.linalg.matrix_rank(m[:, :, : k + 1]) == k + 1 if len(m) else np.zeros(0, bool)
-            frame, m = frame[ok], m[ok]
-            b = np.linalg.solve(m[:, :, : k + 1], m[:, :, k + 1 :])[:, 1:, 0] if len(m) else np.zeros((0, k))
-            out = frame[[*keys, "date"]].copy()
+            if frame.empty:
+                continue
+            head, tail = (_unpacked(np.array([np.zeros(width) if v is None else v for v in frame[c]], float), m) for c in ("_head", "_tail"))
+            ok, slopes, _ = _slopes(_merged(head, tail)[2])
+            out = frame.loc[ok, [*keys, "date"]].copy()
             for i, c in enumerate(x):
-                out[f"beta_{c}"] = b[:, i]
+                out[f"beta_{c}"] = slopes[:, i]
             yield out
 
-    return sums.filter(F.col("n") >= window).mapInPandas(work, schema)
+    return both.mapInPandas(work, schema)
 
 
 def contributions(rows: DataFrame, betas: DataFrame, *keys: str, x: Sequence[str]) -> DataFrame:
