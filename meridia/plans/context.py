@@ -104,6 +104,22 @@ class Context:
             tuple(({new(s): v for s, v in of.items()}, q, c) for of, q, c in views),
         )
 
+    @staticmethod
+    def from_provider(
+        provider: Provider, weights: Mapping[str, float], benchmark: str, train_start: datetime.date, train_end: datetime.date, *, as_of: datetime.date | None = None, **options: object
+    ) -> Context:
+        """The context of what a provider has of the holdings and the benchmark up to ``as_of`` (today).
+
+        Options are those of ``from_prices``; the rate is the provider's where none is given.
+        """
+        if not weights:
+            raise ValueError("no holdings")
+        until = as_of or datetime.date.today()
+        if not train_start <= train_end < until:
+            raise ValueError(f"dates are out of order: {train_start}, {train_end}, {until}")
+        prices = provider.prices([*weights, benchmark], train_start, until - datetime.timedelta(days=1))
+        return Context.from_prices(prices, weights, benchmark, train_start, train_end, as_of=until, provider=provider, **options)
+
     def train_moments(self) -> tuple[DataFrame, DataFrame]:
         """(symbol, mu) and (i, j, cov, corr) of the train period, without the benchmark."""
         rows = self.train.filter(F.col("symbol") != self.benchmark)

@@ -10,6 +10,8 @@ from typing import Protocol, runtime_checkable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.sources.readers import register
+
 #: The rate that is taken where none can be had.
 DEFAULT_RATE = 0.02
 
@@ -49,6 +51,26 @@ class FileProvider:
         return float(row[0]) / 100
 
 
+class FolderProvider:
+    """A folder with a delimited file a symbol, read by a source of ours; ``rates`` is the symbol whose last price is the rate in percent."""
+
+    def __init__(self, spark: SparkSession, path: str, *, rates: str | None = None) -> None:
+        register(spark)
+        self.spark, self.path, self.rates = spark, path, rates
+
+    def prices(self, symbols: Sequence[str], start: datetime.date, end: datetime.date) -> DataFrame:
+        rows = self.spark.read.format("prices").load(self.path)
+        return rows.filter(F.col("symbol").isin(list(symbols))).filter(F.col("date") >= F.lit(start)).filter(F.col("date") <= F.lit(end))
+
+    def rate(self) -> float:
+        if self.rates is None:
+            raise RateUnavailable("no series of rates")
+        row = self.spark.read.format("prices").load(self.path).filter(F.col("symbol") == self.rates).agg(F.max_by("price", "date")).first()
+        if row[0] is None:
+            raise RateUnavailable(f"no rate in {self.rates}")
+        return float(row[0]) / 100
+
+
 class FrameProvider:
     """A frame that is there already."""
 
