@@ -72,6 +72,41 @@ def square_root_impact(coefficient: float) -> Cost:
     return lambda trades: F.aggregate(trades, F.lit(0.0), lambda s, x: s + coefficient * F.pow(F.abs(x), F.lit(1.5)))
 
 
+def _held(panel: DataFrame, targets: DataFrame, mode: str | int | None) -> DataFrame:
+    """(strategy, date, symbol, price, target, flag, base, held, worth, all_worth): what was held into each date since the last rebalance."""
+    if "eff_date" in targets.columns:
+        names = targets.select("strategy", "symbol").distinct()
+        rows = _changed(as_of_weights(panel.join(names, "symbol"), targets))
+    else:
+        rows = panel.join(targets.withColumnRenamed("weight", "target"), "symbol").select("strategy", "date", "symbol", "price", "target")
+        flags = rebalance_flags(rows.select("strategy", "date").distinct(), mode, "strategy")
+        rows = rows.join(flags, ["strategy", "date"])
+    day = Window.partitionBy("strategy", "date")
+    before = along("strategy", "symbol").rowsBetween(Window.unboundedPreceding, -1)
+    base = lambda x: F.last(F.when(F.col("flag"), F.col(x)), ignorenulls=True).over(before)
+    book = F.sum("target").over(day)
+    refused = F.raise_error(F.concat(F.lit("weights have to add up to more than 0: "), "strategy", F.lit(" on "), F.col("date").cast("string")))
+    rows = rows.withColumn("target", F.when(book > 1e-8, F.col("target")).otherwise(refused.cast("double")))
+    rows = rows.select("*", base("price").alias("base"), base("target").alias("held"))
+    rows = rows.select("*", (F.coalesce("held", F.lit(0.0)) * F.coalesce(F.try_divide(F.col("price"), F.col("base")), F.lit(0.0))).alias("worth"))
+    return rows.select("*", F.sum("worth").over(day).alias("all_worth"))
+
+
+def weight_history(panel: DataFrame, targets: DataFrame, mode: str | int | None = "M") -> DataFrame:
+    """(strategy, date, symbol, weight) of static targets or a schedule: the target on a rebalance, else the share that it has drifted to."""
+    rows = _held(panel, targets, mode)
+    return rows.select("strategy", "date", "symbol", F.when(F.col("flag"), F.col("target")).otherwise(F.coalesce(F.try_divide("worth", "all_worth"), F.lit(0.0))).alias("weight"))
+
+
+def summary(wealth: DataFrame, blotter: DataFrame, initial: float = 1.0) -> DataFrame:
+    """(strategy, terminal_wealth, total_return, max_drawdown, rebalances, avg_turnover, cost_drag) of a simulation."""
+    peak = F.max("value").over(so_far("strategy"))
+    falls = wealth.select("strategy", "date", "value", (F.col("value") / peak - 1).alias("dd"))
+    ends = falls.groupBy("strategy").agg(F.max_by("value", "date").alias("terminal_wealth"), F.min("dd").alias("max_drawdown"))
+    costs = cost_drag(blotter).select("strategy", "rebalances", (F.col("turnover") / F.col("rebalances")).alias("avg_turnover"), "cost_drag")
+    return ends.join(costs, "strategy").select("strategy", "terminal_wealth", (F.col("terminal_wealth") / initial - 1).alias("total_return"), "max_drawdown", "rebalances", "avg_turnover", "cost_drag")
+
+
 def simulate(
     panel: DataFrame,
     targets: DataFrame,
@@ -90,21 +125,10 @@ def simulate(
     says when to rebalance. wealth: strategy, date, value, turnover. blotter: strategy,
     date, turnover, cost_frac of each rebalance. ``cost_model`` gives the cost of what is
     traded both ways in place of commission and spread; ``impact`` that of the array of
-    trades on top of either.
+    trades on top of either. Targets of a date that don't add up to more than 0 make the
+    query fail, as shares of such a book have no meaning.
     """
-    if "eff_date" in targets.columns:
-        names = targets.select("strategy", "symbol").distinct()
-        rows = _changed(as_of_weights(panel.join(names, "symbol"), targets))
-    else:
-        rows = panel.join(targets.withColumnRenamed("weight", "target"), "symbol").select("strategy", "date", "symbol", "price", "target")
-        flags = rebalance_flags(rows.select("strategy", "date").distinct(), mode, "strategy")
-        rows = rows.join(flags, ["strategy", "date"])
-    before = along("strategy", "symbol").rowsBetween(Window.unboundedPreceding, -1)
-    base = lambda x: F.last(F.when(F.col("flag"), F.col(x)), ignorenulls=True).over(before)
-    rows = rows.select("*", base("price").alias("base"), base("target").alias("held"))
-    rows = rows.select("*", (F.coalesce("held", F.lit(0.0)) * F.coalesce(F.try_divide(F.col("price"), F.col("base")), F.lit(0.0))).alias("worth"))
-    day = Window.partitionBy("strategy", "date")
-    rows = rows.select("*", F.sum("worth").over(day).alias("all_worth"))
+    rows = _held(panel, targets, mode)
     drifted = F.coalesce(F.try_divide("worth", "all_worth"), F.lit(0.0))
     daily = rows.groupBy("strategy", "date").agg(
         F.first("flag").alias("flag"),

@@ -14,11 +14,12 @@ from meridia.plans.panel import TRADING_DAYS
 def paths(spark: SparkSession, mu: float, vol: float, *, sims: int = 1000, days: int = 252, initial: float = 10_000.0, shock: float = 0.0, seed: int = 42) -> DataFrame:
     """(sim_id, day, value) of geometric Brownian motion; ``shock`` falls on the first day.
 
-    A step's draw depends on the seed, path and day alone (Box and Muller on two hashes),
-    so the result is the same for any number of partitions and after a lost task.
+    A step's draw depends on the seed, path and day alone (Box and Muller on two MD5 hashes),
+    so the result is the same for any number of partitions, after a lost task and in other engines.
     """
     sd, drift = vol / math.sqrt(TRADING_DAYS), mu / TRADING_DAYS
-    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "sim_id", "day"), 11) + 0.5) / 2.0**53
+    digits = lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.col("sim_id").cast("string"), F.col("day").cast("string")).cast("binary"))
+    unit = lambda k: (F.conv(F.substring(digits(k), 1, 13), 16, 10).cast("long") + 0.5) / 2.0**52
     z = F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * math.pi * unit(2))
     steps = spark.range(sims).select(F.col("id").alias("sim_id"), F.explode(F.sequence(F.lit(0), F.lit(days))).alias("day"))
     step = F.when(F.col("day") == 0, 0.0).otherwise(drift - sd * sd / 2 + sd * z + F.when(F.col("day") == 1, math.log1p(shock)).otherwise(0.0))

@@ -75,6 +75,8 @@ class Backtest:
     wealth: DataFrame
     blotter: DataFrame
     n_trials: int
+    #: (strategy, date, symbol, weight) as they drift between rebalances.
+    weights: DataFrame
 
     @property
     def returns(self) -> DataFrame:
@@ -88,6 +90,9 @@ class Backtest:
     def statistics(self) -> DataFrame:
         return oos.sharpe_probabilities(self.returns, "strategy", n_trials=self.n_trials)
 
+    def summary(self) -> DataFrame:
+        return engine.summary(self.wealth, self.blotter)
+
     def drawdowns(self) -> DataFrame:
         return series.drawdown_curve(self.wealth, "strategy")
 
@@ -101,9 +106,7 @@ def backtest(strategies: Mapping[str, Strategy], panel: DataFrame, *, mode: str
         targets = strategy(panel).withColumn("strategy", F.lit(name))
         (dated if "eff_date" in targets.columns else static).append(targets)
     runs = []
-    if static:
-        runs.append(engine.simulate(panel, reduce(DataFrame.unionByName, static), mode=mode, **costs))
-    if dated:
-        runs.append(engine.simulate(panel, reduce(DataFrame.unionByName, dated), **costs))
-    wealth, blotter = (reduce(DataFrame.unionByName, x) for x in zip(*runs, strict=True))
-    return Backtest(wealth, blotter, len(strategies))
+    for targets in (reduce(DataFrame.unionByName, x) for x in (static, dated) if x):
+        runs.append((*engine.simulate(panel, targets, mode=mode, **costs), engine.weight_history(panel, targets, mode)))
+    wealth, blotter, weights = (reduce(DataFrame.unionByName, x) for x in zip(*runs, strict=True))
+    return Backtest(wealth, blotter, len(strategies), weights)

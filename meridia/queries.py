@@ -456,6 +456,26 @@ def backtest_metrics(spark, sf):
     return _backtest(spark, sf).metrics()
 
 
+@query(
+    "scheduled_weights", "strategy date symbol", "weight",
+    f"WITH {WEEK}, {_POS}, {_FOLLOWED} SELECT 'momentum' AS strategy, pr.date, symbol, CASE WHEN pr.flag THEN target ELSE w * ratio / v.v END AS weight FROM pr JOIN v ON v.date = pr.date",
+)
+def scheduled_weights(spark, sf):
+    """Shares of the momentum schedule as they drift between its changes."""
+    return engine.weight_history(P.week_panel(spark, sf), _momentum_schedule(spark, sf).select(F.lit("momentum").alias("strategy"), "eff_date", "symbol", "weight"))
+
+
+@query(
+    "backtest_summary", "strategy rebalances", "terminal_wealth total_return max_drawdown avg_turnover cost_drag",
+    f"""WITH {WEEK}, {EQUAL}, {SALES}, {_MANY}, wd AS (SELECT strategy, date, value, value / max(value) OVER (PARTITION BY strategy ORDER BY date {TO_NOW}) - 1 AS dd FROM wealth),
+a AS (SELECT strategy, arg_max(value, date) AS terminal_wealth, min(dd) AS max_drawdown FROM wd GROUP BY 1),
+c AS (SELECT f.strategy, count(*) AS rebalances, avg(two_way / 2) AS avg_turnover, 1 - exp(sum(ln(1 - cf))) AS cost_drag FROM f JOIN tr ON tr.date = f.date AND tr.strategy = f.strategy WHERE flag GROUP BY 1)
+SELECT a.*, terminal_wealth - 1 AS total_return, rebalances, avg_turnover, cost_drag FROM a JOIN c ON c.strategy = a.strategy""",
+)
+def backtest_summary(spark, sf):
+    return _backtest(spark, sf).summary()
+
+
 @query("strategy_backtests", "strategy n_obs", "cagr ann_vol sharpe max_drawdown")
 def strategy_backtests(spark, sf):
     """Every strategy of the library at once; solvers and schedules are beyond SQL."""
@@ -940,9 +960,22 @@ def return_distribution(spark, sf):
     return plotdata.distribution(_returns(spark, sf, "ship"), "symbol")
 
 
-@query("simulated_paths")
+_UNIT = "(('0x' || substr(md5('42:{k}:' || sim || ':' || day), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE"
+
+
+@query(
+    "simulated_paths", "day", "p05 p25 p50 p75 p95",
+    f"""WITH {SHIP}, pm AS (SELECT avg(r) * 252 AS mu, stddev_samp(r) * sqrt(252) AS vol FROM (SELECT date, avg(log_ret) AS r FROM rets WHERE log_ret IS NOT NULL GROUP BY 1)),
+st AS (SELECT sim, day, CASE WHEN day = 0 THEN 0 ELSE mu / 252 - vol * vol / 504 + vol / sqrt(252) * sqrt(-2 * ln({_UNIT.format(k=1)})) * cos(2 * pi() * {_UNIT.format(k=2)}) END AS x FROM (SELECT unnest(range(1000)) AS sim) CROSS JOIN (SELECT unnest(range(253)) AS day) CROSS JOIN pm),
+pv AS (SELECT day, 10000 * exp(sum(x) OVER (PARTITION BY sim ORDER BY day)) AS value FROM st)
+SELECT CAST(day AS INT) AS day, {', '.join(f'quantile_cont(value, {q}) AS p{int(q * 100):02d}' for q in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM pv GROUP BY 1""",
+    digits=3,
+)
 def simulated_paths(spark, sf):
-    return simulate.bands(simulate.paths(spark, 0.08, 0.16))
+    """A thousand years at the return and volatility of the equally weighted daily panel."""
+    daily = _returns(spark, sf, "ship").filter("log_ret IS NOT NULL").groupBy("date").agg(F.avg("log_ret").alias("r"))
+    row = daily.agg((F.avg("r") * 252).alias("mu"), (F.stddev_samp("r") * 252**0.5).alias("vol")).first()
+    return simulate.bands(simulate.paths(spark, row.mu, row.vol))
 
 
 def _paths(spark, sf):
