@@ -156,31 +156,44 @@ def optimization(analysis: Analysis, *, caps: DataFrame | None = None) -> Sectio
     rolled = series.rolling(rets, "strategy", window=60, rf=context.rate).filter("roll_sharpe IS NOT NULL")
     curve = series.drawdown_curve(values, "strategy", value="price")
     edge = optimize.frontier(train)
+    held, sectors, by_sector = plotdata.composition(weights), plotdata.sector_allocation(weights, _sectors(context)), plotdata.sector_risk(shares, _sectors(context))
+    cloud, curve_of = optimize.cloud(train), edge.select(F.col("target").alias("ret"), "vol").distinct()
+    expected = weights.join(moments.mean_returns(train), "symbol").groupBy("strategy").agg(F.sum(F.col("weight") * F.col("mu")).alias("ret"))
+    marks = expected.join(moments.forecast_vol(weights, cov), "strategy").select(F.col("strategy").alias("name"), "ret", "vol")
+    months = series.month_table(rets.filter("ret IS NOT NULL"), "strategy").select("strategy", "year", *(f"m{i:02d}" for i in range(1, 13)))
+    names = sorted(r[0] for r in weights.select("strategy").distinct().collect())
     out = [
-        ("Optimised portfolios", report.table(plotdata.composition(weights).orderBy("strategy", F.desc("weight")))),
-        ("Sectors of the portfolios", report.table(plotdata.sector_allocation(weights, _sectors(context)).orderBy("strategy", "sector"))),
-        ("Risk contributions", report.table(shares.orderBy("strategy", "symbol"))),
-        ("Risk by sector", report.table(plotdata.sector_risk(shares, _sectors(context)).orderBy("strategy", "sector"))),
+        ("Optimised portfolios", report.pies(held, "strategy", "symbol", "weight") + report.table(held.orderBy("strategy", F.desc("weight")))),
+        ("Sectors of the portfolios", report.pies(sectors, "strategy", "sector", "weight") + report.table(sectors.orderBy("strategy", "sector"))),
+        ("Risk contributions", report.stacked_bars(shares, "strategy", "symbol", "share") + report.table(shares.orderBy("strategy", "symbol"))),
+        ("Risk by sector", report.stacked_bars(by_sector, "strategy", "sector", "share") + report.table(by_sector.orderBy("strategy", "sector"))),
         ("In-sample metrics", report.table(metrics.summary_metrics(rets, "strategy", rf=context.rate).orderBy("strategy"))),
         ("Cost of transition", report.table(engine.transition_cost(context.weight_table().drop("strategy"), weights))),
         ("Capture ratios", report.table(series.capture_ratios(rets.join(bench, "date"), "strategy").orderBy("strategy"))),
         ("Growth by method", report.lines(values, "strategy", "price")),
         ("Drawdown by method", report.lines(curve, "strategy", "dd")),
         ("Rolling Sharpe by method", report.lines(rolled, "strategy", "roll_sharpe")),
-        ("Efficient frontier", report.table(edge.select("target", "vol").distinct().orderBy("target"))),
-        ("Random portfolios", report.table(optimize.cloud(train).orderBy(F.desc("sharpe")).limit(20))),
+        ("Efficient frontier", report.scatter(cloud, "vol", "ret", "sharpe", curve=curve_of, marks=marks) + report.table(curve_of.orderBy("ret"))),
+        ("Random portfolios", report.table(cloud.orderBy(F.desc("sharpe")).limit(20))),
+        ("Monthly returns by method", "".join(f"<h3>{m}</h3>" + report.heatmap(months.filter(F.col("strategy") == m).drop("strategy"), "year", [f"m{i:02d}" for i in range(1, 13)]) for m in names)),
+        ("Portfolios within standard limits", report.table(context.standard_portfolios().orderBy("strategy", "symbol"))),
     ]
     if caps is not None and context.views:
         market = moments.market_weights(caps)
         found = optimize.posterior(cov, market, context.views)
         out += [
-            ("Returns by the views", report.table(plotdata.posterior_shift(found).orderBy("place"))),
+            ("Returns by the views", report.stacked_bars(_pairs(found, "prior", "posterior"), "symbol", "kind", "value") + report.table(plotdata.posterior_shift(found).orderBy("place"))),
             ("Impact of the views", report.bars(plotdata.posterior_shift(found).orderBy("shift"), "symbol", "shift")),
-            ("Weights by the views", report.table(plotdata.posterior_weights(found, market))),
+            ("Weights by the views", report.stacked_bars(_pairs(plotdata.posterior_weights(found, market), "market", "weight"), "symbol", "kind", "value") + report.table(plotdata.posterior_weights(found, market))),
         ]
     return out
 
 
+def _pairs(frame: DataFrame, *columns: str) -> DataFrame:
+    """(symbol, kind, value): columns of a frame as rows."""
+    return frame.selectExpr("symbol", f"stack({len(columns)}, {', '.join(f'{c!r}, {c}' for c in columns)}) AS (kind, value)")
+
+
 def validated(analysis: Analysis, *, methods: Sequence[str] = ("equal_weight", "min_variance", "max_sharpe"), train_days: int = 365, step_days: int = 90) -> Sections:
     """The train's weights on either side of the split, and windows rolled over the whole panel."""
     context = analysis.context
@@ -201,6 +214,8 @@ def validated(analysis: Analysis, *, methods: Sequence[str] = ("equal_weight", "
     ]
 
 
+#: Single paths that a chart of simulations shows behind its bands.
+DRAWN = 30
 TARGETS, STRESSES = (0.05, 0.10, 0.20, 0.50), (-0.10, -0.20)
 
 
@@ -218,17 +233,17 @@ def monte_carlo_tables(analysis: Analysis, *, sims: int = 5000, days: int = 252,
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     return {
         "metrics": simulate.simulation_metrics(ends), "probabilities": simulate.success_probabilities(ends), "survival": plotdata.survival(ends), "histogram": simulate.histogram(ends),
-        "bands": simulate.bands(base), "targets": union(reached), "stress": union(stressed),
+        "bands": simulate.bands(base), "paths": base.filter(F.col("sim_id") < DRAWN), "targets": union(reached), "stress": union(stressed),
     }
 
 
 def monte_carlo(analysis: Analysis, **options: float) -> Sections:
     tables = monte_carlo_tables(analysis, **options)
     bands = tables["bands"].orderBy("day").collect()
-    lines = {c: [r[c] for r in bands] for c in ("p05", "p25", "p50", "p75", "p95")}
+    few = [r.path for r in tables["paths"].groupBy("sim_id").agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("v")).select(F.col("v.value").alias("path")).collect()]
     survival = [r.prob for r in tables["survival"].orderBy("threshold").collect()]
     rest = [(f"Simulated {k}", report.table(tables[k])) for k in ("metrics", "probabilities", "histogram", "targets", "stress")]
-    return [("Simulated paths", report.line_chart(lines)), ("Probability of a return", report.line_chart({"prob": survival})), *rest]
+    return [("Simulated paths", report.fan(bands, ("p05", "p95"), ("p25", "p75"), "p50", paths=few)), ("Probability of a return", report.line_chart({"prob": survival})), *rest]
 
 
 def weights_over_time(panel: DataFrame, targets: DataFrame, mode: str | int | None = "M") -> DataFrame:
@@ -245,9 +260,12 @@ def weights_over_time(panel: DataFrame, targets: DataFrame, mode: str | int | No
 def backtest(result: strategies.Backtest, *, window: int = 63) -> Sections:
     rets = result.returns
     rolled = series.rolling(rets, "strategy", window=window).filter("roll_vol IS NOT NULL")
+    names = [html.escape(r[0]) for r in result.wealth.select("strategy").distinct().orderBy("strategy").collect()]
     return [
+        ("Summary", report.table(result.summary().orderBy("strategy"))),
         ("Wealth", report.lines(result.wealth, "strategy", "value")),
         ("Drawdown", report.lines(result.drawdowns(), "strategy", "dd")),
+        ("Weights over time", "".join(f"<h3>{s}</h3>" + report.stacked_areas(result.weights.filter(F.col("strategy") == s), "symbol", "weight") for s in names)),
         ("Turnover", report.lines(result.blotter, "strategy", "turnover")),
         ("Rolling volatility", report.lines(rolled, "strategy", "roll_vol")),
         ("Rolling Sharpe", report.lines(rolled.filter("roll_sharpe IS NOT NULL"), "strategy", "roll_sharpe")),

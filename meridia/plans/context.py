@@ -5,12 +5,14 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.solvers import Limits, sector_limits
 from meridia.operators.moments import covariance, mean_returns
+from meridia.operators.optimize import optimized
 from meridia.plans.panel import filled, spine, with_returns
 from meridia.sources.providers import Provider, rate_or_default
 
@@ -127,12 +129,23 @@ class Context:
 
     def constraint_sets(self) -> dict[str, Callable[[list[str]], Limits]]:
         """Limits that optimisers are run with: none, 40 % a symbol, and the sectors' caps and mins."""
+        sectors, caps, mins = self.sectors, self.sector_caps, self.sector_mins  # tasks get these alone
         return {
             "unconstrained": lambda symbols: Limits(len(symbols)),
             "balanced": lambda symbols: Limits(len(symbols), high=max(0.40, 1 / max(1, len(symbols)))),
-            "sectors": lambda symbols: sector_limits(symbols, self.sectors, caps=self.sector_caps, mins=self.sector_mins),
+            "sectors": lambda symbols: sector_limits(symbols, sectors, caps=caps, mins=mins),
         }
 
+    def standard_portfolios(self) -> DataFrame:
+        """(strategy, symbol, weight) of the train period: equal weights, least variance and best Sharpe without limits, best Sharpe within 40 % a symbol, and where there are any within the sectors' limits."""
+        rows = self.train.filter(F.col("symbol") != self.benchmark).withColumn("_all", F.lit(1))
+        sets = self.constraint_sets()
+        runs = [("unconstrained", {"equal_weight": "equal", "min_variance": "min_vol", "max_sharpe": "max_sharpe"}), ("balanced", {"max_sharpe": "balanced"})]
+        if self.sectors and (self.sector_caps or self.sector_mins):
+            runs.append(("sectors", {"max_sharpe": "sector"}))
+        of = lambda name, methods: optimized(rows, "_all", list(methods), limiter=sets[name]).select(F.element_at(F.create_map(*(F.lit(x) for m in methods.items() for x in m)), F.col("strategy")).alias("strategy"), "symbol", "weight")
+        return reduce(DataFrame.unionByName, (of(*run) for run in runs))
+
     def weight_table(self, strategy: str = "portfolio") -> DataFrame:
         return self.panel.sparkSession.createDataFrame([(strategy, s, float(w)) for s, w in self.weights.items()], "strategy string, symbol string, weight double")
 

@@ -65,8 +65,29 @@ def test_factor_sections(spark, analysis):
 def test_optimization_sections(spark, analysis):
     caps = spark.createDataFrame([("A", 3.0), ("B", 1.0), ("C", None)], "symbol string, cap double")
     found = dict(assemblers.optimization(analysis, caps=caps))
-    assert len(found) == 15 and all(m in found["Optimised portfolios"] for m in optimize.METHODS)
-    assert len(assemblers.optimization(analysis)) == 12
+    assert len(found) == 17 and all(m in found["Optimised portfolios"] for m in optimize.METHODS)
+    assert len(assemblers.optimization(analysis)) == 14
+    assert found["Optimised portfolios"].count("<figure") == len(optimize.METHODS) + 1 == found["Sectors of the portfolios"].count("<figure")
+    assert found["Risk contributions"].count("<rect") >= 2 * len(optimize.METHODS) and found["Risk by sector"].count("<rect") >= len(optimize.METHODS)
+    assert found["Efficient frontier"].count("<circle") == 2500 and found["Efficient frontier"].count("<polyline") == 1 and found["Efficient frontier"].count("&#9670;") == len(optimize.METHODS) + 1
+    assert found["Monthly returns by method"].count("<h3") == len(optimize.METHODS) + 1 and found["Returns by the views"].count("<rect") == 6
+    weights = {}
+    for r in analysis.context.standard_portfolios().collect():
+        weights.setdefault(r.strategy, {})[r.symbol] = r.weight
+    assert set(weights) == {"equal", "min_vol", "max_sharpe", "balanced", "sector"} and max(weights["balanced"].values()) <= 0.4 + 1e-8
+    assert all(sum(w.values()) == pytest.approx(1) for w in weights.values()) and weights["sector"]["A"] + weights["sector"]["B"] <= 0.7 + 1e-8
+
+
+def test_charts(spark):
+    frame = spark.createDataFrame([(d, s, v) for d in range(3) for s, v in (("a", 0.5), ("b<", 0.5), ("c", -0.1))], "date int, s string, v double")
+    assert report.stacked_areas(frame, "s", "v").count("<polygon") == 3 and "b&lt;" in report.stacked_areas(frame, "s", "v")
+    assert report.stacked_bars(frame, "date", "s", "v").count("<rect") == 9 and 'opacity="0.4"' in report.stacked_bars(frame, "date", "s", "v")
+    assert report.pies(frame, "date", "s", "v").count("<path") == 6  # what is below 0 has no slice
+    assert report.pies(frame.filter("s = 'a'"), "date", "s", "v").count("<circle") == 3
+    for chart in (report.stacked_areas(frame.limit(0), "s", "v"), report.stacked_bars(frame.limit(0), "date", "s", "v"), report.pies(frame.limit(0), "date", "s", "v"), report.scatter(frame.limit(0).selectExpr("v", "v AS w", "v AS c"), "v", "w", "c"), report.fan([], ("a", "b"), ("a", "b"), "a")):
+        assert chart == "<p>no data</p>"
+    assert "5 of 9 rows shown" in report.table(frame, most=5) and "rows shown" not in report.table(frame, most=9)
+    assert "4 of 9 rows shown" in report.lines(frame, "s", "v", most=4)
 
 
 def test_validation_sections(analysis):
@@ -89,6 +110,7 @@ def test_backtest_sections(spark, tmp_path):
     result = strategies.backtest({"a": strategies.fixed({"A": 0.5, "B": 0.5}), "b": strategies.solved("min_variance")}, panel(spark, 200), commission_bps=1.0)
     sections = assemblers.backtest(result)
     assert headings(sections)[-1] == "Comparison of strategies" and dict(sections)["Wealth"].count("<polyline") == 2
+    assert dict(sections)["Weights over time"].count("<polygon") == 5 and dict(sections)["Summary"].count("<tr>") == 3
     assemblers.write(str(tmp_path / "b.html"), "Backtest <1>", sections + sections)
     page = (tmp_path / "b.html").read_text()
     assert page.count("<h2") == len(sections) and "Backtest &lt;1&gt;" in page
