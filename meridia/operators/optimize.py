@@ -266,6 +266,33 @@ def budgeted(returns: DataFrame, budget: Mapping[str, float], *, value: str = "l
     return _whole(pair_sums(returns.filter(F.col("symbol").isin(list(budget))), value=value)).applyInPandas(solve, "symbol string, weight double, share double")
 
 
+#: The symbol of a benchmark among holdings, before all others.
+BENCHMARK = "\x00benchmark"
+
+
+def tracking(returns: DataFrame, benchmark: DataFrame, *, value: str = "ret", limiter: Limiter | None = None, periods: int = TRADING_DAYS) -> DataFrame:
+    """(symbol, weight, tracking_error): the weights within limits whose returns stray least from a benchmark's (date, bench).
+
+    The benchmark is one more row and column of the pair sums, so the variance of the
+    difference is a quadratic program on sums; dates without a value of it or of any
+    symbol are left out.
+    """
+    own = returns.select("date", "symbol", F.col(value).alias("x"))
+    both = own.unionByName(benchmark.select("date", F.lit(BENCHMARK).alias("symbol"), F.col("bench").alias("x"))).filter("x IS NOT NULL")
+    every = F.broadcast(both.agg(F.countDistinct("symbol").alias("_every")))  # a row
+    both = both.withColumn("_there", F.count(F.lit(1)).over(Window.partitionBy("date"))).join(every, F.lit(True)).filter("_there = _every").select("date", "symbol", "x")
+    sums = outer_sums(_near_zero(both))
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        names, _, cov = moments_of(frame, periods)
+        symbols, cov_held, cov_bench = names[1:], cov[1:, 1:], cov[1:, 0]
+        w = solvers.solve_qp(cov_held, -cov_bench, limiter(symbols) if limiter else solvers.Limits(len(symbols)))
+        stray = w @ cov_held @ w - 2 * w @ cov_bench + cov[0, 0]
+        return pd.DataFrame({"symbol": symbols, "weight": w, "tracking_error": float(np.sqrt(max(stray, 0.0)))})
+
+    return _whole(sums).applyInPandas(solve, "symbol string, weight double, tracking_error double")
+
+
 def frontier(returns: DataFrame, *, points: int = 50, value: str = "log_ret") -> DataFrame:
     """(target, vol, symbol, weight) of least variance along the efficient frontier."""
 

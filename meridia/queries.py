@@ -645,6 +645,26 @@ def two_asset_sharpe(spark, sf):
     return optimize.optimized(_paired(spark, sf), "pair", ["max_sharpe"])
 
 
+@query(
+    "two_asset_tracking", "symbol", "weight tracking_error",
+    f"""WITH {WEEK}, {BENCH}, p AS (SELECT a.date, a.ret AS a, b.ret AS b, a.bench FROM rb a JOIN rb b ON a.date = b.date WHERE a.symbol = '1-URGENT' AND b.symbol = '2-HIGH' AND a.ret IS NOT NULL AND b.ret IS NOT NULL AND a.bench IS NOT NULL),
+w AS (SELECT least(greatest(covar_samp(a - b, bench - b) / var_samp(a - b), 0), 1) AS w FROM p),
+t AS (SELECT w, stddev_samp(w * a + (1 - w) * b - bench) * sqrt(252) AS te FROM p CROSS JOIN w GROUP BY 1)
+SELECT '1-URGENT' AS symbol, w AS weight, te AS tracking_error FROM t UNION ALL SELECT '2-HIGH', 1 - w, te FROM t""",
+    digits=5,
+)
+def two_asset_tracking(spark, sf):
+    """The pair's weights that are nearest to the mean price of all orders."""
+    rows = _with_bench(spark, sf)
+    return optimize.tracking(rows.filter("symbol IN ('1-URGENT', '2-HIGH')"), rows.select("date", "bench").distinct())
+
+
+@query("tracking_weights")
+def tracking_weights(spark, sf):
+    rows = _with_bench(spark, sf)
+    return optimize.tracking(rows, rows.select("date", "bench").distinct())
+
+
 @query(
     "risk_budgets", "symbol", "weight share",
     f"""WITH {WEEK}, {_PAIRS}, {_ONE_PAIR}, r AS (SELECT *, ((0.7 - 0.5) * sij - 0.7 * sjj + sqrt(sii * sjj) * sqrt(0.04 * sij * sij / (sii * sjj) + 0.7 * 0.3)) / (0.3 * sii - 0.7 * sjj + 2 * 0.2 * sij) AS w FROM pr)

@@ -229,3 +229,42 @@ def test_validation_uses_what_the_advice_uses(spark, method):
     if method == "min_variance":
         shrunk = recommend.walk_forward(prices, method, estimator="ledoit_wolf", **options).first()
         assert shrunk.oos_sharpe != plain.oos_sharpe and shrunk.baseline_sharpe == pytest.approx(plain.baseline_sharpe)
+
+
+def test_tracking(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.01, (80, 3))
+    bench = x @ [0.2, 0.5, 0.3] + rng.normal(0, 1e-4, 80)
+    returns = spark.createDataFrame([(DAYS[i], "ABC"[j], float(x[i, j])) for i in range(80) for j in range(3) if (i, j) != (5, 1)], "date date, symbol string, ret double")
+    marks = spark.createDataFrame([(DAYS[i], float(bench[i])) for i in range(79)], "date date, bench double")
+    got = optimize.tracking(returns, marks).collect()
+    kept = [i for i in range(79) if i != 5]
+    w = np.array([r.weight for r in sorted(got, key=lambda r: r.symbol)])
+    assert w == pytest.approx([0.2, 0.5, 0.3], abs=0.02) and w.sum() == pytest.approx(1)
+    assert got[0].tracking_error == pytest.approx((x[kept] @ w - bench[kept]).std(ddof=1) * math.sqrt(252), rel=1e-9)
+    for v in rng.dirichlet(np.ones(3), 500):
+        assert (x[kept] @ v - bench[kept]).std() >= (x[kept] @ w - bench[kept]).std() - 1e-12
+    capped = optimize.tracking(returns, marks, limiter=lambda s: solvers.Limits(len(s), high=0.4)).collect()
+    assert max(r.weight for r in capped) == pytest.approx(0.4)
+
+
+def test_books_without_a_sum_and_weights_over_time(spark):
+    from meridia.operators import engine
+
+    prices = panel(spark, 50)
+    short = spark.createDataFrame([("s", "A", 1.0), ("s", "B", -1.0)], "strategy string, symbol string, weight double")
+    with pytest.raises(Exception, match="more than 0: s"):
+        engine.simulate(prices, short)[0].collect()
+    schedule = spark.createDataFrame([("s", DAYS[10], "A", 0.5), ("s", DAYS[10], "B", 0.5), ("s", DAYS[30], "A", 1.0)], "strategy string, eff_date date, symbol string, weight double")
+    rows = engine.weight_history(prices, schedule).collect()
+    weight = {(r.date, r.symbol): r.weight for r in rows}
+    price = {(r.date, r.symbol): r.price for r in prices.collect()}
+    for d in DAYS[10:30]:
+        a, b = (0.5 * price[d, s] / price[DAYS[10], s] for s in "AB")
+        assert weight[d, "A"] == pytest.approx(a / (a + b)) and weight[d, "A"] + weight[d, "B"] == pytest.approx(1)
+    assert weight[DAYS[30], "A"] == 1 == pytest.approx(weight[DAYS[49], "A"]) and min(d for d, _ in weight) == DAYS[10]
+    wealth, blotter = engine.simulate(prices, schedule, commission_bps=5.0)
+    row = engine.summary(wealth, blotter).first()
+    values = [r.value for r in wealth.orderBy("date").collect()]
+    assert row.terminal_wealth == pytest.approx(values[-1]) and row.rebalances == 2
+    assert row.max_drawdown == pytest.approx(min(v / max(values[: i + 1]) - 1 for i, v in enumerate(values)))
