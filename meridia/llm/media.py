@@ -99,11 +99,15 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("no BMP image")
     offset, size, width, height, _, depth, compression, _, _, _, colours = struct.unpack_from("<IIiiHHIIiiI", data, 10)
-    if compression not in (0, 3) or depth not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    if depth not in {0: (1, 4, 8, 16, 24, 32), 3: (16, 32)}.get(compression, ()) or width <= 0 or height == 0:
         raise ValueError("BMP kind not supported")
     rows, stride = abs(height), (width * depth + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
     raw = raw[::-1] if height > 0 else raw
+    if compression == 3 or depth == 16:
+        # fields of bits: those that the file names after the header, or five bits a colour
+        masks = struct.unpack_from("<III", data, 54) if compression == 3 else (0x7C00, 0x03E0, 0x001F)
+        return _fields(raw[:, : width * depth // 8].copy().view(f"<u{depth // 8}"), masks)
     if depth >= 24:
         return raw[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
     if depth == 8:
@@ -115,6 +119,19 @@ def decode_bmp(data: bytes) -> np.ndarray:
     return palette[index][:, :, 2::-1]
 
 
+def _fields(pixels: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """(rows, columns, 3) of 8 bits from each pixel's fields; a mask of 0 is black."""
+    out = np.zeros((*pixels.shape, 3), np.uint8)
+    for i, mask in enumerate(masks):
+        low = mask & -mask
+        if low:
+            most = mask // low
+            if most & (most + 1):
+                raise ValueError("a BMP mask has gaps")
+            out[:, :, i] = ((pixels & mask) // low * 255 + most // 2) // most
+    return out
+
+
 def encode_bmp(samples: np.ndarray) -> bytes:
     """A 24-bit BMP, bottom row first."""
     height, width = samples.shape[:2]

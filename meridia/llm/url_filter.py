@@ -20,6 +20,7 @@ named columns are read, so further columns don't matter.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -91,7 +92,7 @@ def host_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return links.filter("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 60, cut_every: int = 4, tolerance: float = 1e-4, hub: int = 10_000) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, cut_every: int = 4, tolerance: float = 1e-4, hub: int = 10_000) -> DataFrame:
     """Personalised PageRank: (kind, host, score), for all kinds of seed at once.
 
     ``edges``: kind, src, dst, weight. ``seeds``: kind, host, mass. Edges are shared out
@@ -100,9 +101,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     reaches a host without edges is not passed on. The sum of a kind is its mass at most.
 
     Ranks are written every ``cut_every`` rounds; once these have moved less than ``tolerance``
-    of all mass, or after ``rounds``, it ends. The edges of a host with more than ``hub``
+    of all mass it ends. A round moves at most ``damping`` of what the one before did, so
+    without ``rounds`` there are enough for this; if those given don't suffice it is an error. The edges of a host with more than ``hub``
     are dealt to so many parts, and its score to each of them, so no task gets them all.
     """
+    if rounds is None:
+        rounds = math.ceil(math.log(tolerance / 2) / math.log(damping)) + 2 * cut_every
     start = written(seeds.select("kind", "host", F.col("mass").alias("score")), "seeds")
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out_weight"), F.ceil(F.count(F.lit(1)) / hub).cast("int").alias("parts"))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(0).cast("int").alias("part")
@@ -129,6 +133,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
             if moved <= tolerance * mass:
                 break
             last = scores
+    else:
+        raise ValueError(f"ranks still move after {rounds} rounds")
     return scores
 
 

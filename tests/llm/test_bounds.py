@@ -300,3 +300,33 @@ def test_hubs_and_convergence(spark):
 def test_long_html_is_linear(spark):
     pages = spark.createDataFrame([(0, "http://a.net/" + "x" * 100_000, "<a " * 200_000)], "page_id long, url string, html string")
     assert url_filter.op2_url_filters(pages).first().host == "a.net"
+
+
+def bit_field_bmp(pixels, depth, masks=None):
+    """A BMP of rows of numbers, top row last, with masks after its header if they are given."""
+    import struct
+
+    width, stride = len(pixels[0]), (len(pixels[0]) * depth + 31) // 32 * 4
+    rows = b"".join(struct.pack(f"<{width}{'H' if depth == 16 else 'I'}", *r).ljust(stride, b"\0") for r in reversed(pixels))
+    extra = struct.pack("<III", *masks) if masks else b""
+    head = struct.pack("<2sIHHI", b"BM", 54 + len(extra) + len(rows), 0, 0, 54 + len(extra))
+    return head + struct.pack("<IiiHHIIiiII", 40, width, len(pixels), 1, depth, 3 if masks else 0, len(rows), 0, 0, 0, 0) + extra + rows
+
+
+def test_bit_fields_of_bmp():
+    from meridia.llm import media
+
+    swapped = bit_field_bmp([[0x000000FF, 0x0000FF00, 0x00FF0000]], 32, (0x000000FF, 0x0000FF00, 0x00FF0000))
+    assert media.decode(swapped).tolist() == [[[255, 0, 0], [0, 255, 0], [0, 0, 255]]]
+    usual = bit_field_bmp([[0x000000FF], [0x00FF0000]], 32, (0x00FF0000, 0x0000FF00, 0x000000FF))
+    assert media.decode(usual).tolist() == [[[0, 0, 255]], [[255, 0, 0]]]
+    five_six = bit_field_bmp([[0xF800, 0x07E0, 0x001F, 0xFFFF, 0x8000]], 16, (0xF800, 0x07E0, 0x001F))
+    assert media.decode(five_six).tolist() == [[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255], [132, 0, 0]]]
+    assert media.decode(bit_field_bmp([[0x7C00, 0x03E0, 0x001F]], 16)).tolist() == [[[255, 0, 0], [0, 255, 0], [0, 0, 255]]]
+    assert media.decode(bit_field_bmp([[0x3FF00000]], 32, (0x3FF00000, 0, 0))).tolist() == [[[255, 0, 0]]]
+    for bad in (bit_field_bmp([[1]], 32, (5, 0, 0)), bit_field_bmp([[1]], 32, (1, 0, 0))[:54]):
+        try:
+            media.decode(bad)
+        except (ValueError, __import__("struct").error):
+            continue
+        raise AssertionError("decoded")
