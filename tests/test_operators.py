@@ -130,7 +130,9 @@ def test_overfitting_goldens(spark):
     assert tuple(row) == (0.5, 0.0)
     rng = np.random.default_rng(3)
     rows = [(t, f"c{c}", float(rng.normal(0.01 if c == 2 else 0.0, 0.01))) for t in range(160) for c in range(5)]
-    splits = oos.cscv_splits(spark.createDataFrame(rows, "t long, config string, ret double"))
+    frame = spark.createDataFrame(rows, "t long, config string, ret double")
+    assert oos.overfitting_probability(oos.cscv_splits(frame)).first().splits == 12_870  # 16 blocks unless others are asked for
+    splits = oos.cscv_splits(frame, blocks=8)
     result = oos.overfitting_probability(splits).first()
     assert result.splits == 70 and result.pbo < 0.05
     with pytest.raises(ValueError):
