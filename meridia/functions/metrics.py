@@ -103,14 +103,9 @@ def underwater(returns: DataFrame, *keys: str) -> DataFrame:
 
 
 def expected_shortfall(returns: DataFrame, *keys: str, confidence: float = 0.95) -> DataFrame:
-    """keys, var and cvar as positive losses: the quantile first, then the mean of what is at or below it."""
-    rows = returns.filter("ret IS NOT NULL")
-    return _below(rows, exact_quantiles(rows, keys, "ret", [1 - confidence], ["q"]), *keys)
-
-
-def _below(rows: DataFrame, cut: DataFrame, *keys: str) -> DataFrame:
-    tail = rows.select(*keys, "ret").join(cut.select(*keys, "q", "n"), list(keys)).filter("ret <= q")
-    return tail.groupBy(*keys).agg((-F.first("q")).alias("var"), (-F.avg("ret")).alias("cvar"), F.first("n").alias("n")).filter("n > 1").drop("n")
+    """keys, var and cvar as positive losses: the quantile, and the mean of what is at or below it."""
+    cut = exact_quantiles(returns, keys, "ret", [1 - confidence], ["q"], tails=True)
+    return cut.filter("n > 1").select(*keys, (-F.col("q")).alias("var"), (-F.col("q_mean")).alias("cvar"))
 
 
 def summary_metrics(returns: DataFrame, *keys: str, rf: float = 0.02, periods: int = TRADING_DAYS, confidence: float = 0.95) -> DataFrame:
@@ -138,9 +133,9 @@ def summary_metrics(returns: DataFrame, *keys: str, rf: float = 0.02, periods: i
     if "bench" in returns.columns:
         active = F.col("ret") - F.col("bench")
         out += [tracking_error(active, periods).alias("tracking_error"), information_ratio(active, periods).alias("information_ratio")]
-    cut = exact_quantiles(rows, keys, "ret", [1 - confidence, 0.05, 0.95], ["q", "low", "high"])
-    ends = cut.select(*keys, F.when(F.col("n") > 1, F.abs("high") / _nonzero(F.abs("low"))).alias("tail_ratio"))
-    return rows.groupBy(*keys).agg(*out).join(ends, list(keys), "left").join(_below(rows, cut, *keys), list(keys), "left")
+    cut = exact_quantiles(returns, keys, "ret", [1 - confidence, 0.05, 0.95], ["q", "low", "high"], tails=True).filter("n > 1")
+    ends = cut.select(*keys, (F.abs("high") / _nonzero(F.abs("low"))).alias("tail_ratio"), (-F.col("q")).alias("var"), (-F.col("q_mean")).alias("cvar"))
+    return rows.groupBy(*keys).agg(*out).join(ends, list(keys), "left")
 
 
 def report_metrics(growths: DataFrame, *keys: str, rf: float = 0.02, periods: int = TRADING_DAYS) -> DataFrame:

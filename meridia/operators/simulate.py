@@ -32,8 +32,8 @@ def terminal_returns(values: DataFrame) -> DataFrame:
 
 def simulation_metrics(ends: DataFrame, *, confidence: float = 0.95) -> DataFrame:
     """Mean, median, signed VaR and CVaR, and the 5th and 95th percentiles of (ret)."""
-    q = exact_quantiles(ends, [], "ret", [1 - confidence, 0.05, 0.5, 0.95], ["var", "p5", "median", "p95"])
-    return ends.join(F.broadcast(q), F.lit(True)).agg(F.avg("ret").alias("mean"), F.first("median").alias("median"), F.first("var").alias("var"), F.avg(F.when(F.col("ret") <= F.col("var"), F.col("ret"))).alias("cvar"), F.first("p5").alias("p5"), F.first("p95").alias("p95"))
+    q = exact_quantiles(ends, [], "ret", [1 - confidence, 0.05, 0.5, 0.95, 1.0], ["var", "p5", "median", "p95", "all"], tails=True)
+    return q.select(F.col("all_mean").alias("mean"), "median", "var", F.col("var_mean").alias("cvar"), "p5", "p95")
 
 
 def success_probabilities(ends: DataFrame, thresholds: tuple[float, ...] = (0.0, 0.05, 0.10, 0.15, 0.20, 0.25, 0.50)) -> DataFrame:

@@ -46,6 +46,10 @@ def test_exact_quantiles(spark, sets):
     for k, values in sets.items():
         assert got[k].n == len(values)
         assert [got[k][f"q{i}"] for i in range(len(PROBS))] == pytest.approx(np.quantile(values, PROBS), rel=1e-12, abs=0)
+    tails = {r.k: r for r in exact_quantiles(rows, ["k"], "x", PROBS, tails=True).collect()}
+    for k, values in sets.items():
+        want = [values[values <= np.quantile(values, p)].mean() for p in PROBS]
+        assert [tails[k][f"q{i}_mean"] for i in range(len(PROBS))] == pytest.approx(want, rel=1e-9)
     everything = np.concatenate(list(sets.values()))
     assert exact_quantiles(rows, [], "x", [0.25]).first().q0 == pytest.approx(np.quantile(everything, 0.25))
     assert exact_quantiles(rows.filter("k = 'none'"), [], "x", [0.5]).first() == (None, None)
